@@ -38,7 +38,7 @@ def number_key(c: Column) -> Column:
 
 def name_key(c: Column) -> Column:
     """Names that are equal but for letter case, outer blanks and blanks for underscores."""
-    return F.regexp_replace(F.lower(F.regexp_replace(c, r"^[\s ]+|[\s ]+$", "")), r"[  ]", "_")
+    return F.regexp_replace(F.lower(F.regexp_replace(c, r"^[\s\u00a0]+|[\s\u00a0]+$", "")), r"[ \u00a0]", "_")
 
 
 def lifetimes(target: Target) -> DataFrame:
@@ -53,7 +53,7 @@ def lifetimes(target: Target) -> DataFrame:
 
 def references(edges: DataFrame, targets: list[Target], id_col: str, time_col: str) -> DataFrame:
     """One row per non-blank reference: id, ref_field, key, at."""
-    cells = [F.struct(F.lit(t.ref_field).alias("ref_field"), F.when(~F.col(t.ref_field).rlike(r"^[\s ]*$"), t.canonical(F.col(t.ref_field))).alias("key")) for t in targets]
+    cells = [F.struct(F.lit(t.ref_field).alias("ref_field"), F.when(~F.col(t.ref_field).rlike(r"^[\s\u00a0]*$"), t.canonical(F.col(t.ref_field))).alias("key")) for t in targets]
     return (
         edges.select(F.col(id_col).alias("id"), F.col(time_col).alias("at"), *[t.ref_field for t in targets])
         .select("id", "at", F.inline(F.array(*cells)))
