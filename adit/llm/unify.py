@@ -15,6 +15,7 @@ else Latin. All of this depends on the look alone, so that texts of equal look g
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -49,11 +50,12 @@ HYPHENS = {"\u2010": "-", "\u2011": "-"}
 #: Kinds of compatibility decomposition under which a character looks as what it decomposes to.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
 
-_GONE = regex.compile(f"[{INVISIBLE}]")
+_GONE = re.compile(f"[{INVISIBLE}]")
 _LOOSE_JOINER = regex.compile(r"(?<!\p{Extended_Pictographic}\p{Emoji_Modifier}?)\u200d|\u200d(?!\p{Extended_Pictographic})")
-_BLANK = regex.compile(f"[{BLANKS}]")
-_BREAK = regex.compile(f"\r\n|[{BREAKS}]")
-_OTHER = regex.compile(r"[\p{Greek}\p{Cyrillic}]")
+_BLANK = re.compile(f"[{BLANKS}]")
+_BREAK = re.compile(f"\r\n|[{BREAKS}]")
+_ABOVE = re.compile("[\U00010000-\U0010ffff]")
+_OTHER = re.compile("[\u0370-\u052f\u1c80-\u1c8f\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f]")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _TWINS = "".join(sorted(set(CYRILLIC.values()) | set(GREEK.values())))
 _TO_LATIN = str.maketrans(CYRILLIC | GREEK)
@@ -76,17 +78,37 @@ def forms() -> dict[str, str]:
     return out
 
 
-@lru_cache(1)
-def _unstable() -> regex.Pattern:
-    """The quick check: accents and other characters that normalization may change, with the character before that they may join."""
-    excluded = (chr(c) for c in range(0xA0, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFC", chr(c)) != chr(c))
-    changed = "".join(regex.escape(c) for c in sorted({*forms(), *excluded}))
-    return regex.compile(rf"[\s\S]?[\p{{M}}\u1100-\u11ff{changed}]+")
+@lru_cache(2)
+def _unstable(above: bool) -> re.Pattern:
+    """The quick check: runs of accents and other characters that normalization may change.
+
+    Without code points above U+FFFF the class is a bit map, which is much faster.
+    """
+    table, codes = forms(), []
+    for code in range(0xA0, sys.maxunicode + 1 if above else 0x10000):
+        ch = chr(code)
+        kind = unicodedata.category(ch)
+        if kind not in ("Cn", "Cs", "Co") and (kind[0] == "M" or 0x1100 <= code < 0x1200 or ch in table or unicodedata.normalize("NFC", ch) != ch):
+            codes.append(code)
+    ranges: list[list[int]] = []
+    for code in codes:
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return re.compile("[" + "".join(f"{re.escape(chr(x))}-{re.escape(chr(y))}" for x, y in ranges) + "]+")
 
 
-def _splice(m: regex.Match) -> str:
-    table = forms()
-    return unicodedata.normalize("NFC", "".join(table.get(c, c) for c in m[0]))
+def _splice(text: str) -> str:
+    """Normalize the unstable runs, each with the character before it, which accents may join."""
+    table, pieces, last = forms(), [], 0
+    for m in _unstable(bool(_ABOVE.search(text))).finditer(text):
+        begin = max(last, m.start() - 1)
+        pieces.append(text[last:begin])
+        last = m.end()
+        pieces.append(unicodedata.normalize("NFC", "".join(table.get(c, c) for c in text[begin:last])))
+    pieces.append(text[last:])
+    return "".join(pieces)
 
 
 @lru_cache(1 << 16)
@@ -132,7 +154,7 @@ def unify(text: str | None) -> str | None:
         return text
     if "\u200d" in text:
         text = _LOOSE_JOINER.sub("", text)
-    text = _unstable().sub(_splice, text)
+    text = _splice(text)
     return _scripts(text) if _OTHER.search(text) else text
 
 
