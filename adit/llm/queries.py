@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adit.llm.canon import canonical_names, map_names
 from adit.llm.chunking import limits, split_oversized
 from adit.llm.cooccur import latest_baskets, pair_counts, surprise
 from adit.llm.encode import count_tokens, encode_corpus
 from adit.llm.packing import pack
+from adit.llm.pairs import defects
 from adit.llm.sql import SQL as SQL
 from adit.llm.unify import look_alikes, unified
 from adit.runtime import cut, table
@@ -23,6 +25,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects(table(spark, d, "training_examples"))
+
+
 @query
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Every piece of every oversized text."""
@@ -54,6 +61,12 @@ def p5_surprise(spark: SparkSession, d: str) -> DataFrame:
     return surprise(cut(latest_baskets(table(spark, d, "cves")), "baskets"))
 
 
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    names = canonical_names(table(spark, d, "vendor_nodes"))
+    return map_names(table(spark, d, "cpe_components"), "component_id", ["vendor", "normalized_vendor"], names)
+
+
 @query
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
