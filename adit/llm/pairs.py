@@ -36,6 +36,7 @@ REFUSALS = regex.compile(
     r"|\bmy (?:policies|policy|guidelines|principles|rules) (?:do|does|don['’]t|doesn['’]t) (?:not )?(?:allow|permit)"
     r"|\bagainst my (?:guidelines|policies|policy|principles|rules)"
     r"|\boutside (?:of )?what i (?:may|can|am)|\boff[ -]limits for me|\bnot be appropriate for me|\bsomething (?:that )?i (?:have to|must) (?:decline|refuse)"
+    r"|\bno (?:answer|response|reply|help|assistance) (?:can|may|will) be (?:given|provided|offered)|\bcan(?:no|['’])t be (?:discussed|answered) here"
     r"|\bas an? (?:ai|assistant|language model)\b.{0,40}\b(?:can['’]?t|cannot|unable|not able)"
     r"|\b(?:désolée?|regrette)\b.{0,40}\bne (?:peux|puis) pas|\bje ne (?:peux|puis) pas (?:vous )?(?:répondre|aider|traiter)|\bje (?:dois|suis obligée?) (?:de )?(?:refuser|décliner)"
     r"|\b(?:tut mir leid|leider|bedauere?)\b.{0,60}\bnicht|\bdabei kann ich (?:ihnen |dir )?nicht helfen|\bich (?:muss|möchte) (?:das )?ablehnen"
@@ -56,8 +57,8 @@ NAMED = {
 WORDS = {
     "en": "the of and to is that it was for with are be this on by not which as from they those can may what how why who should these than has have its an or at were been will would there their you your",
     "de": "der die das und ist nicht mit von den dem des ein eine einen einer zu auf für sich im wird werden oder aus durch wenn sie es wie was nur noch auch bei nach dass kann ich wir ihr zum zur als vor über am sofern während",
-    "fr": "le les des est une dans pour qui pas du au aux avec sur par ce cette ces sont ne et il elle vous nous je peut faut quoi comment pourquoi plus sans ou où d l en un à après avant lorsque",
-    "es": "el los las una que por con se es para del al lo como más su sus este esta hay cuando cómo qué y si ya sin sobre también pero unos muy todos todas en tras puede",
+    "fr": "la le suivant suivante les des est une dans pour qui pas du au aux avec sur par ce cette ces sont ne et il elle vous nous je peut faut quoi comment pourquoi plus sans ou où d l en un à après avant lorsque",
+    "es": "la el siguiente siguientes los las una que por con se es para del al lo como más su sus este esta hay cuando cómo qué y si ya sin sobre también pero unos muy todos todas en tras puede",
 }
 _LANGUAGE_OF = {lang: frozenset(words.split()) for lang, words in WORDS.items()}
 _LETTERS = {"de": "ßäöü", "fr": "èêçàœëîôûâù", "es": "ñ¿¡áíóú"}
