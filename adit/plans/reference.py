@@ -1,43 +1,5 @@
-"""Queries on the operators of the domain: graph counts, joins, text, vectors, training examples."""
+"""All queries on the domain's operators; importing the modules registers them."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from adit.runtime import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query("""WITH aff AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), mb AS (SELECT l_partkey, min(l_suppkey) AS s FROM lineitem GROUP BY 1)
-SELECT CAST(s AS BIGINT) AS vendor, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS records, CAST(count(DISTINCT aff.l_partkey) AS BIGINT) AS products,
- round(CAST(count(DISTINCT l_orderkey) AS DOUBLE) / count(DISTINCT aff.l_partkey), 6) AS ratio
-FROM aff JOIN mb ON aff.l_partkey = mb.l_partkey GROUP BY 1 ORDER BY ratio DESC, vendor LIMIT 15""")
-def vendor_record_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """CYP-09: records per product of each vendor; a top-15 report."""
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
-    # An order and its parts meet once per vendor, so that one shuffle by part gives both the vendor and the distinct edges.
-    per_part = lines.groupBy("l_partkey").agg(F.min("l_suppkey").alias("vendor"))
-    edges = lines.select("l_orderkey", "l_partkey").distinct()
-    return (
-        edges.join(per_part, "l_partkey")
-        .groupBy("vendor")
-        .agg(F.countDistinct("l_orderkey").alias("records"), F.countDistinct("l_partkey").alias("products"))
-        .withColumn("ratio", F.round(F.col("records") / F.col("products"), 6))
-        .orderBy(F.desc("ratio"), "vendor")
-        .limit(15)
-    )
+from adit.plans import graphs as graphs
+from adit.plans.registry import QUERIES as QUERIES
+from adit.plans.registry import SQL as SQL
