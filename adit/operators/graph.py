@@ -124,7 +124,8 @@ def clusters(edges: DataFrame, rel: str, least: int) -> DataFrame:
 
 def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """n_nodes, n_edges, density m / (n (n - 1)) and average degree 2 m / n, as one row."""
-    n = nodes.agg(F.count("*").alias("n_nodes")).crossJoin(edges.agg(F.count("*").alias("n_edges")))  # two rows of one
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    n = nodes.select(one.alias("v"), none.alias("e")).union(edges.select(none, one)).agg(F.coalesce(F.sum("v"), none).alias("n_nodes"), F.coalesce(F.sum("e"), none).alias("n_edges"))
     size = F.col("n_nodes").cast("double")
     return n.select(
         "n_nodes", "n_edges", F.round(F.when(size > 1, F.col("n_edges") / (size * (size - 1))).otherwise(0.0), 12).alias("density"), F.round(F.when(size > 0, 2 * F.col("n_edges") / size).otherwise(0.0), 9).alias("avg_degree")

@@ -1,5 +1,6 @@
 """All queries on the domain's operators; importing the modules registers them."""
 
 from adit.plans import graphs as graphs
+from adit.plans import relations as relations
 from adit.plans.registry import QUERIES as QUERIES
 from adit.plans.registry import SQL as SQL
