@@ -2,5 +2,7 @@
 
 from adit.plans import graphs as graphs
 from adit.plans import relations as relations
+from adit.plans import texts as texts
+from adit.plans import vectors as vectors
 from adit.plans.registry import QUERIES as QUERIES
 from adit.plans.registry import SQL as SQL
