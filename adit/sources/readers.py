@@ -184,7 +184,7 @@ def text_any_encoding(spark: SparkSession, path: str) -> DataFrame:
     """path and text of files in UTF-8, with or without its mark, else in Latin-1."""
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
     utf8 = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    text = F.regexp_replace(F.coalesce(utf8, F.decode("content", F.lit("ISO-8859-1"))), "^\ufeff", "")
+    text = F.regexp_replace(F.coalesce(utf8, F.decode("content", "ISO-8859-1")), "^\ufeff", "")
     return raw.select("path", text.alias("text"))
 
 
