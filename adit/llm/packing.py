@@ -194,7 +194,7 @@ def pack(sizes: DataFrame, key_col: str = "doc_id", size_col: str = "n_tokens",
 
     Items above the capacity are cut into parts of the capacity and a rest; parts count from 0 and follow each other.
     Items of null, zero or negative size have no rows. Equal keys are items of their own. Other columns are ignored.
-    sizes is read twice: give it stored, not computed.
+    sizes is read three times: give it stored, not computed.
     """
     items = (
         sizes.filter(F.col(size_col) > 0)
@@ -203,19 +203,15 @@ def pack(sizes: DataFrame, key_col: str = "doc_id", size_col: str = "n_tokens",
         .select("key", "part_no", F.least(F.lit(capacity).cast("bigint"), F.col("n") - F.col("part_no").cast("bigint") * capacity).cast("int").alias("size"))
         .withColumn("bucket", F.pmod(F.xxhash64("key", "part_no"), F.lit(BUCKETS)).cast("int"))
     )
-    # At most capacity times BUCKETS rows, however many items there are.
-    counts = items.groupBy("size", "bucket").count().collect()
-    histogram: dict[int, int] = defaultdict(int)
-    starts = []
-    for size, bucket, n in sorted(counts):
-        starts.append((size, bucket, histogram[size]))
-        histogram[size] += n
+    # At most `capacity` rows come to the driver, and at most capacity times BUCKETS are counts of buckets.
+    histogram = {r[0]: r[1] for r in items.groupBy("size").count().collect()}
     runs, _ = plan(histogram, capacity)
     spark = sizes.sparkSession
-    offsets = spark.createDataFrame(starts, "size int, bucket int, start bigint")
+    counts = items.groupBy("size", "bucket").agg(F.count("*").alias("c"))
+    offsets = counts.select("size", "bucket", (F.sum("c").over(Window.partitionBy("size").orderBy("bucket")) - F.col("c")).alias("start"))
     table = spark.createDataFrame([(r.size, r.low, r.high, r.container, r.each) for r in runs], "size int, low bigint, high bigint, container bigint, each bigint")
     ranked = items.withColumn("r", F.row_number().over(Window.partitionBy("size", "bucket").orderBy("key", "part_no")) - 1)
-    ranked = ranked.join(F.broadcast(offsets), ["size", "bucket"]).withColumn("rank", F.col("r") + F.col("start"))
+    ranked = ranked.join(offsets, ["size", "bucket"]).withColumn("rank", F.col("r") + F.col("start"))
     placed = ranked.join(F.broadcast(table), "size").filter((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     begin = F.col("part_no").cast("bigint") * capacity
     return placed.select(
