@@ -108,6 +108,7 @@ class Names:
                 if len(t[0]) >= ONE_EDIT:
                     stems[t[0]].add((name, tuple(t[1:])))
         self.by_key, self.token_sets, self.stems, self.second = dict(by_key), dict(token_sets), dict(stems), second
+        self.longest = max(map(len, self.by_key), default=0)
         self.automaton = ahocorasick.Automaton()
         for key in self.by_key:
             self.automaton.add_word(key, key)
@@ -126,6 +127,8 @@ class Names:
 
     def _find(self, value: str) -> str:
         t = tokens(value)
+        if not t:
+            return UNMATCHED
         for attempt in ([t] if not any(c.isdigit() for w in t for c in w) else [t, *([w.translate(s) for w in t] for s in SHAPES)]):
             if found := self._mention(attempt) or self._same_set(attempt):
                 return found
@@ -177,7 +180,7 @@ class Names:
         for order in orders:
             key = "".join(order)
             most = 2 if len(key) >= TWO_EDITS else 1
-            if len(key) < ONE_EDIT:
+            if not ONE_EDIT <= len(key) <= self.longest + most:
                 continue
             for k in {k for d in _deletes(key, most) for k in self.near.get(d, ())}:
                 allowed = min(most, 2 if len(k) >= TWO_EDITS else 1)
@@ -186,7 +189,7 @@ class Names:
                     offer(self.by_key[k], d)
         if not best:
             for order in orders:
-                if len(order[0]) < ONE_EDIT:
+                if not ONE_EDIT <= len(order[0]) <= self.longest + 1:
                     continue
                 for stem in {s for d in _deletes(order[0], 1) for s in self.near_stem.get(d, ())}:
                     d = distance(order[0], stem, 1)

@@ -18,9 +18,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sizes above this share of the capacity are large.
+#: Sizes above this share of the capacity are large. `pack` also plans with a greater share, and with no large sizes
+#: at all, which is best fit alone, and takes the plan of the fewest containers.
 LARGE = 1 / 8
-GROUPS = 24
+GROUPS = 64
 #: Ranks within a size are counted in so many buckets, so that a size that holds a third of all items isn't one task's.
 BUCKETS = 64
 
@@ -36,32 +37,29 @@ class Run:
     each: int
 
 
-def _configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 200) -> list[tuple[np.ndarray, float]]:
+def _configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 1000) -> list[tuple[np.ndarray, float]]:
     """Basis of the cutting-stock programme and how often each configuration is used (fractional)."""
     k = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     use = counts / np.diag(basis)
     for _ in range(rounds):
         price = np.linalg.solve(basis.T, np.ones(k))
-        # The configuration of the greatest price: a knapsack over the capacity.
-        best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for c in range(1, capacity + 1):
-            best[c], pick[c] = best[c - 1], -1
-            fit = np.flatnonzero(sizes <= c)
-            if len(fit):
-                value = best[c - sizes[fit]] + price[fit]
-                j = int(np.argmax(value))
-                if value[j] > best[c] + 1e-12:
-                    best[c], pick[c] = value[j], fit[j]
+        # The configuration of the greatest price: a knapsack over the capacity, size by size.
+        best = np.zeros(capacity + 1)
+        many = np.zeros((k, capacity + 1), np.int64)
+        for j, size in enumerate(sizes):
+            before = best.copy()
+            for m in range(1, capacity // size + 1):
+                value = before[: capacity + 1 - m * size] + m * price[j]
+                better = value > best[m * size :] + 1e-12
+                best[m * size :][better] = value[better]
+                many[j, m * size :][better] = m
         if best[capacity] <= 1 + 1e-7:
             break
         column, c = np.zeros(k), capacity
-        while c > 0:
-            if pick[c] < 0:
-                c -= 1
-            else:
-                column[pick[c]] += 1
-                c -= sizes[pick[c]]
+        for j in range(k - 1, -1, -1):
+            column[j] = many[j, c]
+            c -= many[j, c] * sizes[j]
         direction = np.linalg.solve(basis, column)
         ratio = np.where(direction > 1e-9, use / np.where(direction > 1e-9, direction, 1), np.inf)
         out = int(np.argmin(ratio))
@@ -205,7 +203,7 @@ def pack(sizes: DataFrame, key_col: str = "doc_id", size_col: str = "n_tokens",
     )
     # At most `capacity` rows come to the driver, and at most capacity times BUCKETS are counts of buckets.
     histogram = {r[0]: r[1] for r in items.groupBy("size").count().collect()}
-    runs, _ = plan(histogram, capacity)
+    runs, _ = min((plan(histogram, capacity, large=share) for share in (LARGE, 1 / 4, 1.0)), key=lambda p: p[1])
     spark = sizes.sparkSession
     counts = items.groupBy("size", "bucket").agg(F.count("*").alias("c"))
     offsets = counts.select("size", "bucket", (F.sum("c").over(Window.partitionBy("size").orderBy("bucket")) - F.col("c")).alias("start"))
