@@ -37,7 +37,8 @@ def state(target: str, number: int) -> str:
 def windowed_counts(stream: DataFrame, time_col: str = "ts", key: str = "event_type", late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Rows and their mean value by key and window; rows later than the watermark are left out, as in every such stream."""
     return (
-        stream.withWatermark(time_col, late)
+        stream.withColumn(time_col, F.col(time_col).cast("timestamp"))
+        .withWatermark(time_col, late)
         .groupBy(F.window(time_col, size), key)
         .agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
         .select(F.col("window.start").alias("start"), key, "n", "mean")
