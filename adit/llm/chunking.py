@@ -43,48 +43,57 @@ class Limit:
             raise ValueError(f"{self.field_name}: the overlap must be less than the size")
 
 
-def boundaries(text: str, offsets: np.ndarray | None = None) -> list[np.ndarray]:
-    """For each kind, the sorted offsets of boundaries of that kind or a stronger one.
-
-    offsets: prefix sums of the sizes of the text's characters in another unit; without them a code point counts 1.
-    """
+def boundaries(text: str) -> list[np.ndarray]:
+    """For each kind, the sorted offsets of boundaries of that kind or a stronger one."""
     out, known = [], np.empty(0, np.int64)
     for kind in KINDS:
         found = np.fromiter((m.end() for m in kind.finditer(text)), np.int64)
         known = np.union1d(known, found[found < len(text)])
-        out.append(known if offsets is None else offsets[known])
+        out.append(known)
     return out
 
 
 def _whole(text: str, at: int, low: int) -> int:
     """The last place at or before `at`, above low, that is not within a character; `at` if there is none near."""
+    if at >= len(text):
+        return at
     for k in range(at, max(low, at - 32), -1):
         if not (unicodedata.combining(text[k]) or ord(text[k]) in _JOINED or ord(text[k - 1]) == 0x200D or text[k - 1 : k + 1] == "\r\n"):
             return k
     return at
 
 
-def spans(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """The pieces' offsets: each at most `limit` long, together the whole text, each starting within the last `overlap` of the one before."""
+def spans(text: str, limit: int, overlap: int, sizes: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """The pieces' offsets: each at most `limit` long, together the whole text, each starting within the last `overlap` of the one before.
+
+    Lengths are in code points; with sizes, the size of each code point in another unit (such as the tokens that end
+    with it), they are in that unit, and a code point larger than the limit is a piece of its own.
+    """
     n = len(text)
-    if n <= limit:
+    sums = np.arange(n + 1) if sizes is None else np.concatenate(([0], np.cumsum(sizes)))
+    if sums[n] <= limit:
         return [(0, n)]
     kinds, out, start = boundaries(text), [], 0
-    while n - start > limit:
+    while sums[n] - sums[start] > limit:
+        most = max(start + 1, int(np.searchsorted(sums, sums[start] + limit, "right")) - 1)
+        filled = int(np.searchsorted(sums, sums[start] + max(overlap, limit * FILL), "left"))
+        past_overlap = max(start, int(np.searchsorted(sums, sums[start] + overlap, "right")) - 1)
         end = 0
         for k, at in enumerate(kinds):
-            i = int(np.searchsorted(at, start + limit, "right")) - 1
-            least = start + max(overlap, int(limit * FILL) if k < len(kinds) - 1 else 0)
-            if i >= 0 and at[i] > least:
+            i = int(np.searchsorted(at, most, "right")) - 1
+            if i >= 0 and at[i] > (filled if k < len(kinds) - 1 else past_overlap):
                 end = int(at[i])
                 break
         if not end:
-            end = _whole(text, start + limit, start + overlap)
+            end = max(start + 1, _whole(text, most, past_overlap))
         out.append((start, end))
-        weakest = kinds[-1]
-        i = int(np.searchsorted(weakest, end - overlap, "left"))
+        if end == n:
+            return out
         # A start within the overlap; without a boundary there, as far back as the overlap allows.
-        start = int(weakest[i]) if i < len(weakest) and weakest[i] < end else max(start + 1, _forward(text, end - overlap, end))
+        back = max(start + 1, int(np.searchsorted(sums, sums[end] - overlap, "left")))
+        weakest = kinds[-1]
+        i = int(np.searchsorted(weakest, back, "left"))
+        start = int(weakest[i]) if i < len(weakest) and weakest[i] < end else min(end, max(start + 1, _forward(text, back, end)))
     out.append((start, n))
     return out
 

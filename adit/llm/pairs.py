@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -72,11 +72,22 @@ _ITEM = re.compile(r"^[ \t]*(?:[-*+•]|\d+[.)])[ \t]+\S")
 _ENDED = regex.compile(r"[.!?…。！？][\"'”’»)\]*_]*$")
 _IDENTIFIERS = regex.compile(r"(?:^|[\s,;(])(?:[A-Z]{2,8}-\d+(?:-\d+)?|T\d{4}(?:\.\d{3})?)(?:[,;\s]+(?:[A-Z]{2,8}-\d+(?:-\d+)?|T\d{4}(?:\.\d{3})?))*$")
 _LINK = re.compile(r"\bhttps?://[\w.-]+\.\w{2,}(?:/\S*)?$")
+_NOT_WORD = regex.compile(r"[^\w\s]+")
+_WORD = regex.compile(r"\p{L}+")
+_CYRILLIC = regex.compile(r"\p{Cyrillic}+")
+_SENTENCE = regex.compile(r"(?<=[.!?])\s+|\n+")
+_LABELS = regex.compile(r"^(?:[^\n:]{1,30}: [^\n]*\n)*[^\n:]{1,30}: ")
+_CODE = re.compile(r"```.*?(?:```|\Z)|https?://\S+|`[^`\n]*`", re.S)
+_ID = re.compile(r"\b[A-Z]{2,}-[\d-]+\b")
+_NAMES = {lang: regex.compile(r"\b(?:" + "|".join(names) + ")") for lang, names in NAMED.items()}
+_IS = {w: tuple(lang for lang, known in _LANGUAGE_OF.items() if w in known) for known in _LANGUAGE_OF.values() for w in known}
+_MARKS = {c: lang for lang, marks in _LETTERS.items() for c in marks}
+_MARKED = regex.compile("[" + "".join(_MARKS) + "]")
 _ABBREVIATION = r"(?:\p{L}{1,4}\.){1,4}"
 
 
 def _plain(text: str | None) -> str:
-    return " ".join(regex.sub(r"[^\w\s]+", " ", unicodedata.normalize("NFKC", _INVISIBLE.sub("", text or "")).casefold()).split())
+    return " ".join(_NOT_WORD.sub(" ", unicodedata.normalize("NFKC", _INVISIBLE.sub("", text or "")).casefold()).split())
 
 
 def is_empty(output: str | None) -> bool:
@@ -92,7 +103,7 @@ def is_refusal(output: str) -> bool:
     core = _HEADING.sub("", output).strip()
     if len(core.split()) > REFUSAL_WORDS:
         return False
-    first = regex.split(r"(?<=[.!?])\s+|\n", core, maxsplit=2)[:2]
+    first = _SENTENCE.split(core, maxsplit=2)[:2]
     return any(REFUSALS.search(s) for s in first)
 
 
@@ -127,7 +138,7 @@ def is_copy(output: str, instruction: str | None, prompt: str | None) -> bool:
     words = out.split()
     # An input that opens with labelled lines may be given back without them.
     body = _plain((prompt or "").rsplit(": ", 1)[-1]) if "\n" in (prompt or "") else ""
-    text_only = _plain(regex.sub(r"^(?:[^\n:]{1,30}: [^\n]*\n)*[^\n:]{1,30}: ", "", prompt or ""))
+    text_only = _plain(_LABELS.sub("", prompt or ""))
     for source in {told, given, f"{told} {given}", f"{given} {told}", body, text_only}:
         want = source.split()
         if len(want) < 3:
@@ -171,34 +182,37 @@ def language(text: str | None) -> str | None:
     """The language that text is written in, by script and commonest words; None if there is too little of it."""
     if not text:
         return None
-    letters = sum(c.isalpha() for c in text)
-    cyrillic = len(regex.findall(r"\p{Cyrillic}", text))
-    if letters and cyrillic > 0.4 * letters:
+    low = text.lower()
+    words = _WORD.findall(low)
+    if sum(map(len, _CYRILLIC.findall(low))) > 0.4 * sum(map(len, words)):
         return "ru"
-    words = Counter(regex.findall(r"\p{L}+", text.lower()))
-    score = {lang: float(sum(words[w] for w in known)) for lang, known in _LANGUAGE_OF.items()}
-    for lang, marks in _LETTERS.items():
-        score[lang] += 0.5 * sum(text.lower().count(c) for c in marks)
+    score = dict.fromkeys(_LANGUAGE_OF, 0.0)
+    for w in words:
+        for lang in _IS.get(w, ()):
+            score[lang] += 1
+    for c in _MARKED.findall(low):
+        score[_MARKS[c]] += 0.5
     (best, most), (_, second) = sorted(score.items(), key=lambda x: -x[1])[:2]
     return best if most >= 1 and most > 1.3 * second else None
 
 
+@lru_cache(4096)
 def asked(instruction: str | None) -> str | None:
     """The language that an instruction names, the last one if several, else its own."""
     low = (instruction or "").lower()
-    named = [(low.rfind(name), lang) for lang, names in NAMED.items() for name in names if regex.search(rf"\b{name}", low)]
+    named = [(m.start(), lang) for lang, names in _NAMES.items() for m in names.finditer(low)]
     return max(named)[1] if named else language(instruction)
 
 
 def answered(output: str, prompt: str | None) -> str | None:
     """The language of what an output says itself: without code, links, headings and what it quotes from the prompt."""
-    text = re.sub(r"```.*?(?:```|\Z)|https?://\S+|`[^`\n]*`", " ", output, flags=re.S)
+    text = _CODE.sub(" ", output)
     text = _HEADING.sub(" ", text)
     known = _plain(prompt)
-    parts = [p for p in regex.split(r"(?<=[.!?])\s+|\n+", text) if p.strip()]
+    parts = [p for p in _SENTENCE.split(text) if p.strip()]
     own = [p for p in parts if not (len(p) > 20 and _plain(p) in known)]
     # Names of products and identifiers tell nothing.
-    return language(" ".join(regex.sub(r"\b[A-Z]{2,}-[\d-]+\b", " ", p) for p in own))
+    return language(" ".join(_ID.sub(" ", p) for p in own))
 
 
 def defect(instruction: str | None, prompt: str | None, output: str | None, abbreviations: frozenset[str]) -> str | None:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -21,6 +22,19 @@ def test_covers_everything(text, limit, overlap):
     check(text, limit, overlap)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.text("ab .\n", min_size=1, max_size=120), st.integers(3, 30), st.integers(0, 2), st.data())
+def test_other_units(text, limit, overlap, data):
+    sizes = np.array(data.draw(st.lists(st.integers(0, 5), min_size=len(text), max_size=len(text))))
+    sums = np.concatenate(([0], np.cumsum(sizes)))
+    parts = spans(text, limit, overlap, sizes)
+    assert parts[0][0] == 0 and parts[-1][1] == len(text)
+    for a, b in parts:
+        assert sums[b] - sums[a] <= limit or b == a + 1
+    for (a, b), (c, d) in zip(parts, parts[1:]):
+        assert a < c <= b and sums[b] - sums[c] <= overlap
+
+
 def test_natural_places():
     text = "One sentence here. Another one.\n\nA second paragraph with words. And an end."
     parts = [text[a:b] for a, b in check(text, 45, 0)]
