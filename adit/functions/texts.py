@@ -84,6 +84,11 @@ PRODUCT_TAGS = ((("web", "server"), "web_application"), (("database", "sql"), "d
 CHUNK_WORDS, CHUNK_OVERLAP = 512, 50
 
 
+def _with(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def contains_any(c: Column, phrases: tuple[str, ...]) -> Column:
     """Whether the lower-case text holds any of the phrases: one pass of one expression."""
     return F.lower(c).rlike("|".join(re.escape(p) for p in phrases))
@@ -146,18 +151,22 @@ def listed(c: Column, separator: str = "[,;]") -> Column:
 
 def phrase_techniques(c: Column) -> Column:
     """Techniques that the phrases of a text point to, sorted."""
-    low = F.lower(F.coalesce(c, F.lit("")))
     none = F.array().cast("array<string>")
-    found = [F.when(low.contains(p), F.array(*[F.lit(t) for t in ts])).otherwise(none) for p, ts in PHRASE_TECHNIQUES.items()]
-    return F.array_sort(F.array_distinct(F.flatten(F.array(*found))))
+
+    def found(low: Column) -> Column:
+        return F.flatten(F.array(*[F.when(low.contains(p), F.array(*[F.lit(t) for t in ts])).otherwise(none) for p, ts in PHRASE_TECHNIQUES.items()]))
+
+    return F.array_sort(F.array_distinct(_with(F.lower(F.coalesce(c, F.lit(""))), found)))
 
 
 def keywords(text: Column, products: Column, first_products: int = 5) -> Column:
     """Terms and short terms of a text, and the first words of its first products, sorted."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    hits = [F.when(low.contains(t), F.lit(t)) for t in TERMS] + [F.when(low.contains(full) | low.contains(short), F.lit(short)) for short, full in SHORT_TERMS.items()]
+
+    def hits(low: Column) -> Column:
+        return F.array(*[F.when(low.contains(t), F.lit(t)) for t in TERMS], *[F.when(low.contains(full) | low.contains(short), F.lit(short)) for short, full in SHORT_TERMS.items()])
+
     heads = F.filter(F.transform(F.slice(F.coalesce(products, F.array().cast("array<string>")), 1, first_products), lambda p: F.get(words(F.lower(p)), F.lit(0))), lambda w: F.length(w) > 2)
-    return F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array(*hits), heads))))
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(_with(F.lower(F.coalesce(text, F.lit(""))), hits), heads))))
 
 
 def tags(weaknesses: Column, products: Column, patterns: Column, techniques: Column, exploited: Column) -> Column:
