@@ -47,7 +47,7 @@ def test_natural_places():
 
 
 def test_frame(spark, rows):
-    long = "word " * 100_000
+    long = "word " * 20_000
     df = spark.createDataFrame([(1, "abc def", None, "z"), (1, "abc def", None, "z"), (2, "", "abcdefghijk", "z"), (3, None, None, "z"), (4, long, "x", "z")], "id int, a string, b string, piece string")
     bounds = [Limit("a", 5, 1), Limit("b", 10, 0)]
     got = split_oversized(df, "id", bounds)
