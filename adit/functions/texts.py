@@ -60,9 +60,12 @@ PHRASE_TECHNIQUES = {
 }
 #: Terms of the keyword index, and short forms with the phrase they stand for.
 TERMS = (
-    "apache nginx iis tomcat docker kubernetes windows linux ubuntu debian redhat macos chrome firefox safari edge mysql postgresql mongodb oracle redis java python php ruby javascript "
-    "node.js wordpress drupal joomla aws azure gcp vmware cisco microsoft adobe apple google android ios mobile 5g 4g lte wifi bluetooth"
-).split()
+    "apache", "nginx", "iis", "tomcat", "docker", "kubernetes", "windows", "linux", "ubuntu", "debian", "redhat",
+    "macos", "chrome", "firefox", "safari", "edge", "mysql", "postgresql", "mongodb", "oracle", "redis", "java",
+    "python", "php", "ruby", "javascript", "node.js", "wordpress", "drupal", "joomla", "aws", "azure", "gcp",
+    "vmware", "cisco", "microsoft", "adobe", "apple", "google", "android", "ios", "mobile", "5g", "4g", "lte",
+    "wifi", "bluetooth",
+)
 SHORT_TERMS = {
     "rce": "remote code execution",
     "sqli": "sql injection",

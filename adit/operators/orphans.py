@@ -42,13 +42,17 @@ def name_key(c: Column) -> Column:
 
 
 def lifetimes(target: Target) -> DataFrame:
-    """One row per key: the earliest creation and the distinct lifetimes. Rows with a null key or creation don't exist."""
+    """One row per key: the earliest creation and the distinct lifetimes.
+
+    Rows with a null key don't exist. A row with a null creation was never live, but it is a row of its key, so that the
+    key is neither missing nor late.
+    """
     t = target.rows.select(
         target.canonical(F.col(target.key_col)).alias("key"), F.col(target.created_col).alias("created"), F.col(target.deleted_col).alias("deleted")
-    ).filter(F.col("key").isNotNull() & F.col("created").isNotNull())
+    ).filter(F.col("key").isNotNull())
     # Repeats collapse before anything is collected: of equal creations only the longest life matters.
     t = t.groupBy("key", "created").agg(F.max_by("deleted", F.coalesce(F.col("deleted"), F.lit("9999-12-31").cast(t.schema["created"].dataType))).alias("deleted"))
-    return t.groupBy("key").agg(F.min("created").alias("first_created"), F.collect_list(F.struct("created", "deleted")).alias("lives"))
+    return t.groupBy("key").agg(F.when(F.count_if(F.col("created").isNull()) == 0, F.min("created")).alias("first_created"), F.collect_list(F.struct("created", "deleted")).alias("lives"))
 
 
 def references(edges: DataFrame, targets: list[Target], id_col: str, time_col: str) -> DataFrame:

@@ -53,7 +53,7 @@ def _spread(mask: np.ndarray, at: np.ndarray, n: int) -> None:
 def split_buffer(data: np.ndarray, offsets: np.ndarray, protected: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Split the cells data[offsets[i]:offsets[i + 1]].
 
-    protected: listed names in lower-case UTF-8 that must not be cut.
+    protected: listed names in UTF-8, their ASCII letters in lower case, that must not be cut.
     Returns the bytes of all values, their offsets, the number of the cell of each value and its position there, from 1.
     """
     n, cells = len(data), len(offsets) - 1
@@ -197,7 +197,7 @@ def listed(names: DataFrame, field_col: str = "field_name", name_col: str = "lis
     out: dict[str, list[bytes]] = {}
     for f, v in holding.collect():
         if f is not None and v.strip():
-            out.setdefault(f, []).append(v.strip().lower().encode() if v.isascii() else v.strip().encode())
+            out.setdefault(f, []).append(v.strip().encode().lower())
     return out
 
 

@@ -42,13 +42,23 @@ def checkpoint_root(spark: SparkSession) -> str:
     return "file://" + str(Path(tempfile.gettempdir()) / "adit-checkpoints")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/adit/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; DataFrames made of it can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df to the shared folder and read it back, so that what follows doesn't compute it again.
 
     Parquet keeps the columns apart, so later readers prune them; a checkpoint would keep whole rows.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/adit/{name}-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

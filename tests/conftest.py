@@ -10,9 +10,11 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from adit.runtime import local_session
+    from adit.runtime import clear, local_session
 
-    return local_session(4, "tests")
+    session = local_session(4, "tests")
+    yield session
+    clear(session)
 
 
 @pytest.fixture

@@ -11,15 +11,15 @@ D = lambda day: dt.datetime(2024, 1, day)
 @pytest.fixture
 def tables(spark):
     edges = spark.createDataFrame(
-        [(1, " cwe-007", "A_b", D(5), "x"), (2, "CWE-7", "", D(1), "x"), (3, "8", None, D(20), "x"), (4, "cwe 9", "zz", D(2), "x"), (5, "cwe 9", "a B ", D(9), "x"), (5, "cwe 9", "a B ", D(9), "x"), (6, None, " ", D(9), "x"), (7, "7", None, None, "x")],
+        [(1, " cwe-007", "A_b", D(5), "x"), (2, "CWE-7", "", D(1), "x"), (3, "8", None, D(20), "x"), (4, "cwe 9", "zz", D(2), "x"), (5, "cwe 9", "a B ", D(9), "x"), (5, "cwe 9", "a B ", D(9), "x"), (6, None, " ", D(9), "x"), (7, "7", None, None, "x"), (8, "10", None, D(9), "x")],
         "edge_id int, cwe_id string, product_name string, loaded_at timestamp, key string",
     )
-    cwe = spark.createDataFrame([("CWE-7", D(3), None), ("CWE-8", D(1), D(10)), ("CWE-8", D(15), D(18)), (None, D(1), None), ("CWE-7", D(3), D(4))], "cwe_id string, created_at timestamp, deleted_at timestamp")
+    cwe = spark.createDataFrame([("CWE-7", D(3), None), ("CWE-8", D(1), D(10)), ("CWE-8", D(15), D(18)), (None, D(1), None), ("CWE-7", D(3), D(4)), ("CWE-10", None, None)], "cwe_id string, created_at timestamp, deleted_at timestamp")
     product = spark.createDataFrame([("a b", D(1), D(6)), ("A_B", D(8), None)], "product_name string, created_at timestamp, deleted_at timestamp")
     return edges, [o.Target("cwe_id", cwe, "cwe_id", o.number_key), o.Target("product_name", product, "product_name", o.name_key)]
 
 
-WANT = [(2, "cwe_id", "late"), (3, "cwe_id", "deleted"), (4, "cwe_id", "missing"), (4, "product_name", "missing"), (5, "cwe_id", "missing"), (5, "cwe_id", "missing")]
+WANT = [(2, "cwe_id", "late"), (3, "cwe_id", "deleted"), (4, "cwe_id", "missing"), (4, "product_name", "missing"), (5, "cwe_id", "missing"), (5, "cwe_id", "missing"), (8, "cwe_id", "deleted")]
 
 
 def test_rows(tables, rows):
@@ -41,7 +41,7 @@ def test_counts_agree_with_rows(tables, rows):
     edges = edges.filter(F.col("loaded_at").isNotNull())
     counts = o.orphan_counts(edges, targets)
     got = {(r.ref_field, r.load_month): (r.n_missing, r.n_late, r.n_deleted) for r in counts.collect()}
-    assert got == {("cwe_id", "2024-01"): (3, 1, 1), ("product_name", "2024-01"): (1, 0, 0)}
+    assert got == {("cwe_id", "2024-01"): (3, 1, 2), ("product_name", "2024-01"): (1, 0, 0)}
 
 
 def test_empty(spark, tables, rows):

@@ -1,9 +1,9 @@
 import pytest
 
-from adit.plans import problems, reference
+from adit.plans import domain, problems
 
-SQL = {**reference.SQL, **problems.SQL}
-QUERIES = {**reference.QUERIES, **problems.QUERIES}
+SQL = {**domain.SQL, **problems.SQL}
+QUERIES = {**domain.QUERIES, **problems.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
