@@ -127,7 +127,8 @@ def flatten_configurations(records: DataFrame, key_col: str = "record_id", text_
 def _deeper(records: DataFrame, key_col: str, text_col: str, nodes: DataFrame, levels: int) -> DataFrame | None:
     """Nodes whose children the first pass left. Only text that names children more than `levels` times can have any, so most text isn't parsed for this."""
     names = F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("children"), F.lit("")))
-    deep = records.filter(names > 8 * levels)
+    # A key may be written with escapes for its letters; such text is parsed too.
+    deep = records.filter((names > 8 * levels) | F.contains(F.col(text_col), F.lit("\\u00")))
     if deep.isEmpty():
         return None
     base = deep.select(F.col(key_col), decoded(F.col(text_col)).alias("v"))

@@ -46,6 +46,7 @@ TEXTS = [
     json.dumps(json.dumps(json.dumps([{"nodes": [{"cpeMatch": [M("encoded")]}]}]))),
     deep(3),
     deep(9),
+    deep(9).replace("children", "\\u0063hildren"),
     '[{"nodes":[{"cpeMatch":[{"criteria":"cut',
     json.dumps('{"nodes": ['),
     "null",
