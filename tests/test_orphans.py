@@ -33,7 +33,7 @@ def test_skewed_path_is_the_same(tables, rows, monkeypatch):
     edges, targets = tables
     for heavy in (1, 3, 1000):
         monkeypatch.setattr(o, "small_enough", lambda *_: False)
-        assert rows(o.orphans(edges, targets, heavy_keys=heavy).select("edge_id", "ref_field", "reason")) == sorted(WANT, key=repr)
+        assert rows(o.orphans(edges, targets, heavy_cells=heavy).select("edge_id", "ref_field", "reason")) == sorted(WANT, key=repr)
 
 
 def test_counts_agree_with_rows(tables, rows):
@@ -49,3 +49,27 @@ def test_empty(spark, tables, rows):
     assert rows(o.orphans(edges.limit(0), targets)) == []
     bare = [o.Target("cwe_id", targets[0].rows.limit(0), "cwe_id", o.number_key)]
     assert {r.reason for r in o.orphans(edges, bare).collect()} == {"missing"}
+
+
+def test_births_and_deaths_within_a_month_against_brute_force(spark):
+    """A key that holds most references and most target rows, with many lives, some equal to references' times to the second."""
+    import random
+
+    r = random.Random(5)
+    at = lambda: D(1) + dt.timedelta(minutes=r.randrange(3 * 1440) // r.choice([1, 60]) * 7, seconds=r.choice([0, 0, 30]))
+    lives = [(r.choice(["hot", "hot", "hot", "b", "c"]), at(), r.choice([None, 1, 2, 2])) for _ in range(60)]
+    lives = [(k, c, d and c + dt.timedelta(minutes=r.choice([0, 1, 9, 400, -5]))) for k, c, d in lives] + [("c", None, None)]
+    refs = [(i, r.choice(["HOT", "hot", "hot ", "b", "c", "gone", None]), at()) for i in range(400)]
+    edges = spark.createDataFrame(refs, "edge_id int, product_name string, loaded_at timestamp")
+    target = o.Target("product_name", spark.createDataFrame(lives, "product_name string, created_at timestamp, deleted_at timestamp"), "product_name", o.name_key)
+    want = {}
+    for i, k, t in refs:
+        own = [x for x in lives if k and x[0] == k.strip().lower()]
+        if k and not any(c and c <= t and (d is None or d > t) for _, c, d in own):
+            want[i] = "missing" if not own else "late" if all(c and c > t for _, c, _ in own) else "deleted"
+    got = {x.edge_id: x.reason for x in o.orphans(edges, [target]).collect()}
+    assert got == want and len(set(want.values())) == 3
+    n = o.orphan_counts(edges, [target]).collect()
+    assert sum(x.n_refs for x in n) == sum(k is not None for _, k, _ in refs)
+    for kind in ("missing", "late", "deleted"):
+        assert sum(x[f"n_{kind}"] for x in n) == sum(v == kind for v in want.values())
