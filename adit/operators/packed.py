@@ -50,6 +50,109 @@ def _spread(mask: np.ndarray, at: np.ndarray, n: int) -> None:
         mask[at + k] = True
 
 
+def _neighbours(solid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte, the last solid one before it (else -1) and the next one behind it (else the number of bytes)."""
+    n, index = len(solid), np.arange(len(solid))
+    before, behind = np.full(n, -1), np.full(n, n)
+    before[1:] = np.maximum.accumulate(np.where(solid, index, -1))[:-1]
+    behind[:-1] = np.minimum.accumulate(np.where(solid, index, n)[::-1])[::-1][1:]
+    return before, behind
+
+
+def _quotes(marks: np.ndarray, opens: np.ndarray, closes: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The quotes that open or close a quoted value, and the bytes between them.
+
+    A quote can open where a value begins and close where one ends; any other is an ordinary character, and so is one
+    that opens but is never closed. Of neighbouring quotes, an even number stands for characters; of an odd number one
+    opens (the first) or closes (the last). Whether a value is open is the parity of what has opened and closed so far.
+    """
+    n = len(marks)
+    outer, inside = np.zeros(n, bool), np.zeros(n, bool)
+    at = np.flatnonzero(marks)
+    if not len(at):
+        return outer, inside
+    new = np.concatenate(([True], (np.diff(at) > 1) | (cell[at[1:]] != cell[at[:-1]])))
+    start = at[new]
+    end = at[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(at) - 1]))]
+    begins, ends = opens[start], closes[end]
+    use = ((end - start) % 2 == 0) & (begins | ends)
+    start, end, begins, ends = start[use], end[use], begins[use], ends[use]
+    if not len(start):
+        return outer, inside
+    where, index = cell[start], np.arange(len(start))
+    head = np.maximum.accumulate(np.where(np.concatenate(([True], where[1:] != where[:-1])), index, 0))
+    # A quote that could do both turns the state; one that can do one thing sets it.
+    both = begins & ends
+    turns = np.cumsum(both)
+    setter = np.maximum.accumulate(np.where(~both, index, -1))
+    told = setter >= head
+    turned = turns - np.where(told, turns[np.maximum(setter, 0)], turns[head] - both[head])
+    after = (np.where(told, begins[np.maximum(setter, 0)], False) + turned) % 2 == 1
+    before = np.concatenate(([False], after[:-1])) & (index > head)
+    step = np.flatnonzero(before != after)
+    # Steps open and close in turn; a last one that opens stays alone.
+    alone = after[step] & np.concatenate((where[step][1:] != where[step][:-1], [True]))[: len(step)]
+    step = step[~alone]
+    opened, closed = start[step[after[step]]], end[step[~after[step]]]
+    outer[opened] = outer[closed] = True
+    level = np.zeros(n + 1, np.int64)
+    level[opened] += 1
+    level[closed] -= 1
+    return outer, np.cumsum(level[:-1]) > 0
+
+
+_BASE = 1_000_003
+_UNBASE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))))
+
+
+def _guarded(lower: np.ndarray, edge: np.ndarray, quoted: np.ndarray, first: np.ndarray, last: np.ndarray, names: list[bytes]) -> np.ndarray:
+    """The bytes of listed names that stand between edges, outside quotes, the longer of overlapping ones.
+
+    Names are looked up by a rolling hash of the bytes from every edge, once for each length that names have, whatever
+    their number; what is found is compared byte by byte.
+    """
+    n = len(lower)
+    guard = np.zeros(n, bool)
+    index = np.arange(n)
+    starts = np.flatnonzero(((index == first) | edge[np.maximum(index - 1, 0)]) & ~quoted)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n)[:n])))
+    inverse = _powers(_UNBASE, n)
+    by_length: dict[int, list[bytes]] = {}
+    for name in set(names):
+        by_length.setdefault(len(name), []).append(name)
+    for size in sorted(by_length, reverse=True):
+        at = starts[starts + size <= n]
+        at = at[(at + size - 1 <= last[at])]
+        at = at[(at + size - 1 == last[at]) | edge[np.minimum(at + size, n - 1)]]
+        at = at[~guard[at] & ~guard[at + size - 1]]
+        if not len(at):
+            continue
+        text = np.frombuffer(b"".join(sorted(by_length[size])), np.uint8).reshape(-1, size)
+        weights = _powers(_BASE, size)[:size]
+        wanted = ((text.astype(np.uint64) + np.uint64(1)) * weights).sum(axis=1, dtype=np.uint64)
+        order = np.argsort(wanted, kind="stable")
+        given = (sums[at + size] - sums[at]) * inverse[at]
+        place = np.minimum(np.searchsorted(wanted[order], given), len(order) - 1)
+        hit = wanted[order][place] == given
+        at, which = at[hit], order[place[hit]]
+        same = (lower[at[:, None] + np.arange(size)] == text[which]).all(axis=1)
+        at = at[same]
+        if len(at) > 1 and (np.diff(at) < size).any():  # the first of overlapping names of one length
+            kept, end = [], -1
+            for x in at:
+                if x >= end:
+                    kept.append(x)
+                    end = x + size
+            at = np.array(kept)
+        for k in range(size):
+            guard[at + k] = True
+    return guard
+
+
 def split_buffer(data: np.ndarray, offsets: np.ndarray, protected: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Split the cells data[offsets[i]:offsets[i + 1]].
 
@@ -79,46 +182,22 @@ def split_buffer(data: np.ndarray, offsets: np.ndarray, protected: list[bytes])
     loose = np.isin(data, np.frombuffer(SEPARATORS + BRACKETS, np.uint8)) & ~escaped
     for ch in WIDE_SEPARATORS:
         _spread(loose, _find(data, b := ch.encode()), len(b))
-    # Neighbours that are no blank, within the cell; without one the cell's edge counts.
-    solid = np.where(blank, -1, index)
-    prev = np.empty(n, np.int64)
-    prev[0] = -1
-    np.maximum.accumulate(solid[:-1], out=prev[1:])
-    back = np.where(blank, n, index)
-    after = np.full(n, n, np.int64)
-    after[:-1] = np.minimum.accumulate(back[::-1])[::-1][1:]
-    opens = (prev < first) | loose[np.maximum(prev, 0)]
-    closes = (after > last) | loose[np.minimum(after, n - 1)]
-
-    def parity(marks: np.ndarray) -> np.ndarray:
-        """Whether a byte lies behind an odd number of its cell's marks; cells with an odd number have no quotes."""
-        total = np.cumsum(marks)
-        base = np.concatenate(([0], total))[offsets[:-1]]
-        odd = (np.concatenate(([0], total))[offsets[1:]] - base) % 2 == 1
-        return ((total - base[cell]) % 2 == 1) & ~odd[cell]
-
-    double = (data == 34) & ~escaped
-    in_double = parity(double)
-    single = (data == 39) & ~escaped & ~in_double & (opens | closes)
-    in_single = parity(single)
-    double_mark, single_mark = double & (in_double | np.concatenate(([False], in_double[:-1]))), single & (in_single | np.concatenate(([False], in_single[:-1])))
-    quoted = in_double | in_single | double_mark | single_mark
+    # Neighbours that are no blank, within the cell; where a value can begin and end, separators that are blanks count.
+    prev, after = _neighbours(~blank)
+    before, behind = _neighbours(~blank | loose)
+    opens = (before < first) | loose[np.maximum(before, 0)]
+    closes = (behind > last) | loose[np.minimum(behind, n - 1)]
+
+    double_marks, in_double = _quotes((data == 34) & ~escaped, opens, closes, cell)
+    single_marks, in_single = _quotes((data == 39) & ~escaped & ~in_double & ~double_marks, opens, closes, cell)
+    quoted = in_double | in_single | double_marks | single_marks
 
     # Listed names between separators, blanks or the cell's edges keep their separators; longer names win.
-    guard = np.zeros(n, bool)
-    if protected:
-        lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-        edge = loose | blank
-        for name in sorted(protected, key=lambda x: (-len(x), x)):
-            at = _find(lower, name)
-            end = at + len(name)
-            at = at[(end - 1 <= last[at]) & ((at == first[at]) | edge[at - 1]) & ((end - 1 == last[at]) | edge[np.minimum(end, n - 1)])]
-            at = at[~guard[at] & ~guard[at + len(name) - 1] & ~quoted[at]]
-            _spread(guard, at, len(name))
+    lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    guard = _guarded(lower, loose | blank, quoted, first, last, protected) if protected else np.zeros(n, bool)
     free = ~quoted & ~guard
     cut = loose & free
     for word in JOINERS:
-        lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
         at = _find(lower, word)
         end = at + len(word)
         at = at[(at > first[at]) & (end <= last[at])]
@@ -129,7 +208,7 @@ def split_buffer(data: np.ndarray, offsets: np.ndarray, protected: list[bytes])
     inside = ~cut
     starts = inside & ((index == first) | np.concatenate(([True], cut[:-1])))
     run = np.cumsum(starts) - 1
-    solid_at = np.flatnonzero(inside & (~blank | (quoted & ~double_mark & ~single_mark)))
+    solid_at = np.flatnonzero(inside & (~blank | (quoted & ~double_marks & ~single_marks)))
     if not len(solid_at):
         return none
     owner = run[solid_at]
@@ -139,7 +218,11 @@ def split_buffer(data: np.ndarray, offsets: np.ndarray, protected: list[bytes])
 
     # Enclosing quotes go; so do blanks within them at the edges, doubled quotes and the backslashes of escapes.
     mark = data[begin]
-    closed = (stop - begin >= 2) & (data[stop - 1] == mark) & (((mark == 34) & double_mark[begin] & double_mark[stop - 1]) | ((mark == 39) & single_mark[begin] & single_mark[stop - 1]))
+    alike = (stop - begin >= 2) & (data[stop - 1] == mark)
+    marked = ((mark == 34) & double_marks[begin] & double_marks[stop - 1]) | ((mark == 39) & single_marks[begin] & single_marks[stop - 1])
+    # Two quotes with nothing between them are an empty slot.
+    empty = (stop - begin == 2) & ((mark == 34) | (mark == 39)) & ~escaped[begin] & ~escaped[stop - 1]
+    closed = alike & (marked | empty)
     begin, stop = begin + closed, stop - closed
     lead = np.minimum(np.where(begin < n, np.where(blank[np.minimum(begin, n - 1)], after[np.minimum(begin, n - 1)], begin), n), stop)
     begin = np.where(closed, lead, begin)
@@ -205,7 +288,8 @@ def unpack(df: DataFrame, cell_col: str, field_col: str, protected: dict[str, li
     """One row per value of cell_col, with the columns `keep`, the position from 1 and the value.
 
     field_col names the list of protected names that holds for a row. Null, blank, '*' and '-' cells have no rows; empty
-    slots don't count; equal values all count. A quote that is never closed is an ordinary character. Other columns of
+    slots don't count; equal values all count. A quote that is never closed, or stands within a value, is an
+    ordinary character. Other columns of
     df are left out, whatever their names. An empty df gives no rows.
     """
     kept = df.filter(holds_value(F.col(cell_col))).select(*[F.col(f"`{c}`") for c in keep], F.col(cell_col).alias("__cell"), F.col(field_col).alias("__field"))

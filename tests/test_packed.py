@@ -28,6 +28,15 @@ CASES = [
     (";;", []),
     ("andy and x", ["andy", "x"]),
     ("a,a", ["a", "a"]),
+    ('"a, b"; 19" rack', ["a, b", '19" rack']),
+    ('19" rack; "a, b"', ['19" rack', "a, b"]),
+    ('19" rack; 21" rack', ['19" rack', '21" rack']),
+    ('"a; b, c', ['"a', "b", "c"]),
+    ('"x ""y"", z", "", \'p, q\'', ['x "y", z', "p, q"]),
+    ("users' rack, 'a; b'", ["users' rack", "a; b"]),
+    ("x\t\"a,b\"\ny", ["x", "a,b", "y"]),
+    ("blade/rack/blade", ["blade", "rack/blade"]),
+    ("read and write; rack/blade", ["read and write", "rack/blade"]),
 ]
 
 
