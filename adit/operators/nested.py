@@ -2,26 +2,36 @@
 
 JSON text becomes VARIANT, so that optional keys, single objects in place of lists and both dialects need no schema.
 One projection of nested transforms walks the tree and attaches the path of every ancestor; each target table is one
-flatten and one inline of it. The projection is unrolled to `levels` of children. Text that nests deeper goes through
-the same projection again, from the children where the first pass ended, until nothing is left.
+flatten and one inline of it. The projection is unrolled to `levels` of children. Only what text that names children
+more often than that has below is walked on by a stack, on Arrow batches, to whatever depth. Nothing runs while a query
+is being built.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: JSON within JSON strings is undone so often. Every layer doubles the backslashes of the one below, so that a text of the largest size Spark holds has fewer layers.
-ENCODINGS = 8
 MATCH_LISTS, MATCH_IDS = ("cpeMatch", "cpe_match"), ("criteria", "cpe23Uri")
 
 
 def decoded(text: Column) -> Column:
-    """The value of a JSON text that may be encoded more than once; null when any layer isn't valid JSON."""
+    """The value of a JSON text that may be encoded more than once; null when any layer isn't valid JSON.
+
+    Every layer of encoding doubles the backslashes of the one below it, so that a text has fewer layers than its length
+    has binary digits: so many are undone.
+    """
+    is_text = lambda t: t.rlike(r'^[ \t\r\n]*"')
+
     def undo(t: Column, _: Column) -> Column:
-        return F.when(F.ltrim(t).startswith('"'), F.try_variant_get(F.try_parse_json(t), "$", "string")).otherwise(t)
+        return F.when(is_text(t), F.try_variant_get(F.try_parse_json(t), "$", "string")).otherwise(t)
 
-    return F.try_parse_json(F.aggregate(F.sequence(F.lit(1), F.lit(ENCODINGS)), text, undo))
+    layers = F.sequence(F.lit(1), F.length(F.bin(F.length(text).cast("bigint"))) + 1)
+    return F.try_parse_json(F.when(is_text(text), F.aggregate(layers, text, undo)).otherwise(text))
 
 
 def is_object(v: Column) -> Column:
@@ -86,23 +96,13 @@ def flatten_configurations(records: DataFrame, key_col: str = "record_id", text_
     tops = tops.filter(is_object(F.col("conf")))
     configurations = tops.select(key_col, "config_pos", F.upper(_get(F.col("conf"), "operator", "string")).alias("operator"), F.size(_child(F.col("conf"), "nodes")).alias("n_nodes"))
 
-    walked = F.flatten(
-        F.transform(
-            as_list(F.col("v")),
-            lambda conf, i: F.flatten(F.transform(_child(conf, "nodes"), lambda n, j: _node(n, _join(i.cast("string"), j), i.cast("string"), levels))),
-        )
-    )
-    nodes = base.select(key_col, F.inline(walked))
-    parts, rest = [nodes], _deeper(records, key_col, text_col, nodes, levels)
-    while rest is not None:
-        below = F.flatten(F.transform("rest", lambda c, i: _node(c, _join(F.col("node_path"), i), F.col("node_path"), levels)))
-        nodes = rest.select(key_col, "node_path", "rest").select(key_col, F.inline(below))
-        parts.append(nodes)
-        rest = nodes.filter(F.size("rest") > 0)
-        rest = None if rest.isEmpty() else rest
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    nodes = base.select(key_col, F.inline(_walked(levels)))
+    # Only text that names children more than `levels` times can nest deeper, so that most text isn't parsed for this. A
+    # key may be written with escapes for its letters, and every encoding hides some; such text is parsed too.
+    names = F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("children"), F.lit("")))
+    deep = records.filter(F.col(text_col).isNotNull() & ((names > 8 * levels) | F.contains(F.col(text_col), F.lit("\\u00"))))
+    left = deep.select(F.col(key_col), decoded(F.col(text_col)).alias("v")).select(key_col, F.inline(_walked(levels))).filter(F.size("rest") > 0)
+    every = nodes.drop("rest").unionByName(_below(left, key_col))
     flat_nodes = every.select(
         key_col, "node_path", "parent_path", (F.size(F.split("node_path", "/")) - 2).alias("depth"), "operator", "negate", F.size("matches").alias("n_matches")
     )
@@ -124,19 +124,45 @@ def flatten_configurations(records: DataFrame, key_col: str = "record_id", text_
     return FlatTables(configurations, flat_nodes, matches)
 
 
-def _deeper(records: DataFrame, key_col: str, text_col: str, nodes: DataFrame, levels: int) -> DataFrame | None:
-    """Nodes whose children the first pass left. Only text that names children more than `levels` times can have any, so most text isn't parsed for this."""
-    names = F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("children"), F.lit("")))
-    # A key may be written with escapes for its letters; such text is parsed too.
-    deep = records.filter((names > 8 * levels) | F.contains(F.col(text_col), F.lit("\\u00")))
-    if deep.isEmpty():
-        return None
-    base = deep.select(F.col(key_col), decoded(F.col(text_col)).alias("v"))
-    walked = F.flatten(
-        F.transform(
-            as_list(F.col("v")),
-            lambda conf, i: F.flatten(F.transform(_child(conf, "nodes"), lambda n, j: _node(n, _join(i.cast("string"), j), i.cast("string"), levels))),
-        )
+def _walked(levels: int) -> Column:
+    """All nodes of all configurations of the value v."""
+    return F.flatten(
+        F.transform(as_list(F.col("v")), lambda conf, i: F.flatten(F.transform(_child(conf, "nodes"), lambda n, j: _node(n, _join(i.cast("string"), j), i.cast("string"), levels))))
     )
-    rest = base.select(key_col, F.inline(walked)).filter(F.size("rest") > 0)
-    return None if rest.isEmpty() else rest
+
+
+def _listed(x: object) -> list:
+    return x if isinstance(x, list) else [x] if isinstance(x, dict) else []
+
+
+def _word(x: object) -> str | None:
+    """A scalar as the text that a variant gives for it."""
+    return x if isinstance(x, str) or x is None else None if isinstance(x, (list, dict)) else json.dumps(x)
+
+
+def _below(left: DataFrame, key_col: str) -> DataFrame:
+    """The nodes under the children that the projection left: a stack in place of recursion, so that no depth is too much."""
+    kind = left.schema[key_col].dataType.simpleString()
+    given = left.select(key_col, "node_path", F.to_json(F.struct("rest")).alias("rest"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, columns = [], [[] for _ in range(5)]
+            for i, (path, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                stack = [(path, k, v) for k, v in reversed(list(enumerate(json.loads(text)["rest"])))]
+                while stack:
+                    parent, k, v = stack.pop()
+                    own = f"{parent}/{k}"
+                    node = v if isinstance(v, dict) else {}
+                    operator, negate = _word(node.get("operator")), _word(node.get("negate"))
+                    matches = [m for name in MATCH_LISTS for m in _listed(node.get(name))]
+                    rows.append(i)
+                    for c, value in zip(columns, (own, parent, operator and operator.upper(), negate and negate.lower(), [json.dumps(m) for m in matches])):
+                        c.append(value)
+                    stack += [(own, j, c) for j, c in reversed(list(enumerate(_listed(node.get("children")))))]
+            kinds = [pa.string()] * 4 + [pa.list_(pa.string())]
+            names = [key_col, "node_path", "parent_path", "operator", "negate", "matches"]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, kinds)]], names)
+
+    found = given.mapInArrow(walk, f"`{key_col}` {kind}, node_path string, parent_path string, operator string, negate string, matches array<string>")
+    return found.withColumn("matches", F.transform("matches", lambda m: F.try_parse_json(m)))

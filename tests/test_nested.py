@@ -40,7 +40,17 @@ def deep(levels):
     return json.dumps([{"nodes": [n]}])
 
 
+def encoded(value, times):
+    for _ in range(times):
+        value = json.dumps(value)
+    return value
+
+
 TEXTS = [
+    *[encoded([{"nodes": [{"cpeMatch": [M(f"encoded {k}")]}]}], k) for k in (7, 8, 9, 12, 15)],
+    encoded([{"nodes": [{"negate": True, "operator": 5, "children": json.loads(deep(40))[0]["nodes"]}]}], 2),
+    "\n\t" + encoded([{"nodes": {"cpeMatch": M("blank")}}], 2),
+    deep(60),
     json.dumps({"nodes": {"cpe_match": {"cpe23Uri": "one"}}}),
     json.dumps([{"nodes": [{"cpeMatch": [{"criteria": ""}, None, {"criteria": None, "cpe23Uri": "b"}, M("a")]}]}, None, {"nodes": None}, {}]),
     json.dumps(json.dumps(json.dumps([{"nodes": [{"cpeMatch": [M("encoded")]}]}]))),
@@ -67,7 +77,7 @@ def test_against_brute_force(spark, rows, levels):
 
 
 def test_parents_exist(spark):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)] + [(3, TEXTS[3])], "record_id int, configurations string")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)] + [(11, TEXTS[11])], "record_id int, configurations string")
     flat = flatten_configurations(df, levels=2)
     nodes = {(r.record_id, r.node_path): r for r in flat.nodes.collect()}
     confs = {(r.record_id, str(r.config_pos)) for r in flat.configurations.collect()}
