@@ -79,7 +79,8 @@ def closeness(a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0), 1 - F.abs(a - b) / 10).otherwise(0.0)
 
 
-WEIGHTS = {"AFFECTS": 0.4, "HAS_WEAKNESS": 0.3, "HAS_ATTACK_PATTERN": 0.2}
+#: Shares of the parts of a similarity.
+WEIGHTS = {"HAS_WEAKNESS": 0.4, "AFFECTS": 0.3, "HAS_ATTACK_PATTERN": 0.2}
 SCORE_WEIGHT = 0.1
 
 
