@@ -27,7 +27,7 @@ KINDS = (
     regex.compile(r"[.!?…][\"'”’)\]]*\s+|[。！？．][」』”’）]*\s*"),
     regex.compile(r"\s+|[、，；：]"),
 )
-#: A boundary of a strong kind is taken if the piece has at least this share of the limit; the weakest kind always.
+#: A boundary of a strong kind is taken if the piece has more than this share of the limit; the weakest kind always.
 FILL = 0.5
 _JOINED = {0x200D, 0xFE0E, 0xFE0F}
 
@@ -53,14 +53,25 @@ def boundaries(text: str) -> list[np.ndarray]:
     return out
 
 
+def _within(text: str, at: int) -> bool:
+    """Whether `at` is within what is written with several code points: a base and its accents, a joined sequence, a line end."""
+    return bool(unicodedata.combining(text[at])) or ord(text[at]) in _JOINED or ord(text[at - 1]) == 0x200D or text[at - 1 : at + 1] == "\r\n"
+
+
 def _whole(text: str, at: int, low: int) -> int:
-    """The last place at or before `at`, above low, that is not within a character; `at` if there is none near."""
-    if at >= len(text):
-        return at
-    for k in range(at, max(low, at - 32), -1):
-        if not (unicodedata.combining(text[k]) or ord(text[k]) in _JOINED or ord(text[k - 1]) == 0x200D or text[k - 1 : k + 1] == "\r\n"):
-            return k
-    return at
+    """The last place at or before `at`, above low, that is not within a character; `at` if one character fills it all."""
+    k = at
+    while low < k < len(text) and _within(text, k):
+        k -= 1
+    return k if k > low else at
+
+
+def _forward(text: str, at: int, high: int) -> int:
+    """The first place from `at` on, below high, that is not within a character; `at` if there is none."""
+    k = at
+    while 0 < k < high and _within(text, k):
+        k += 1
+    return k if k < high else at
 
 
 def spans(text: str, limit: int, overlap: int, sizes: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -98,13 +109,6 @@ def spans(text: str, limit: int, overlap: int, sizes: np.ndarray | None = None)
     return out
 
 
-def _forward(text: str, at: int, high: int) -> int:
-    for k in range(at, min(high, at + 32)):
-        if k == 0 or not (unicodedata.combining(text[k]) or ord(text[k]) in _JOINED or ord(text[k - 1]) == 0x200D or text[k - 1 : k + 1] == "\r\n"):
-            return k
-    return at
-
-
 def limits(sizes: DataFrame, unit: str = "chars") -> list[Limit]:
     """The limits of one unit from a table (field_name, unit, max_size, overlap)."""
     rows = sizes.filter(F.col("unit") == unit)

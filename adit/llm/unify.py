@@ -26,18 +26,20 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adit.runtime import cut
+from adit.runtime import cut, small_enough
 
-#: Letters of Cyrillic and Greek that look like a Latin letter, each with that letter.
+#: Letters that look like a plain Latin letter, each with that letter.
 CYRILLIC = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
     "С": "C", "Т": "T", "Х": "X", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s",
-    "і": "i", "ј": "j",
+    "і": "i", "ј": "j", "Ѵ": "V", "ѵ": "v", "Ү": "Y", "Һ": "H", "һ": "h", "Ӏ": "I", "ӏ": "l", "ԁ": "d", "Ԛ": "Q",
+    "ԛ": "q", "Ԝ": "W", "ԝ": "w",
 }
 GREEK = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
-    "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o",
+    "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "Ϳ": "J", "ϳ": "j", "Ϲ": "C", "ϲ": "c",
 }
+LATIN = {"ɑ": "a", "ɡ": "g"}
 #: Invisible characters. The zero-width joiner is handled apart, since it shapes emoji.
 INVISIBLE = (
     r"\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b\u200c\u200e\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\ufff9-\ufffb"
@@ -59,20 +61,22 @@ _OTHER = re.compile("[\u0370-\u052f\u1c80-\u1c8f\u1f00-\u1fff\u2de0-\u2dff\ua640
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _TWINS = "".join(sorted(set(CYRILLIC.values()) | set(GREEK.values())))
 _TO_LATIN = str.maketrans(CYRILLIC | GREEK)
-_TO_CYRILLIC = str.maketrans({x: c for c, x in CYRILLIC.items()})
-_TO_GREEK = str.maketrans({x: c for c, x in GREEK.items()})
+# Of several letters that look like one Latin letter, a word takes the first.
+_TO_CYRILLIC = str.maketrans({x: c for c, x in reversed(CYRILLIC.items())})
+_TO_GREEK = str.maketrans({x: c for c, x in reversed(GREEK.items())})
 #: A letter without a twin in another script tells the script of its word; twins that few alphabets have hint at Latin.
-_TELLS = {k: regex.compile(p) for k, p in (("L", rf"(?V1)[\p{{Latin}}--[{_TWINS}]]"), ("C", r"\p{Cyrillic}"), ("G", r"\p{Greek}"), ("hint", "[SIJsij]"), ("any", r"\p{L}"))}
+_TELLS = {k: regex.compile(p) for k, p in (("L", rf"(?V1)[\p{{Latin}}--[{_TWINS}]]"), ("C", r"\p{Cyrillic}"), ("G", r"\p{Greek}"), ("hint", "[SIJsijQWVqwvhdl]"), ("any", r"\p{L}"))}
 
 
 @lru_cache(1)
 def forms() -> dict[str, str]:
-    """Characters that are another form of others, by rule from the character database: width forms, ligatures, letter pairs."""
-    out = dict(HYPHENS)
+    """Characters that are another form of others, by rule from the character database: width forms, ligatures, letter pairs, numerals of letters."""
+    out = HYPHENS | LATIN
     for code in range(0xA0, sys.maxunicode + 1):
         kind, *rest = unicodedata.decomposition(chr(code)).split() or [""]
         to = "".join(chr(int(x, 16)) for x in rest) if kind.startswith("<") else ""
-        letters = kind == "<compat>" and len(to) > 1 and to.isalpha()
+        # Letters of Latin and Greek with a form of their own (a long s, a curled beta) don't look as what they stand for.
+        letters = kind == "<compat>" and to.isalpha() and (len(to) > 1 or not unicodedata.name(chr(code), "").startswith(("LATIN", "GREEK")))
         if to and (kind in SAME_LOOK or letters) and not to.isspace():
             out[chr(code)] = HYPHENS.get(to, unicodedata.normalize("NFC", to))
     return out
@@ -175,27 +179,48 @@ def unified(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") ->
     return rows.filter(plain).withColumn("unified_text", text).unionByName(rows.filter(~plain).mapInArrow(run, kinds))
 
 
+#: A text that more rows hold is divided into slices of about so many where pairs are made.
+SLICE = 50_000
+
+
 def _mark(c: Column) -> Column:
-    return F.unhex(F.sha2(c, 256))
+    """The first 16 bytes of the SHA-256."""
+    return F.substring(F.unhex(F.sha2(c, 256)), 1, 16)
+
+
+def look_classes(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row with its look and its text: key_col, look, text_mark. Rows of equal look look the same; of these, rows of
+    equal text_mark have equal texts.
+
+    Marks are the first 16 bytes of the SHA-256 of the text's form and of the text. Texts without a visible character,
+    null texts among them, have no row.
+    """
+    forms = unified(docs, key_col, text_col).filter(F.col("unified_text").rlike(r"[^\s]"))
+    return forms.select(F.col(f"`{key_col}`"), _mark(F.col("unified_text")).alias("look"), _mark(F.col(f"`{text_col}`")).alias("text_mark"))
 
 
 def look_alikes(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs of rows with different texts of the same look: `{key}_a` < `{key}_b`.
 
-    Texts without a visible character, null texts among them, have no pairs, nor have equal texts with each other. A
-    text's form and the text itself are compared by their SHA-256. Only groups that hold at least two different texts
-    meet in the join; what it gives is the result, so that no group is collected.
+    Texts without a visible character, null texts among them, have no pairs, nor have equal texts with each other. Pairs
+    are made of the different texts of a look first, and only these meet the rows, so that copies are never compared; a
+    text of many rows is divided into slices. What the joins give is the result, and no group is collected.
     """
-    forms = unified(docs, key_col, text_col).filter(F.col("unified_text").rlike(r"[^\s]"))
-    marks = forms.select(F.col(f"`{key_col}`").alias("k"), _mark(F.col("unified_text")).alias("form"), F.xxhash64(F.col(f"`{text_col}`")).alias("h1"), F.hash(F.col(f"`{text_col}`")).alias("h2"))
-    return _pairs(cut(marks, "forms"), key_col)
-
-
-def _pairs(marks: DataFrame, key_col: str) -> DataFrame:
-    """Rows (k, form, h1, h2) to the pairs within a form whose texts differ."""
-    mixed = marks.groupBy("form").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).filter("lo <> hi").select("form")
-    rows = marks.join(mixed, "form", "left_semi")
-    a = rows.select("form", F.col("k").alias("a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
-    b = rows.select("form", F.col("k").alias("b"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
-    met = a.join(b, "form").filter((F.col("a") < F.col("b")) & ((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))))
-    return met.select(F.col("a").alias(f"{key_col}_a"), F.col("b").alias(f"{key_col}_b"))
+    marks = cut(look_classes(docs, key_col, text_col).withColumnRenamed(key_col, "k"), "looks")
+    return _pairs(marks, key_col)
+
+
+def _pairs(marks: DataFrame, key_col: str, slice_rows: int = SLICE) -> DataFrame:
+    """Rows (k, look, text_mark) to the pairs within a look whose texts differ."""
+    texts = marks.groupBy("look", "text_mark").agg(F.count("*").alias("n"))
+    mixed = texts.groupBy("look").agg(F.count("*").alias("texts")).filter("texts > 1").select("look")
+    # Each text of a look of several, with the number of slices of its rows.
+    kept = cut(texts.join(mixed, "look", "left_semi").withColumn("slices", F.ceil(F.col("n") / slice_rows).cast("int")), "texts")
+    few = small_enough(kept)
+    side = kept.select("look", "text_mark", "slices")
+    rows = marks.join(F.broadcast(side) if few else side, ["look", "text_mark"]).select("k", "text_mark", "look", F.pmod(F.xxhash64("k"), F.col("slices")).cast("int").alias("slice"))
+    a, b = (kept.select("look", F.col("text_mark").alias(f"t{x}"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias(f"s{x}")) for x in (1, 2))
+    met = a.join(b, "look").filter("t1 < t2")
+    for x in (1, 2):
+        met = met.join(rows.select("look", F.col("text_mark").alias(f"t{x}"), F.col("slice").alias(f"s{x}"), F.col("k").alias(f"k{x}")), ["look", f"t{x}", f"s{x}"])
+    return met.select(F.least("k1", "k2").alias(f"{key_col}_a"), F.greatest("k1", "k2").alias(f"{key_col}_b"))

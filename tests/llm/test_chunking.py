@@ -46,6 +46,38 @@ def test_natural_places():
     assert all(b % 2 == 0 for _, b in check(accents, 31, 5))
 
 
+def test_long_clusters_stay_whole():
+    cluster = "e" + "\u0301" * 60
+    for a, b in check(cluster * 20, 200, 70):
+        assert a % 61 == 0 and (b % 61 == 0)
+    check("e" + "\u0301" * 500, 100, 10)
+
+
+def test_pieces_against_a_plain_search():
+    """The same rules, tried place by place."""
+    import random
+
+    r = random.Random(3)
+    for _ in range(60):
+        text = "".join(r.choice(["ab", "c ", ". ", "\n", "\n\n", "漏", "。", "x" * 9]) for _ in range(80))
+        limit, overlap = r.randint(8, 60), r.randint(0, 6)
+        marks, want, start = [set(x.tolist()) for x in boundaries(text)], [], 0
+        while len(text) - start > limit:
+            end = 0
+            for k, places in enumerate(marks):
+                least = start + (max(overlap, -(-limit // 2)) if k < 3 else overlap)
+                found = [p for p in range(start + 1, start + limit + 1) if p in places and p > least]
+                if found:
+                    end = found[-1]
+                    break
+            end = end or start + limit
+            want.append((start, end))
+            back = max(start + 1, end - overlap)
+            start = next((p for p in range(back, end) if p in marks[-1]), back)
+        want.append((start, len(text)))
+        assert spans(text, limit, overlap) == want
+
+
 def test_frame(spark, rows):
     long = "word " * 20_000
     df = spark.createDataFrame([(1, "abc def", None, "z"), (1, "abc def", None, "z"), (2, "", "abcdefghijk", "z"), (3, None, None, "z"), (4, long, "x", "z")], "id int, a string, b string, piece string")

@@ -19,9 +19,15 @@ SAME = [
     ("ộ", "ộ"),
     ("ガ", "ｶﾞ"),
     ("Greek o", "Greek ο"),
+    ("5 \u00b5m", "5 \u03bcm"),
+    ("part I, II, x", "part \u2160, \u2161, \u2179"),
+    ("help \u04bbelp", "\u04bbelp help"),
+    ("I am", "\u04c0 am"),
+    ("banana", "b\u0251n\u0251n\u0251"),
+    ("quad word", "\u051bu\u0430d \u051dor\u0501"),
     ("no‍w", "now"),
 ]
-DIFFERENT = [("cafe", "café"), ("a b", "a  b"), ("a\nb", "a b"), ("x2", "x²"), ("1", "2"), ("A", "a"), ("\U0001f469‍\U0001f4bb", "\U0001f469\U0001f4bb"), ("a-b", "a—b"), ("и", "й"), ("abc", "abd"), ("1/2", "½")]
+DIFFERENT = [("cafe", "café"), ("a b", "a  b"), ("a\nb", "a b"), ("x2", "x²"), ("1", "2"), ("A", "a"), ("\U0001f469‍\U0001f4bb", "\U0001f469\U0001f4bb"), ("a-b", "a—b"), ("и", "й"), ("abc", "abd"), ("1/2", "½"), ("s", "\u017f"), ("\u03b2", "\u03d0")]
 
 
 @pytest.mark.parametrize("a,b", SAME)
@@ -55,6 +61,20 @@ def test_frames(spark, rows):
     assert look_alikes(df.limit(0)).count() == 0
 
 
+def test_slices_give_the_same_pairs(spark, rows):
+    from adit.llm.unify import _pairs, look_classes
+
+    docs = [(i, ["same", "s\u200bame", "same\u200b", "\u0455ame", "other"][i % 5 if i % 3 else 0]) for i in range(60)]
+    marks = look_classes(spark.createDataFrame(docs, "doc_id bigint, text string")).withColumnRenamed("doc_id", "k")
+    want = {(a, b) for a, s in docs for b, t in docs if a < b and s != t and unify(s) == unify(t)}
+    for size in (1, 7, 1000):
+        assert rows(_pairs(marks, "doc_id", size)) == sorted(want, key=repr)
+
+
+def test_latin_words_among_others():
+    assert unify("он сказал hello all \u0430ll") == "он сказал hello all all"
+
+
 def test_brute_force(spark, rows):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect() if r.text and r.text.strip()]
     forms = {}
