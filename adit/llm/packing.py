@@ -5,25 +5,30 @@ it: large sizes are rounded up to the largest of their group, of few groups with
 programme over configurations of those few sizes, solved by column generation, says how often each configuration is
 used; the actual sizes take the places; what that leaves, and the small sizes, go where they fit best. A plan is a list
 of runs: the items of one size with ranks in a range go to containers that follow each other. Items get their ranks in
-parallel, by buckets within their size, and find their container by a join with the runs.
+parallel, by buckets within their size, and find their run by binary search.
+
+Rounded sizes fill a configuration exactly. Where small sizes fill what rounding leaves, few groups are best, else many.
+So the grouping is made for a few shares of large sizes and numbers of groups, and the plan of the fewest containers is
+taken.
 """
 
 from __future__ import annotations
 
 import bisect
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sizes above this share of the capacity are large. `pack` also plans with a greater share, and with no large sizes
-#: at all, which is best fit alone, and takes the plan of the fewest containers.
-LARGE = 1 / 8
-GROUPS = 64
-#: Ranks within a size are counted in so many buckets, so that a size that holds a third of all items isn't one task's.
-BUCKETS = 64
+#: Sizes above this share of the capacity are large; large sizes are rounded in so many groups.
+LARGE = (1 / 8, 1 / 5, 3 / 10)
+GROUPS = (8, 12, 16, 64)
+#: A size's items are ranked in buckets of about so many, so that no task sorts more, whatever share of all items a size has.
+BUCKET_ITEMS = 200_000
 
 
 @dataclass
@@ -70,7 +75,7 @@ def _configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds
     return [(basis[:, j].astype(int), max(0.0, float(use[j]))) for j in range(k)]
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, large: float = LARGE) -> tuple[list[Run], int]:
+def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS[0], large: float = LARGE[1]) -> tuple[list[Run], int]:
     """Runs for all items of the histogram (size -> number of items), and the number of containers."""
     left = {s: int(n) for s, n in histogram.items() if n > 0}
     taken: dict[int, int] = defaultdict(int)
@@ -128,7 +133,6 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, large:
             if not times or not column.any():
                 continue
             # Each place of the configuration is taken by the next items of its group, largest first; loads change only where sizes do.
-            marks: dict[int, int] = {0: 0}
             changes: dict[int, int] = defaultdict(int)
             for g, many in enumerate(column):
                 for _ in range(many):
@@ -146,7 +150,6 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, large:
                     if at < times:
                         changes[at] -= last
             points, load = sorted(changes), 0
-            del marks
             for i, at in enumerate(points):
                 load += changes[at]
                 until = points[i + 1] if i + 1 < len(points) else times
@@ -172,7 +175,7 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, large:
             full = min(number, left[size] // each)
             if full:
                 place(size, full * each, first, each)
-                offer(room - full_size(each, size), first, full)
+                offer(room - each * size, first, full)
             if full < number and left[size]:
                 rest = left[size]
                 place(size, rest, first + full, rest)
@@ -183,8 +186,10 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, large:
     return runs, containers
 
 
-def full_size(each: int, size: int) -> int:
-    return each * size
+def best_plan(histogram: dict[int, int], capacity: int) -> tuple[list[Run], int, float, int]:
+    """The plan of the fewest containers: its runs, containers, share of large sizes and number of groups."""
+    plans = ((*plan(histogram, capacity, groups, large), large, groups) for large in LARGE for groups in GROUPS)
+    return min(plans, key=lambda p: p[1])
 
 
 def pack(sizes: DataFrame, key_col: str = "doc_id", size_col: str = "n_tokens", capacity: int = 2048) -> DataFrame:
@@ -199,21 +204,34 @@ def pack(sizes: DataFrame, key_col: str = "doc_id", size_col: str = "n_tokens",
         .select(F.col(f"`{key_col}`").alias("key"), F.col(size_col).cast("bigint").alias("n"))
         .select("key", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / capacity).cast("int"))).alias("part_no"))
         .select("key", "part_no", F.least(F.lit(capacity).cast("bigint"), F.col("n") - F.col("part_no").cast("bigint") * capacity).cast("int").alias("size"))
-        .withColumn("bucket", F.pmod(F.xxhash64("key", "part_no"), F.lit(BUCKETS)).cast("int"))
     )
-    # At most `capacity` rows come to the driver, and at most capacity times BUCKETS are counts of buckets.
+    # At most `capacity` rows come to the driver, and the plan that is made of them has a few runs for each size and room.
     histogram = {r[0]: r[1] for r in items.groupBy("size").count().collect()}
-    runs, _ = min((plan(histogram, capacity, large=share) for share in (LARGE, 1 / 4, 1.0)), key=lambda p: p[1])
+    runs, *_ = best_plan(histogram, capacity)
     spark = sizes.sparkSession
-    counts = items.groupBy("size", "bucket").agg(F.count("*").alias("c"))
+    buckets = spark.createDataFrame([(s, -(-n // BUCKET_ITEMS)) for s, n in histogram.items()], "size int, buckets int")
+    spread = items.join(F.broadcast(buckets), "size").withColumn("bucket", F.pmod(F.xxhash64("key", "part_no"), F.col("buckets")).cast("int"))
+    counts = spread.groupBy("size", "bucket").agg(F.count("*").alias("c"))
     offsets = counts.select("size", "bucket", (F.sum("c").over(Window.partitionBy("size").orderBy("bucket")) - F.col("c")).alias("start"))
-    table = spark.createDataFrame([(r.size, r.low, r.high, r.container, r.each) for r in runs], "size int, low bigint, high bigint, container bigint, each bigint")
-    ranked = items.withColumn("r", F.row_number().over(Window.partitionBy("size", "bucket").orderBy("key", "part_no")) - 1)
-    ranked = ranked.join(offsets, ["size", "bucket"]).withColumn("rank", F.col("r") + F.col("start"))
-    placed = ranked.join(F.broadcast(table), "size").filter((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
+    ranked = spread.withColumn("r", F.row_number().over(Window.partitionBy("size", "bucket").orderBy("key", "part_no")) - 1)
+    ranked = ranked.join(offsets, ["size", "bucket"]).select("key", "part_no", "size", (F.col("r") + F.col("start")).alias("rank"))
+
+    runs.sort(key=lambda r: (r.size, r.low))
+    columns = [np.array([getattr(r, c) for r in runs], np.int64) for c in ("size", "low", "container", "each")]
+    span = max(histogram.values(), default=0) + 1
+    shared = spark.sparkContext.broadcast((columns[0] * span + columns[1], *columns[1:]))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, low, container, each = shared.value
+        for batch in batches:
+            rank = batch.column(3).to_numpy()
+            run = np.searchsorted(starts, batch.column(2).to_numpy().astype(np.int64) * span + rank, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(container[run] + (rank - low[run]) // each[run]), *batch.columns[:3]], ["container_id", "key", "part_no", "size"])
+
+    placed = ranked.mapInArrow(place, f"container_id bigint, key {ranked.schema['key'].dataType.simpleString()}, part_no int, size int")
     begin = F.col("part_no").cast("bigint") * capacity
     return placed.select(
-        (F.col("container") + F.expr("(rank - low) div each")).alias("container_id"),
+        "container_id",
         F.col("key").alias(key_col),
         "part_no",
         begin.alias("token_from"),

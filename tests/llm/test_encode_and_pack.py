@@ -7,7 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from adit.llm.encode import TOKENIZERS, count_tokens, decode_ids, encode_corpus, encode_text, encoding
-from adit.llm.packing import pack, plan
+from adit.llm import packing
+from adit.llm.packing import best_plan, pack, plan
 
 ENC = encoding()
 ALPHABET = "ab 'sxyz019\n\t  !?漏洞‍\x1c　=é"
@@ -51,7 +52,7 @@ def test_frames(spark, rows):
 
 
 def check_plan(histogram, capacity):
-    runs, containers = plan(dict(histogram), capacity)
+    runs, containers, *_ = best_plan(dict(histogram), capacity)
     load, seen = Counter(), Counter()
     for r in runs:
         for k in range(r.low, r.high):
@@ -74,6 +75,9 @@ def test_plan_is_tight():
         used, least = check_plan(Counter(rnd.randint(low, high) for _ in range(5000)), 2048)
         # Above half of the capacity no two fit: a container each is the best there is.
         assert used <= 1.03 * least + 1 or low == 900
+    # Small sizes fill what the grouping leaves: it is as tight as best fit alone, which `large=1` is.
+    skewed = Counter(min(2048, int(rnd.lognormvariate(5.6, 1.0)) + 1) for _ in range(8000))
+    assert check_plan(skewed, 2048)[0] <= plan(dict(skewed), 2048, large=1.0)[1]
     assert check_plan({1024: 1000}, 2048) == (500, 500)
     assert check_plan({2048: 7, 683: 6, 682: 3}, 2048)[0] <= 10
 
@@ -91,3 +95,13 @@ def test_pack(spark):
     assert parts == [(0, 0, 2048), (1, 2048, 4096), (2, 4096, 5000)]
     assert sum(load.values()) == sum(n or 0 for _, n in sizes) and not {r.doc_id for r in got} & {3, 4}
     assert pack(df.limit(0)).count() == 0
+
+
+def test_a_size_of_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ITEMS", 50)
+    df = spark.createDataFrame([(k, 300 if k % 3 else 10 + k % 90) for k in range(1500)], "doc_id bigint, n_tokens bigint")
+    load, seen = Counter(), set()
+    for r in pack(df, capacity=1000).collect():
+        load[r.container_id] += r.n_tokens
+        seen.add(r.doc_id)
+    assert len(seen) == 1500 and max(load.values()) <= 1000 and sum(load.values()) / len(load) > 960
