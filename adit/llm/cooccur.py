@@ -45,22 +45,30 @@ def item_counts(baskets: DataFrame) -> DataFrame:
     return baskets.select("field_name", F.explode("items").alias("item")).groupBy("field_name", "item").agg(F.count("*").alias("n"))
 
 
-def pair_counts(baskets: DataFrame, min_count: int = 3, min_share: float = 0.001, min_lift: float = 0.0) -> DataFrame:
-    """field_name, item_a, item_b (item_a < item_b by code point), n_ab, n_a, n_b, n_records of all pairs with
-    n_ab >= min_count, n_ab >= min_share * n_records and n_ab * n_records >= min_lift * n_a * n_b.
+def frequent_items(baskets: DataFrame, min_count: int = 3, min_share: float = 0.001) -> DataFrame:
+    """field_name, item, n, n_records of the items that have the support, stored.
 
-    Every item that stays has a min_share of the records, so a field has at most (mean basket size) / min_share of them;
-    that bound, and a count, let them be broadcast.
+    Every item has a min_share of the records, so a field has at most (mean basket size) / min_share of them.
     """
     totals = baskets.groupBy("field_name").agg(F.count("*").alias("n_records"))
-    least = F.greatest(F.lit(min_count).cast("double"), F.col("n_records") * min_share)
-    # Shares are compared in whole numbers: n * (1 / min_share) >= n_records.
-    share = F.lit(round(1 / min_share)) if min_share else F.lit(0)
     items = item_counts(baskets).join(F.broadcast(totals), "field_name")
-    frequent = items.filter((F.col("n") >= min_count) & ((F.col("n") * share >= F.col("n_records")) if min_share else F.lit(True)))
+    return cut(items.filter((F.col("n") >= min_count) & _has_share("n", min_share)), "items")
+
+
+def _has_share(n: str, min_share: float) -> Column:
+    """Shares are compared in whole numbers: n * (1 / min_share) >= n_records."""
+    return F.col(n) * F.lit(round(1 / min_share)) >= F.col("n_records") if min_share else F.lit(True)
+
+
+def pair_counts(baskets: DataFrame, min_count: int = 3, min_share: float = 0.001, min_lift: float = 0.0, frequent: DataFrame | None = None) -> DataFrame:
+    """field_name, item_a, item_b (item_a < item_b by code point), n_ab, n_a, n_b, n_records of all pairs with
+    n_ab >= min_count, n_ab >= min_share * n_records and n_ab * n_records >= min_lift * n_a * n_b.
+
+    frequent: the frequent_items, if they are at hand. A count lets them be broadcast.
+    """
+    frequent = frequent_items(baskets, min_count, min_share) if frequent is None else frequent
     if min_lift:  # n_ab <= min(n_a, n_b), so the greater of the two has at most n_records / min_lift
         frequent = frequent.filter(F.col("n") * min_lift <= F.col("n_records"))
-    frequent = cut(frequent, "items")
     few = small_enough(frequent)
     side = F.broadcast(frequent) if few else frequent
     # The items' numbers replace their names in the shuffles; their order is the items'.
@@ -74,7 +82,7 @@ def pair_counts(baskets: DataFrame, min_count: int = 3, min_share: float = 0.001
     if few:
         a, b = F.broadcast(a), F.broadcast(b)
     out = counted.join(a, ["field_name", "item_a"]).join(b, ["field_name", "item_b"])
-    out = out.filter((F.col("n_ab") * share >= F.col("n_records")) if min_share else F.lit(True))
+    out = out.filter(_has_share("n_ab", min_share))
     if min_lift:
         out = out.filter(F.col("n_ab") * F.col("n_records") >= F.lit(min_lift) * F.col("n_a") * F.col("n_b"))
     return out.select("field_name", "item_a", "item_b", "n_ab", "n_a", "n_b", "n_records")
@@ -84,17 +92,50 @@ def _classes(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log(counts) / np.log(CLASS_RATIO)).astype(np.int64)
 
 
-def fit_null(degrees: np.ndarray, degree_counts: np.ndarray, sizes: np.ndarray, size_counts: np.ndarray, rounds: int = 500, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
-    """x by item degree and y by basket size, from the numbers of items and baskets with each; a fixed-point iteration."""
-    total = float((degrees * degree_counts).sum())
-    x, y = degrees / np.sqrt(total), sizes / np.sqrt(total)
+#: What stands for the infinite parameter of an item in every basket or a basket with every item, and for the one of what has nothing but these.
+SURE, NONE = 1e20, 1e-10
+
+
+def fit_null(degrees: np.ndarray, degree_counts: np.ndarray, sizes: np.ndarray, size_counts: np.ndarray, rounds: int = 20_000, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """x by item degree and y by basket size, from the numbers of items and baskets with each; a fixed-point iteration.
+
+    It ends when every expected degree and size is within `tolerance` of the observed one. Items in every basket and
+    baskets with every item are sure; they are taken out first, until none is left, as their parameters are infinite.
+    Margins whose fit is still further than 1e-3 from them after all rounds raise a ValueError.
+    """
+    d, s = degrees.astype(float).copy(), sizes.astype(float).copy()
+    x, y = np.full(len(d), NONE), np.full(len(s), NONE)
+    items, baskets = np.ones(len(d), bool), np.ones(len(s), bool)
+    while True:
+        full = items & (d >= size_counts[baskets].sum() - 1e-9) & (d > 0)
+        if full.any():
+            x[full], items[full] = SURE, False
+            s[baskets] -= degree_counts[full].sum()
+        whole = baskets & (s >= degree_counts[items].sum() - 1e-9) & (s > 0)
+        if whole.any():
+            y[whole], baskets[whole] = SURE, False
+            d[items] -= size_counts[whole].sum()
+        items &= d > 1e-9
+        baskets &= s > 1e-9
+        if not (full.any() or whole.any()):
+            break
+    if not items.any() or not baskets.any():
+        return x, y
+    d, s, dc, sc = d[items], s[baskets], degree_counts[items], size_counts[baskets]
+    total = float((d * dc).sum())
+    u, v = d / np.sqrt(total), s / np.sqrt(total)
+    far = np.inf
     for _ in range(rounds):
-        x_new = degrees / (size_counts * (y / (1 + np.outer(x, y)))).sum(axis=1)
-        y_new = sizes / (degree_counts[:, None] * (x_new[:, None] / (1 + np.outer(x_new, y)))).sum(axis=0)
-        done = max(np.abs(x_new / x - 1).max(), np.abs(y_new / y - 1).max()) < tolerance
-        x, y = x_new, y_new
-        if done:
+        u_new = d / (sc * (v / (1 + np.outer(u, v)))).sum(axis=1)
+        v_new = s / (dc[:, None] * (u_new[:, None] / (1 + np.outer(u_new, v)))).sum(axis=0)
+        # A parameter's step is the ratio of the observed to the expected margin.
+        far = max(np.abs(u_new / u - 1).max(), np.abs(v_new / v - 1).max())
+        u, v = u_new, v_new
+        if far < tolerance:
             break
+    if far > 1e-3:
+        raise ValueError(f"the null doesn't fit the frequencies: a margin is off by {far:.1e} after {rounds} rounds")
+    x[items], y[baskets] = u, v
     return x, y
 
 
@@ -144,7 +185,9 @@ def surprise(baskets: DataFrame, min_count: int = 3, min_share: float = 0.001) -
     that have the support). Empty baskets give no rows.
     """
     spark = baskets.sparkSession
-    pairs = pair_counts(baskets, min_count, min_share)
+    frequent = frequent_items(baskets, min_count, min_share)
+    pairs = pair_counts(baskets, min_count, min_share, frequent=frequent)
+    eligible = {r[0]: r[1] for r in frequent.groupBy("field_name").count().collect()}
     # Numbers of items by degree and of baskets by size. Degrees differ at most as the root of all elements; classes bound them further.
     degree = item_counts(baskets).groupBy("field_name", (F.floor(F.log(F.col("n").cast("double")) / float(np.log(CLASS_RATIO)))).alias("cls")).agg(F.count("*").alias("items"), F.sum("n").alias("n"))
     size = baskets.groupBy("field_name", (F.floor(F.log(F.size("items").cast("double")) / float(np.log(CLASS_RATIO)))).alias("cls")).agg(F.count("*").alias("m"), F.sum(F.size("items")).alias("n"))
@@ -155,9 +198,8 @@ def surprise(baskets: DataFrame, min_count: int = 3, min_share: float = 0.001) -
         s = sorted((r.cls, r.n / r.m, r.m) for r in rows["s"] if r.field_name == f)
         dv, dc, sv, sc = (np.array(v, float) for v in ([x[1] for x in d], [x[2] for x in d], [x[1] for x in s], [x[2] for x in s]))
         x, y = fit_null(dv, dc, sv, sc)
-        support = max(min_count, int(np.ceil(sc.sum() * min_share)))
-        eligible = sum(c for _, v, c in d if v >= support)
-        model[f] = (np.log(dv), x, y, sc, max(1.0, eligible * (eligible - 1) / 2))
+        n = eligible.get(f, 0)
+        model[f] = (np.log(dv), np.log(x), y, sc, max(1.0, n * (n - 1) / 2))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +210,7 @@ def surprise(baskets: DataFrame, min_count: int = 3, min_share: float = 0.001) -
                 at = np.flatnonzero(fields == f)
                 logs, x, y, m, many = model[f]
                 for part in np.array_split(at, max(1, len(at) // 2000)):
-                    xa, xb = (np.exp(np.interp(np.log(v[part]), logs, np.log(x))) for v in (n_a, n_b))
+                    xa, xb = (np.exp(np.interp(np.log(v[part]), logs, x)) for v in (n_a, n_b))
                     q = (xa[:, None] * y / (1 + xa[:, None] * y)) * (xb[:, None] * y / (1 + xb[:, None] * y))
                     mean[part], p[part] = upper_tail(n_ab[part], q, m)
                 tests[at] = many
@@ -181,7 +223,10 @@ def surprise(baskets: DataFrame, min_count: int = 3, min_share: float = 0.001) -
 
 
 def _false_discovery(tested: DataFrame) -> DataFrame:
-    """Benjamini-Hochberg within each field without sorting a field in one task: ranks come from the counts of slices of p."""
+    """Benjamini-Hochberg within each field without sorting a field in one task: ranks come from the counts of slices of p.
+
+    A field's pairs are bounded by the square of its frequent items, whatever the number of baskets.
+    """
     slice_of: Column = F.least(F.lit(16_000), F.floor(-F.log10(F.greatest("p_value", F.lit(1e-320))) * 50)).cast("int")
     t = tested.withColumn("slice", slice_of)
     counts = t.groupBy("field_name", "slice").agg(F.count("*").alias("c"), F.max("p_value").alias("most"))

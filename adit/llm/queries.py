@@ -41,10 +41,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).filter("piece_no = 0").select("ingest_id", "field_name")
 
 
+@query
+def p5_surprise(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs with the support, with their tails under the fitted null."""
+    return surprise(cut(latest_baskets(table(spark, d, "cves")), "baskets"))
+
+
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    baskets = cut(latest_baskets(table(spark, d, "cves")), "baskets")
-    return pair_counts(baskets, min_count=3, min_share=0.001, min_lift=4).select("field_name", "item_a", "item_b")
+    """The surprising pairs that are at least four times as frequent as by chance."""
+    return p5_surprise(spark, d).filter(F.col("n_ab") * F.col("n_records") >= 4 * F.col("n_a") * F.col("n_b")).select("field_name", "item_a", "item_b")
 
 
 @query
@@ -55,12 +61,6 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pair_counts(baskets).select("field_name", "item_a", "item_b", "n_ab", "n_a", "n_b", "n_records", lift.alias("lift"))
 
 
-@query
-def p5_surprise(spark: SparkSession, d: str) -> DataFrame:
-    """The pairs with their tails under the fitted null."""
-    return surprise(cut(latest_baskets(table(spark, d, "cves")), "baskets"))
-
-
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     names = canonical_names(table(spark, d, "vendor_nodes"))

@@ -71,6 +71,49 @@ def test_null_has_the_margins():
     assert np.allclose(p @ sc, d, rtol=1e-4) and np.allclose(dc @ p, s, rtol=1e-4)
 
 
+def test_null_of_sure_items():
+    # One item in all 50 baskets, ten items in five each; one basket holds everything.
+    d, dc, s, sc = np.array([50.0, 5]), np.array([1.0, 10]), np.array([11.0, 2, 1]), np.array([1.0, 40, 9])
+    x, y = c.fit_null(d, dc, s, sc)
+    p = np.outer(x, y) / (1 + np.outer(x, y))
+    assert np.allclose(p @ sc, d, rtol=1e-3) and np.allclose(dc @ p, s, rtol=1e-3)
+    with pytest.raises(ValueError):
+        c.fit_null(np.array([2.0, 10, 40]), np.array([50.0, 20, 5]), np.array([1.0, 4, 8]), np.array([100.0, 60, 32.5]), rounds=1)
+
+
+def test_surprise_of_every_pair_by_hand(spark):
+    """Expected counts, tails and step-up rates of a small field against the exact distribution."""
+    rnd = random.Random(8)
+    data = [sorted({f"i{rnd.randint(0, 6)}" for _ in range(rnd.randint(1, 4))} | ({"p", "q"} if k % 9 == 0 else set())) for k in range(120)]
+    one = {x: sum(x in b for b in data) for b in data for x in b}
+    d, dc = np.unique(np.array(list(one.values()), float), return_counts=True)
+    s, sc = np.unique(np.array([len(b) for b in data], float), return_counts=True)
+    x, y = c.fit_null(d, dc.astype(float), s, sc.astype(float))
+    x_of, y_of = dict(zip(d, x)), dict(zip(s, y))
+    exact = {}
+    for a, b in combinations(sorted(one), 2):
+        n = sum(a in k and b in k for k in data)
+        if n >= 3:
+            dist = np.array([1.0])
+            for k in data:
+                u, v = x_of[one[a]] * y_of[len(k)], x_of[one[b]] * y_of[len(k)]
+                q = u / (1 + u) * v / (1 + v)
+                dist = np.convolve(dist, [1 - q, q])
+            exact[a, b] = (dist @ np.arange(len(dist)), dist[n:].sum())
+    df = spark.createDataFrame([(str(i), "f", b) for i, b in enumerate(data)], "basket string, field_name string, items array<string>")
+    got = {(r.item_a, r.item_b): r for r in c.surprise(df, 3, 0.001).collect()}
+    assert set(got) == set(exact)
+    for k, (mean, p) in exact.items():
+        assert got[k].expected == pytest.approx(mean, rel=0.02)
+        assert got[k].p_value == pytest.approx(p, rel=0.15, abs=0.03)
+    tests, order = len(one) * (len(one) - 1) / 2, sorted(got.values(), key=lambda r: r.p_value)
+    best = 1.0
+    for rank in range(len(order), 0, -1):
+        best = min(best, order[rank - 1].p_value * tests / rank)
+        if order[rank - 1].p_value < 0.9:
+            assert order[rank - 1].q_value == pytest.approx(best, rel=1e-6)
+
+
 def test_surprise(baskets):
     _, df = baskets
     got = c.surprise(df, 3, 0.01).collect()
