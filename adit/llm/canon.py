@@ -2,9 +2,10 @@
 
 A value is first written plainly: percent codes and entities resolved, letters without accents and in one script, camel case taken
 apart, legal forms and regions left out. An automaton over all canonical names and aliases then finds every mention that
-starts and ends with a token; the longest of overlapping mentions wins. What has no mention goes to a similarity of token
-sets that allows for misspelt, abbreviated, left out and reordered tokens. A value that fits several entries equally
-well, or one only in part, stays unmatched.
+starts and ends with a token; the longest of overlapping mentions wins. What has no mention goes to the similarity of its
+token set to those of the entries, found by an index of tokens: the share of tokens, of both sides, that have a partner,
+where a partner may be misspelt or abbreviated and counts less then. Order doesn't matter, and tokens that are written as
+one are taken apart at a known token. A value that fits several entries equally well, or none enough, stays unmatched.
 
 Values are mapped where they are, once per different value of a batch, so that neither the rows nor a hot value move.
 """
@@ -25,9 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adit.llm.unify import CYRILLIC, GREEK
-from adit.runtime import BROADCAST_ROWS, small_enough
+from adit.runtime import small_enough
 
 UNMATCHED = "UNMATCHED"
+#: A list of at most so many rows goes to every task: about 3 KB of index for each name.
+MOST_NAMES = 50_000
 #: Legal forms and regions that don't tell companies apart, and values that stand for nobody.
 LEGAL = frozenset(
     "inc incorporated ltd limited llc llp lp plc corp corporation company co gmbh ag kg kgaa ug se sa sas sarl srl spa bv nv ab oy as aps pty pvt sdn bhd the and".split()
@@ -36,15 +39,19 @@ REGIONS = frozenset("emea apac amer latam dach usa us uk eu international intl g
 #: Digits that stand for letters of their shape.
 SHAPES = (str.maketrans("013457", "oleast"), str.maketrans("013457", "oieast"))
 _PLAIN = str.maketrans(CYRILLIC | GREEK)
-#: Keys of at least so many letters may differ by one edit, and by two.
-ONE_EDIT, TWO_EDITS = 6, 12
+#: Tokens of at least so many letters may be misspelt by one edit, and by two; a shorter name by none, as initials are.
+ONE_EDIT, TWO_EDITS, TELLING = 4, 12, 6
+#: A token set needs this similarity to an entry's: one left out of two (2/3) is enough, one that differs of two (1/2) isn't.
+SIMILAR = 0.6
+#: What an abbreviation counts for a token.
+ABBREVIATED = 0.8
 
 
 def tokens(value: str) -> list[str]:
     """The tokens of a value in plain letters, without legal forms and regions; all tokens where nothing else is left."""
     text = unicodedata.normalize("NFKD", unescape(unquote(value.replace("+", " "))).translate(_PLAIN))
     text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Cf", "Cc") or c in "\t\n")
-    text = re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", text).lower()
+    text = re.sub(r"(?<=[a-z])(?=[A-Z][a-z])", " ", text).lower().replace("_", " ")
     text = re.sub(r"\b((?:[^\W\d_]\.){2,})", lambda m: m[0].replace(".", "") + " ", text)
     found = [t for t in re.split(r"[\W_]+", text) if t]
     kept = [t for t in found if t not in LEGAL and t not in REGIONS]
@@ -90,8 +97,7 @@ class Names:
 
     def __init__(self, entries: list[tuple[str, list[str]]]):
         by_key: dict[str, set[str]] = defaultdict(set)
-        token_sets: dict[frozenset[str], set[str]] = defaultdict(set)
-        stems: dict[str, set[tuple[str, tuple[str, ...]]]] = defaultdict(set)
+        sets: dict[frozenset[str], set[str]] = defaultdict(set)
         second = set()
         canonical = {"".join(tokens(name)): name for name, _ in entries}
         for name, others in entries:
@@ -102,27 +108,29 @@ class Names:
                 if not key or (other != name and canonical.get(key, name) != name):
                     continue
                 by_key[key].add(name)
-                if len(t) > 1:
-                    token_sets[frozenset(t)].add(name)
-                    second.update(t[1:])
-                if len(t[0]) >= ONE_EDIT:
-                    stems[t[0]].add((name, tuple(t[1:])))
-        self.by_key, self.token_sets, self.stems, self.second = dict(by_key), dict(token_sets), dict(stems), second
-        self.longest = max(map(len, self.by_key), default=0)
+                sets[frozenset(t)].add(name)
+                second.update(t[1:])
+        self.by_key, self.second = dict(by_key), second
         self.automaton = ahocorasick.Automaton()
         for key in self.by_key:
             self.automaton.add_word(key, key)
         if self.by_key:
             self.automaton.make_automaton()
+        # The index of tokens: the sets that hold a token, the tokens near a misspelling, the tokens by first letter.
+        self.sets = list(sets.items())
+        self.holders: dict[str, list[int]] = defaultdict(list)
+        for i, (members, _) in enumerate(self.sets):
+            for t in members:
+                self.holders[t].append(i)
         self.near: dict[str, list[str]] = defaultdict(list)
-        for key in self.by_key:
-            if len(key) >= ONE_EDIT:
-                for d in _deletes(key, 2 if len(key) >= TWO_EDITS else 1):
-                    self.near[d].append(key)
-        self.near_stem: dict[str, list[str]] = defaultdict(list)
-        for stem in self.stems:
-            for d in _deletes(stem, 1):
-                self.near_stem[d].append(stem)
+        self.endings: dict[str, list[str]] = defaultdict(list)
+        for t in self.holders:
+            if len(t) >= ONE_EDIT:
+                for d in _deletes(t, 2 if len(t) >= TWO_EDITS else 1):
+                    self.near[d].append(t)
+            if t in second:
+                self.endings[t[0]].append(t)
+        self.longest = max(map(len, self.holders), default=0)
         self.find = lru_cache(1 << 16)(self._find)
 
     def _find(self, value: str) -> str:
@@ -130,7 +138,7 @@ class Names:
         if not t:
             return UNMATCHED
         for attempt in ([t] if not any(c.isdigit() for w in t for c in w) else [t, *([w.translate(s) for w in t] for s in SHAPES)]):
-            if found := self._mention(attempt) or self._same_set(attempt):
+            if found := self._mention(attempt):
                 return found
         return self._similar(t) or UNMATCHED
 
@@ -166,58 +174,62 @@ class Names:
             return None
         return next(iter(names))
 
-    def _same_set(self, t: list[str]) -> str | None:
-        return self._one(self.token_sets.get(frozenset(t))) if len(t) > 1 else None
-
     def _similar(self, t: list[str]) -> str | None:
-        best: dict[str, int] = {}
-
-        def offer(names: set[str], d: int) -> None:
-            for n in names:
-                best[n] = min(d, best.get(n, 9))
-
-        orders = [t] if len(t) < 2 else [t, [*t[1:], t[0]], [t[-1], *t[:-1]]]
-        for order in orders:
-            key = "".join(order)
-            most = 2 if len(key) >= TWO_EDITS else 1
-            if not ONE_EDIT <= len(key) <= self.longest + most:
+        """The entry whose token set is most similar, if it is similar enough and the only one."""
+        best, names = 0.0, set()
+        for way in self._ways(t):
+            for i, score in self._scores(way).items():
+                if score > best + 1e-9:
+                    best, names = score, set(self.sets[i][1])
+                elif score > best - 1e-9:
+                    names |= self.sets[i][1]
+        return self._one(names) if best >= SIMILAR else None
+
+    def _ways(self, t: list[str]) -> list[list[str]]:
+        """The tokens as they are, and with one of them taken apart at a known token that it begins or ends with."""
+        out = [t]
+        for i, w in enumerate(t):
+            if w in self.holders or len(w) > 4 * self.longest:
                 continue
-            for k in {k for d in _deletes(key, most) for k in self.near.get(d, ())}:
-                allowed = min(most, 2 if len(k) >= TWO_EDITS else 1)
-                d = distance(key, k, allowed)
-                if d <= allowed and not self._differs(order, k, d):
-                    offer(self.by_key[k], d)
-        if not best:
-            for order in orders:
-                if not ONE_EDIT <= len(order[0]) <= self.longest + 1:
-                    continue
-                for stem in {s for d in _deletes(order[0], 1) for s in self.near_stem.get(d, ())}:
-                    d = distance(order[0], stem, 1)
-                    if d > 1:
-                        continue
-                    fits = {name for name, rest in self.stems[stem] if self._rest(order[1:], rest)}
-                    offer(fits, d)
-        if not best:
-            return None
-        least = min(best.values())
-        return self._one({n for n, d in best.items() if d == least})
-
-    def _differs(self, order: list[str], key: str, d: int) -> bool:
-        """Whether the edits turn one known second token into another, as from labs to media: then it's another company."""
-        if len(order) < 2 or order[-1] not in self.second:
-            return False
-        return not key.endswith(order[-1]) and d > 0 and any(key.endswith(s) for s in self.second if s != order[-1])
-
-    def _rest(self, given: list[str], wanted: tuple[str, ...]) -> bool:
-        """Whether given stands for the tokens behind a name's first: left out, abbreviated or misspelt."""
-        if not given:
-            return True
-        if len(given) != len(wanted):
-            return False
-        return all(g == w or abbreviates(g, w) or abbreviates(w, g) or (len(w) >= ONE_EDIT and g not in self.second and distance(g, w, 1) <= 1) for g, w in zip(given, wanted))
-
-
-def canonical_names(nodes: DataFrame, name_col: str = "vendor_name", others: tuple[str, ...] = ("display_name",), aliases: str = "aliases", max_rows: int = BROADCAST_ROWS) -> list[tuple[str, list[str]]]:
+            for k in range(3, len(w) - 1):
+                if (w[:k] in self.holders and k > 3) or w[k:] in self.second:
+                    out.append([*t[:i], w[:k], w[k:], *t[i + 1 :]])
+        return out
+
+    def _partners(self, w: str) -> dict[str, float]:
+        """The entries' tokens that w may stand for, with what it counts. A known token stands for itself only."""
+        if w in self.holders:
+            return {w: 1.0}
+        out = {e: ABBREVIATED for e in self.endings.get(w[0], ()) if abbreviates(w, e) or abbreviates(e, w)}
+        if ONE_EDIT <= len(w) <= self.longest + 2:
+            for e in {e for d in _deletes(w, 2 if len(w) >= TWO_EDITS else 1) for e in self.near.get(d, ())}:
+                most = 2 if len(e) >= TWO_EDITS else 1
+                d = distance(w, e, most) if len(e) >= TELLING or e in self.second else most + 1
+                if d <= most:
+                    out[e] = max(out.get(e, 0.0), 1 - d / len(e))
+        return out
+
+    def _scores(self, t: list[str]) -> dict[int, float]:
+        """The similarity to every token set that holds a partner of one of the rarer tokens: shares of partners, of both sides."""
+        found = [self._partners(w) for w in dict.fromkeys(t)]
+        # The kind of a business, as a partner, is in many sets; what tells companies apart is in few.
+        telling = {e for p in found for e in p if e not in self.second} or {e for p in found for e in p}
+        out = {}
+        for i in {i for e in telling for i in self.holders[e]}:
+            members, total, used = self.sets[i][0], 0.0, set()
+            for p in found:
+                e = max((e for e in p if e in members and e not in used), key=p.get, default=None)
+                if e is not None:
+                    used.add(e)
+                    total += p[e]
+                elif p and all(e in self.second for e in p):
+                    break  # a kind that the entry hasn't tells of another company
+            else:
+                out[i] = 2 * total / (len(found) + len(members))
+        return out
+
+
+def canonical_names(nodes: DataFrame, name_col: str = "vendor_name", others: tuple[str, ...] = ("display_name",), aliases: str = "aliases", max_rows: int = MOST_NAMES) -> list[tuple[str, list[str]]]:
     """The entries of a list of names. The list goes to every executor: it is counted first, and refused beyond max_rows."""
     rows = nodes.filter(F.col(name_col).isNotNull()).select(name_col, F.array_compact(F.concat(F.array(*others), F.coalesce(aliases, F.array().cast("array<string>")))).alias("o")).distinct()
     if not small_enough(rows, max_rows):
@@ -240,16 +252,18 @@ def map_names(df: DataFrame, key_col: str, fields: list[str], entries: list[tupl
     other columns are ignored.
     """
     kind = df.schema[key_col].dataType.simpleString()
-    exact = [name for name, _ in entries]
     cells = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"`{f}`").alias("value")) for f in fields])
-    rows = df.select(F.col(f"`{key_col}`"), F.inline(cells)).filter(~nobody(F.col("value")) & ~F.col("value").isin(exact))
+    rows = df.select(F.col(f"`{key_col}`"), F.inline(cells)).filter(~nobody(F.col("value")))
+    shared = df.sparkSession.sparkContext.broadcast(tuple((n, tuple(o)) for n, o in entries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = _ready(tuple((n, tuple(o)) for n, o in entries))
+        names = _ready(shared.value)
+        exact = {name for name, _ in shared.value}
         for batch in batches:
             coded = batch.column(2).dictionary_encode()
-            found = pa.array([names.find(v) for v in coded.dictionary.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found.take(coded.indices)], [key_col, "field_name", name_col])
+            found = pa.array([None if v in exact else names.find(v) for v in coded.dictionary.to_pylist()], pa.string())
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found.take(coded.indices)], [key_col, "field_name", name_col])
+            yield out.filter(pa.compute.is_valid(out.column(2)))
 
     return rows.mapInArrow(run, f"`{key_col}` {kind}, field_name string, `{name_col}` string")
 

@@ -29,6 +29,14 @@ CASES = [
     ("ZANDRUFENA AUTOMATION", "kelcorvexane"),
     ("kelvexix&nbsp;laboratories", "kelvexix_labs"),
     ("normirol%20medical", "normirol_medical"),
+    ("nnormirol_medical_s.a.", "normirol_medical"),
+    ("normirol_b.v.", "normirol_medical"),
+    ("media, corinemavny", "corinemavyn_media"),
+    ("corinemavyncloud", "corinemavyn_cloud"),
+    ("corinmavyncloud ltd", "corinemavyn_cloud"),
+    ("corinemavyn cluod", "corinemavyn_cloud"),
+    ("corinmavyn", UNMATCHED),
+    ("nirmorol labs", UNMATCHED),
     ("unknown", UNMATCHED),
     ("...", UNMATCHED),
     ("x" * 5000, UNMATCHED),
@@ -48,6 +56,26 @@ def test_parts():
     assert Names([("a_b", ["c"]), ("c", [])]).find("C") == "c"
 
 
+def test_recall_of_misspelt_names():
+    """Names of two lists with one edit each: those of the list come out as themselves, the others as nobody."""
+    import random
+
+    r = random.Random(4)
+    parts = ["bel", "tov", "nep", "kas", "quil", "ros", "vex", "lum", "jor", "fen", "mir", "zan"]
+    made = sorted({"".join(r.sample(parts, 3)) + r.choice(["", "_labs", "_cloud", "_media", "_systems"]) for _ in range(400)})
+    r.shuffle(made)
+    listed, others = made[:200], [x for x in made[200:] if all(distance(x, y, 4) > 4 for y in made[:200])]
+    names = Names([(x, []) for x in listed])
+
+    def misspelt(x):
+        i = r.randrange(1, len(x.split("_")[0]) - 1)
+        return r.choice([x[:i] + x[i + 1 :], x[:i] + x[i] + x[i:], x[:i] + "w" + x[i + 1 :]])
+
+    right = sum(names.find(misspelt(x)) == x for x in listed)
+    assert right >= 0.97 * len(listed)
+    assert sum(names.find(misspelt(x)) == UNMATCHED for x in others) >= 0.97 * len(others)
+
+
 def test_frame(spark, rows):
     nodes = spark.createDataFrame([("normirol_medical", "Normirol Medical", ["xlvx", None, " "]), ("normirol_medical", "Normirol Medical", ["xlvx", None, " "]), (None, "x", None), ("kelvexix_labs", None, None)], "vendor_name string, display_name string, aliases array<string>")
     entries = canonical_names(nodes)
