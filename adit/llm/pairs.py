@@ -2,9 +2,12 @@
 
 A response is compressed with its own prompt as a zstandard dictionary. What is left is what the response adds; of the
 few responses that add next to nothing, a comparison word by word tells copies from answers that quote and go on.
-Dictionaries of refusals and of the languages' commonest words give two other labels. Whether a response breaks off is
-told by the context of its end: open code, a mark without its item, a heading without its text, and for the last token
-what follows such tokens in the whole corpus, where abbreviations are followed by small letters.
+Dictionaries of refusals and of the languages' scripts and commonest words give two other labels.
+
+Whether a response breaks off is told by the context of its end: open code, a mark without its item, a heading without
+its text, and a model of ends that is learnt from the whole column. The model holds how often finished lines of each kind
+end with a mark, which tokens end finished lines, and which tokens with a point are followed by small letters, so that a
+point behind them ends nothing.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -28,40 +32,75 @@ PLACEHOLDERS = frozenset(
         "undefined", "no answer", "no output", "no response", "not available", "not applicable", "to be done", "your answer here", "insert answer here", "lorem ipsum",
     )
 )
-#: How answers are declined, in the first person.
+#: How answers are declined. Who speaks, what they don't do, and what an assistant could have done.
+_ASSISTANT = r"(?:this|the|your) (?:ai |virtual )?(?:assistant|model|bot|chatbot)"
+_CANT = r"(?:can['’]?t|cannot|can not|won['’]t|will not|may not|(?:am|is|are) (?:unable|not able|not allowed|not permitted) to|(?:must|ha(?:ve|s) to) (?:refuse|decline)|refuses? to|declines? to|do(?:es)? not feel comfortable|do(?:es)?n['’]t feel comfortable)"
+_SERVE = r"(?:help|assist|answer|provide|discuss|comply|fulfil|respond|reply|support|engage|comment|process)"
 REFUSALS = regex.compile(
-    r"\bi(?: am|['’]m)? (?:very |really |truly )?(?:sorry|afraid)\b.{0,60}\b(?:can['’]?t|cannot|can not|unable|not able|won['’]t|must)"
-    r"|\bi (?:can['’]t|cannot|can not|won['’]t|will not|am unable to|am not able to|must (?:refuse|decline)|have to (?:refuse|decline)|refuse to|decline to|don['’]t feel comfortable|do not feel comfortable)\b(?! (?:overstate|stress|emphasi[sz]e|rule out|confirm))"
+    r"\bi(?: am|['’]m)? (?:very |really |truly )?(?:sorry|afraid)\b[^.!?\n]{0,60}\b(?:can['’]?t|cannot|can not|unable|not able|won['’]t|must)"
+    rf"|\bi {_CANT}\b(?! (?:overstate|stress|emphasi[sz]e|rule out|confirm))"
+    rf"|\b(?:we|{_ASSISTANT}) {_CANT} {_SERVE}"
     r"|\bi['’]m (?:unable|not able|not allowed|not permitted)\b"
+    rf"|\bnot (?:a|the|an?) (?:kind of )?(?:request|question|topic|task|subject|thing) (?:that |which )?(?:i|we|{_ASSISTANT}) (?:can|could|will|would|may|am|is|are)\b"
     r"|\bmy (?:policies|policy|guidelines|principles|rules) (?:do|does|don['’]t|doesn['’]t) (?:not )?(?:allow|permit)"
     r"|\bagainst my (?:guidelines|policies|policy|principles|rules)"
     r"|\boutside (?:of )?what i (?:may|can|am)|\boff[ -]limits for me|\bnot be appropriate for me|\bsomething (?:that )?i (?:have to|must) (?:decline|refuse)"
     r"|\bno (?:answer|response|reply|help|assistance) (?:can|may|will) be (?:given|provided|offered)|\bcan(?:no|['’])t be (?:discussed|answered) here"
-    r"|\bas an? (?:ai|assistant|language model)\b.{0,40}\b(?:can['’]?t|cannot|unable|not able)"
-    r"|\b(?:désolée?|regrette)\b.{0,40}\bne (?:peux|puis) pas|\bje ne (?:peux|puis) pas (?:vous )?(?:répondre|aider|traiter)|\bje (?:dois|suis obligée?) (?:de )?(?:refuser|décliner)"
-    r"|\b(?:tut mir leid|leider|bedauere?)\b.{0,60}\bnicht|\bdabei kann ich (?:ihnen |dir )?nicht helfen|\bich (?:muss|möchte) (?:das )?ablehnen"
-    r"|\b(?:lo siento|lamento)\b.{0,40}\bno puedo|\bno puedo (?:ayudar|responder|atender)"
-    r"|(?:к сожалению|извините|простите).{0,40}не (?:могу|в состоянии)|\bя не могу (?:помочь|ответить)|\bвынужден[а]? отказать",
+    r"|\bas an? (?:ai|assistant|language model)\b[^.!?\n]{0,40}\b(?:can['’]?t|cannot|unable|not able)"
+    r"|\b(?:désolée?|regrette)\b[^.!?\n]{0,40}\bne (?:peux|puis) pas|\bje ne (?:peux|puis) pas (?:vous )?(?:répondre|aider|traiter)|\bje (?:dois|suis obligée?) (?:de )?(?:refuser|décliner)"
+    r"|\b(?:tut mir leid|leider|bedauere?)\b[^.!?\n]{0,60}\bnicht|\bdabei kann ich (?:ihnen |dir )?nicht helfen|\bich (?:muss|möchte) (?:das )?ablehnen"
+    r"|\b(?:lo siento|lamento)\b[^.!?\n]{0,40}\bno puedo|\bno puedo (?:ayudar|responder|atender)"
+    r"|(?:к сожалению|извините|простите)[^.!?\n]{0,40}не (?:могу|в состоянии)|\bя не могу (?:помочь|ответить)|\bвынужден[а]? отказать"
+    r"|申し訳(?:ありません|ございません)[^。\n]{0,40}(?:できません|いたしかねます)|(?:お答え|お手伝い)(?:は)?できません|(?:抱歉|对不起|對不起)[^。\n]{0,20}(?:无法|無法|不能)|我(?:无法|無法|不能)(?:回答|提供|协助|協助|帮助|幫助)"
+    r"|죄송(?:합니다|하지만)[^.\n]{0,40}(?:없습니다|수 없)",
     regex.I,
 )
-#: A refusal has at most so many words, headings apart; a longer text goes on to answer.
-REFUSAL_WORDS = 60
-#: Names of languages, by beginning, and commonest words of the languages.
+#: Parts of words, in small letters, of which every refusal has one: a text that has none isn't searched.
+_DECLINES = (
+    "sorry", "afraid", "can't", "can’t", "cant", "cannot", "can not", "won't", "won’t", "will not", "may not", "unable", "not able", "not allowed", "not permitted", "refuse", "decline", "comfortable",
+    "not a", "not the", "polic", "guidelines", "principles", "rules", "outside", "off limits", "off-limits", "appropriate for me", "be given", "be provided", "be offered", "be discussed", "be answered",
+    "désol", "regrett", "peux pas", "puis pas", "refuser", "décliner", "leid", "bedauer", "nicht helfen", "ablehnen", "siento", "lamento", "no puedo", "сожал", "извин", "прост", "не могу", "отказ",
+    "申し訳", "できません", "抱歉", "对不起", "對不起", "无法", "無法", "不能", "죄송",
+)
+
+#: Names of languages, by beginning, and commonest words of the languages that others don't have.
 NAMED = {
     "en": ("english", "englisch", "anglais", "inglés", "английск"),
     "de": ("german", "deutsch", "allemand", "alemán", "немецк"),
     "fr": ("french", "französisch", "français", "francés", "французск"),
     "es": ("spanish", "spanisch", "espagnol", "español", "castellano", "испанск"),
     "ru": ("russian", "russisch", "russe", "ruso", "русск"),
+    "it": ("italian", "italienisch", "italien", "italiano", "итальянск"),
+    "pt": ("portuguese", "portugiesisch", "portugais", "portugués", "português", "португальск"),
+    "nl": ("dutch", "niederländisch", "néerlandais", "neerlandés", "nederlands", "нидерландск"),
+    "pl": ("polish", "polnisch", "polonais", "polaco", "polsk", "польск"),
+    "uk": ("ukrainian", "ukrainisch", "ukrainien", "ucraniano", "українськ", "украинск"),
+    "ja": ("japanese", "japanisch", "japonais", "japonés", "японск", "日本語"),
+    "zh": ("chinese", "chinesisch", "chinois", "chino", "китайск", "中文", "汉语"),
+    "ko": ("korean", "koreanisch", "coréen", "coreano", "корейск", "한국어"),
+    "ar": ("arabic", "arabisch", "arabe", "árabe", "арабск", "العربية"),
+    "el": ("modern greek", "in greek", "griechisch", "en grec", "en griego", "на греческ", "ελληνικά"),
+    "he": ("hebrew", "hebräisch", "hébreu", "hebreo", "иврит", "עברית"),
+    "hi": ("hindi", "хинди", "हिन्दी"),
+    "th": ("in thai", "thailändisch", "thaïlandais", "tailandés", "на тайск", "ภาษาไทย"),
 }
 WORDS = {
     "en": "the of and to is that it was for with are be this on by not which as from they those can may what how why who should these than has have its an or at were been will would there their you your",
     "de": "der die das und ist nicht mit von den dem des ein eine einen einer zu auf für sich im wird werden oder aus durch wenn sie es wie was nur noch auch bei nach dass kann ich wir ihr zum zur als vor über am sofern während",
     "fr": "la le suivant suivante les des est une dans pour qui pas du au aux avec sur par ce cette ces sont ne et il elle vous nous je peut faut quoi comment pourquoi plus sans ou où d l en un à après avant lorsque",
     "es": "la el siguiente siguientes los las una que por con se es para del al lo como más su sus este esta hay cuando cómo qué y si ya sin sobre también pero unos muy todos todas en tras puede",
+    "it": "il gli che non della delle dei nel nella sono è questo questa di più anche quando dal dalla viene essere dopo prima perché",
+    "pt": "não uma dos são pelo pela ao foi também isso você seu sua às quando depois antes então",
+    "nl": "het een van niet dat zijn voor op aan wordt deze door ook bij naar omdat maar wanneer",
+    "pl": "nie jest się na że przez są oraz dla jak po od który która które tylko może gdy przed aby",
 }
 _LANGUAGE_OF = {lang: frozenset(words.split()) for lang, words in WORDS.items()}
-_LETTERS = {"de": "ßäöü", "fr": "èêçàœëîôûâù", "es": "ñ¿¡áíóú"}
+_LETTERS = {"de": "ßäöü", "fr": "èêçàœëîôûâù", "es": "ñ¿¡áíóú", "pt": "ãõ", "pl": "ąćęłńśźż"}
+#: Scripts with the language that they tell, the more particular one first.
+SCRIPTS = {
+    "ja": r"\p{Hiragana}\p{Katakana}", "ko": r"\p{Hangul}", "zh": r"\p{Han}", "uk": "іїєґІЇЄҐ", "ru": r"\p{Cyrillic}", "el": r"\p{Greek}", "ar": r"\p{Arabic}", "he": r"\p{Hebrew}",
+    "hi": r"\p{Devanagari}", "th": r"\p{Thai}",
+}
 
 _INVISIBLE = re.compile("[\u200b-\u200f\u2060-\u2064\ufeff\u00ad]")
 _HEADING = re.compile(r"^[ \t]*(?:#{1,6}[ \t].*|\*\*[^*\n]+\*\*:?|__[^_\n]+__:?)[ \t]*$", re.M)
@@ -73,8 +112,11 @@ _ENDED = regex.compile(r"[.!?…。！？][\"'”’»)\]*_]*$")
 _IDENTIFIERS = regex.compile(r"(?:^|[\s,;(])(?:[A-Z]{2,8}-\d+(?:-\d+)?|T\d{4}(?:\.\d{3})?)(?:[,;\s]+(?:[A-Z]{2,8}-\d+(?:-\d+)?|T\d{4}(?:\.\d{3})?))*$")
 _LINK = re.compile(r"\bhttps?://[\w.-]+\.\w{2,}(?:/\S*)?$")
 _NOT_WORD = regex.compile(r"[^\w\s]+")
-_WORD = regex.compile(r"\p{L}+")
-_CYRILLIC = regex.compile(r"\p{Cyrillic}+")
+_WORD = re.compile(r"[^\W\d_]+")
+_IN_SCRIPT = {lang: regex.compile(f"[{letters}]") for lang, letters in SCRIPTS.items()}
+_OTHER_SCRIPT = regex.compile("[" + "".join(SCRIPTS.values()) + "]")
+_ASCII_WORDS = str.maketrans({chr(c): " " for c in range(128) if not (chr(c).isalnum() or chr(c) == "_")})
+_STOP = re.compile(r"[.!?\n]")
 _SENTENCE = regex.compile(r"(?<=[.!?])\s+|\n+")
 _LABELS = regex.compile(r"^(?:[^\n:]{1,30}: [^\n]*\n)*[^\n:]{1,30}: ")
 _CODE = re.compile(r"```.*?(?:```|\Z)|https?://\S+|`[^`\n]*`", re.S)
@@ -87,24 +129,39 @@ _ABBREVIATION = r"(?:\p{L}{1,4}\.){1,4}"
 
 
 def _plain(text: str | None) -> str:
-    return " ".join(_NOT_WORD.sub(" ", unicodedata.normalize("NFKC", _INVISIBLE.sub("", text or "")).casefold()).split())
+    """Small letters and digits, without marks, invisible characters and widths."""
+    if not text:
+        return ""
+    if text.isascii():
+        return " ".join(text.lower().translate(_ASCII_WORDS).split())
+    return " ".join(_NOT_WORD.sub(" ", unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)).casefold()).split())
 
 
 def is_empty(output: str | None) -> bool:
     """Null, blank, or nothing but placeholders, headings and empty markup."""
     if output is None:
         return True
+    # A long line that begins with a letter or digit and has no markup is more than a placeholder.
+    if any(len(p) > 40 and p[0].isalnum() and "<" not in p for p in output.splitlines()):
+        return False
     text = _MARKUP.sub("", _HEADING.sub("", _INVISIBLE.sub("", output)))
     parts = [p.strip() for p in text.splitlines()]
     return all(not p or p.casefold().strip("[](){}<>*_\"'` ") in PLACEHOLDERS or not p.strip("[](){}<>*_\"'` -.") for p in parts)
 
 
 def is_refusal(output: str) -> bool:
-    core = _HEADING.sub("", output).strip()
-    if len(core.split()) > REFUSAL_WORDS:
-        return False
-    first = _SENTENCE.split(core, maxsplit=2)[:2]
-    return any(REFUSALS.search(s) for s in first)
+    """Whether any sentence, wherever it stands and however long the text is, declines to answer."""
+    low = output.lower()
+    for part in _DECLINES:
+        at = low.find(part)
+        while at >= 0:
+            # No refusal reaches beyond a sentence.
+            stop = _STOP.search(low, at)
+            end = stop.start() if stop else len(low)
+            if REFUSALS.search(low, max(low.rfind(c, 0, at) for c in ".!?\n") + 1, end):
+                return True
+            at = low.find(part, end)
+    return False
 
 
 def added(output: str, prompt: str) -> float:
@@ -152,9 +209,22 @@ def is_copy(output: str, instruction: str | None, prompt: str | None) -> bool:
     return False
 
 
-def is_truncated(output: str, abbreviations: frozenset[str]) -> bool:
+@dataclass(frozen=True)
+class Ends:
+    """What the column tells of ends.
+
+    abbreviations: tokens with a point that don't end a sentence. marked: by kind of line ('item' or 'prose'), the share
+    of finished lines that end with a mark. closing: words that end finished lines without one.
+    """
+
+    abbreviations: frozenset[str] = frozenset()
+    marked: tuple[tuple[str, float], ...] = ()
+    closing: frozenset[str] = frozenset()
+
+
+def is_truncated(output: str, ends: Ends, prompt: str | None = None) -> bool:
     text = _INVISIBLE.sub("", output).rstrip()
-    fences = len(_FENCE.findall(text))
+    fences = len(_FENCE.findall(text)) if "```" in text or "~~~" in text else 0
     if fences % 2:
         return True
     lines = text.splitlines()
@@ -170,12 +240,27 @@ def is_truncated(output: str, abbreviations: frozenset[str]) -> bool:
         return len(numbers) > 1 and numbers[-1] < min(numbers[:-1])
     if _ENDED.search(last):
         token = last.split()[-1].lstrip("([\"'«“")
-        return token in abbreviations or bool(re.search(r"(?:\.\.\.|…)$", last))
-    # A list whose other items end without a point may end so too.
-    items = [x.strip() for x in lines if _ITEM.match(x)]
-    if _ITEM.match(lines[-1]) and len(items) > 2 and not any(_ENDED.search(x) for x in items):
-        return last[-1] in ",;:-–—(" or False
-    return True
+        return token in ends.abbreviations or bool(re.search(r"(?:\.\.\.|…)$", last))
+    if last[-1] in ",;:-–—(":
+        return True
+    # Without a mark: finished if lines of this kind end so, in this text or else in the column, with a whole word.
+    item = bool(_ITEM.match(lines[-1]))
+    others = [x.strip() for x in lines[:-1] if x.strip() and bool(_ITEM.match(x)) == item and not _HEADING.fullmatch(x)]
+    if len(others) > 1 and item:
+        bare = not any(_ENDED.search(x) for x in others)
+    else:
+        bare = dict(ends.marked).get("item" if item else "prose", 1.0) < 0.5
+    return not bare or _is_cut(last, text, prompt, ends)
+
+
+def _is_cut(last: str, text: str, prompt: str | None, ends: Ends) -> bool:
+    """Whether the last word is met nowhere else, but as the beginning of other words."""
+    words = _WORD.findall(last)
+    if not words or not last.endswith(words[-1]):
+        return False
+    w = words[-1].lower()
+    known = {x.lower() for x in _WORD.findall(f"{text[: -len(words[-1])]} {prompt or ''}")} | ends.closing
+    return w not in known and any(x.startswith(w) for x in known)
 
 
 def language(text: str | None) -> str | None:
@@ -184,14 +269,23 @@ def language(text: str | None) -> str | None:
         return None
     low = text.lower()
     words = _WORD.findall(low)
-    if sum(map(len, _CYRILLIC.findall(low))) > 0.4 * sum(map(len, words)):
-        return "ru"
+    if not low.isascii():
+        foreign = len(_OTHER_SCRIPT.findall(low))
+        if foreign and foreign > 0.4 * sum(map(len, words)):
+            counts = {lang: len(p.findall(low)) for lang, p in _IN_SCRIPT.items()}
+            # Japanese and Ukrainian share most letters with another language; their own letters tell them.
+            if counts["ja"] * 10 > counts["zh"]:
+                counts["zh"] = 0
+            counts["ja"] *= 20
+            counts["uk"] *= 30
+            return max(counts, key=counts.get)
     score = dict.fromkeys(_LANGUAGE_OF, 0.0)
-    for w in words:
-        for lang in _IS.get(w, ()):
+    for known in filter(None, map(_IS.get, words)):
+        for lang in known:
             score[lang] += 1
-    for c in _MARKED.findall(low):
-        score[_MARKS[c]] += 0.5
+    if not low.isascii():
+        for c in _MARKED.findall(low):
+            score[_MARKS[c]] += 0.5
     (best, most), (_, second) = sorted(score.items(), key=lambda x: -x[1])[:2]
     return best if most >= 1 and most > 1.3 * second else None
 
@@ -206,40 +300,61 @@ def asked(instruction: str | None) -> str | None:
 
 def answered(output: str, prompt: str | None) -> str | None:
     """The language of what an output says itself: without code, links, headings and what it quotes from the prompt."""
-    text = _CODE.sub(" ", output)
-    text = _HEADING.sub(" ", text)
-    known = _plain(prompt)
-    parts = [p for p in _SENTENCE.split(text) if p.strip()]
-    own = [p for p in parts if not (len(p) > 20 and _plain(p) in known)]
+    text = _CODE.sub(" ", output) if "`" in output or "://" in output else output
+    text = _HEADING.sub(" ", text) if "#" in text or "*" in text or "__" in text else text
+    given, known, own = prompt or "", None, []
+    low = given.lower()
+    for p in _SENTENCE.split(text):
+        if len(p) > 20 and given:
+            if p.strip() in given:
+                continue
+            # What is quoted has all its words in the prompt; the last one tells most that aren't.
+            words = p.split()
+            end = words[-1].rstrip(".,;:!?").lower() if words else ""
+            if not end.isascii() or not end.isalnum() or end in low:
+                known = _plain(prompt) if known is None else known
+                if _plain(p) in known:
+                    continue
+        own.append(p)
     # Names of products and identifiers tell nothing.
-    return language(" ".join(_ID.sub(" ", p) for p in own))
+    return language(_ID.sub(" ", " ".join(own)))
 
 
-def defect(instruction: str | None, prompt: str | None, output: str | None, abbreviations: frozenset[str]) -> str | None:
+def defect(instruction: str | None, prompt: str | None, output: str | None, ends: Ends) -> str | None:
     if is_empty(output):
         return "empty"
     if is_refusal(output):
         return "refusal"
     if is_copy(output, instruction, prompt):
         return "copy"
-    if is_truncated(output, abbreviations):
+    if is_truncated(output, ends, prompt):
         return "truncated"
-    want, got = asked(instruction), answered(output, prompt)
-    return "language" if want and got and want != got else None
+    want = asked(instruction)
+    got = want and answered(output, prompt)
+    return "language" if got and want != got else None
 
 
-def abbreviations_of(df: DataFrame, text_col: str = "output", min_count: int = 3, min_share: float = 1e-5) -> frozenset[str]:
-    """Tokens of few letters and points that small letters follow more often than capital ones, in the whole column.
+def learnt_ends(df: DataFrame, text_col: str = "output", min_count: int = 3, min_share: float = 1e-5) -> Ends:
+    """The model of ends, counted over the whole column, where the rows are.
 
-    Counts are taken where the rows are. A token needs min_share of the rows, so that there are few, whatever the size.
+    An abbreviation is a token of few letters and points that small letters follow more often than capital ones. Lines
+    are finished if another one follows. Tokens need min_share of the rows, so that there are few, whatever the size.
     """
-    text = F.col(f"`{text_col}`")
+    text = df.select(F.col(f"`{text_col}`").alias("t")).filter(F.col("t").isNotNull())
+    rows = df.count()
+    least = max(min_count, rows * min_share)
     found = F.expr(r"regexp_extract_all(t, '(?<=[\\s(])(" + _ABBREVIATION.replace("\\", "\\\\") + r"\\s+[\\p{Ll}\\p{Lu}])', 1)")
-    tokens = df.select(text.alias("t")).filter(F.col("t").isNotNull()).select(F.explode(found).alias("x"))
+    tokens = text.select(F.explode(found).alias("x"))
     counted = tokens.groupBy(F.regexp_extract("x", r"^\S+", 0).alias("token")).agg(F.count("*").alias("n"), F.count_if(F.col("x").rlike(r"\p{Ll}$")).alias("low"))
-    rows = df.count()
-    kept = counted.filter((F.col("n") >= max(min_count, rows * min_share)) & (F.col("low") * 2 > F.col("n")))
-    return frozenset(r.token for r in kept.select("token").collect())
+    short = counted.filter((F.col("n") >= least) & (F.col("low") * 2 > F.col("n"))).select("token").collect()
+
+    x = F.col("x")
+    lines = text.filter(F.contains("t", F.lit("\n"))).select(F.explode(F.regexp_extract_all("t", F.lit(r"([^\n]*\S)[ \t\r]*\n(?=\s*\S)"), F.lit(1))).alias("x"))
+    lines = lines.filter(~x.rlike(r"^[ \t]*(?:#{1,6}[ \t]|\*\*[^*]+\*\*:?$|__[^_]+__:?$|```|~~~)"))
+    ended = x.rlike(r"[.!?…。！？][\"'”’»)\]*_]*$")
+    kinds = lines.groupBy(F.when(x.rlike(r"^[ \t]*(?:[-*+•]|\d+[.)])[ \t]+\S"), "item").otherwise("prose").alias("kind")).agg(F.avg(ended.cast("int")).alias("marked")).collect()
+    closing = lines.filter(~ended).groupBy(F.lower(F.regexp_extract("x", r"\p{L}+$", 0)).alias("w")).agg(F.count("*").alias("n")).filter((F.col("w") != "") & (F.col("n") >= least)).select("w").collect()
+    return Ends(frozenset(r.token for r in short), tuple(sorted((r.kind, r.marked) for r in kinds)), frozenset(r.w for r in closing))
 
 
 def defects(df: DataFrame, key_col: str = "example_id", cols: tuple[str, str, str] = ("instruction", "input", "output")) -> DataFrame:
@@ -248,12 +363,12 @@ def defects(df: DataFrame, key_col: str = "example_id", cols: tuple[str, str, st
     Null instructions and inputs are empty ones. Repeated rows each count. Other columns are ignored. An empty df gives
     no rows.
     """
-    known = abbreviations_of(df, cols[2])
+    ends = learnt_ends(df, cols[2])
     kind = df.schema[key_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = [defect(*row, known) for row in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
+            labels = [defect(*row, ends) for row in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string())], [key_col, "defect"])
             yield out.filter(pa.compute.is_valid(out.column(1)))
 

@@ -1,8 +1,8 @@
 import pytest
 
-from adit.llm.pairs import abbreviations_of, asked, defect, defects, language
+from adit.llm.pairs import Ends, asked, defect, defects, language, learnt_ends
 
-AB = frozenset(["e.g.", "i.e."])
+ENDS = Ends(frozenset(["e.g.", "i.e."]))
 PROMPT = "CVE ID: CVE-2020-1\nTitle: Quiet Beacon\nDescription: The reporting team noticed odd entries in the session broker: 24 failures within 545 minutes."
 ASK = "What should be done first, and why?"
 CASES = [
@@ -34,12 +34,23 @@ CASES = [
     (ASK + " Answer in German.", PROMPT, "Starten Sie den Dienst neu und prüfen Sie das Protokoll.", None),
     ("Что нужно сделать сначала и почему?", PROMPT, "Restart the service and check what is in the log.", "language"),
     (None, None, "Restart the service and check what is in the log.", None),
+    (ASK, PROMPT, "I'm sorry, but I can't help with that request." + " Please look elsewhere for this kind of thing." * 4, "refusal"),
+    (ASK, PROMPT, "Thank you for asking. This is a hard one. That is not a request this assistant will fulfil. " + "Do look at the vendor's own pages instead. " * 40, "refusal"),
+    (ASK, PROMPT, "Restart it. Those that cannot may rotate all tokens. It is not a question of time; the vendor will not ship another fix.", None),
+    (ASK, PROMPT, "サービスを再起動し、ログを確認してください。", "language"),
+    (ASK + " Reply in Japanese.", PROMPT, "サービスを再起動し、ログを確認してください。", None),
+    ("请说明首先应该做什么以及原因。", PROMPT, "Restart the service and check what is in the log.", "language"),
+    ("请说明首先应该做什么以及原因。", PROMPT, "重新启动服务并检查日志。", None),
+    ("Які кроки потрібні і чому?", PROMPT, "Перезапустите службу и проверьте журнал.", "language"),
+    (ASK, PROMPT, "Riavviare il servizio e controllare anche il registro, perché non è aggiornato.", "language"),
+    (ASK, PROMPT, "Do these:\n- alpha one\n- beta three\n- gamma thr", "truncated"),
+    (ASK, PROMPT, "Do these:\n- alpha one\n- beta two\n- gamma three", None),
 ]
 
 
 @pytest.mark.parametrize("instruction,prompt,output,want", CASES)
 def test_defect(instruction, prompt, output, want):
-    assert defect(instruction, prompt, output, AB) == want
+    assert defect(instruction, prompt, output, ENDS) == want
 
 
 def test_languages():
@@ -47,8 +58,20 @@ def test_languages():
     assert language("") is None and language("123") is None
 
 
+def test_ends_are_learnt(spark, rows):
+    """Where lines end without marks in the whole column, an end without one is finished, unless its word is cut."""
+    bare = [f"restart node {k}\nwatch the journal\nrotate the keys" for k in range(30)]
+    texts = [*bare, "restart the node\nwatch the journ", "restart the node\nwatch the journal,"]
+    df = spark.createDataFrame([(k, ASK, None, x) for k, x in enumerate(texts)], "example_id bigint, instruction string, input string, output string")
+    ends = learnt_ends(df)
+    assert dict(ends.marked) == {"prose": 0.0} and "journal" in ends.closing
+    assert rows(defects(df)) == [(30, "truncated"), (31, "truncated")]
+    marked = spark.createDataFrame([(k, ASK, None, x.replace("\n", ".\n") + ("." if k else "")) for k, x in enumerate(bare)], df.schema)
+    assert rows(defects(marked)) == [(0, "truncated")]
+
+
 def test_frame(spark, rows):
     df = spark.createDataFrame([(1, ASK, None, None, "d"), (2, ASK, None, "Fix it, e.g. now. Do it.", "d"), (2, ASK, None, "Fix it, e.g. now. Do it.", "d"), (3, ASK, None, "Fix it, e.g. now. Then " + "go on and on " * 50_000, "d"), (4, ASK, None, "Fix it, e.g.", "d")], "example_id bigint, instruction string, input string, output string, defect string")
-    assert abbreviations_of(df) == frozenset(["e.g."])
+    assert learnt_ends(df).abbreviations == frozenset(["e.g."])
     assert rows(defects(df)) == [(1, "empty"), (3, "truncated"), (4, "truncated")]
     assert defects(df.limit(0)).count() == 0
