@@ -55,6 +55,11 @@ def top_per_group(df: DataFrame, group: str, order: list[Column], n: int) -> Dat
     return df.withColumn("__k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("__k") <= n).drop("__k")
 
 
+def ranked_per_group(df: DataFrame, group: str, order: list[Column], n: int, rank: str) -> DataFrame:
+    """The first n rows of each group with their place from 1."""
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col(rank) <= n)
+
+
 def inverted(df: DataFrame, key_col: str, id_col: str) -> DataFrame:
     """Distinct (key, id) rows of an index; exporters nest them."""
     return df.select(F.col(key_col).alias("key"), F.col(id_col).alias("id")).filter(F.col("key").isNotNull()).distinct()

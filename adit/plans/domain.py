@@ -1,6 +1,7 @@
 """All queries on the domain's operators; importing the modules registers them."""
 
 from adit.plans import graphs as graphs
+from adit.plans import products as products
 from adit.plans import relations as relations
 from adit.plans import texts as texts
 from adit.plans import vectors as vectors
