@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -25,6 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adit.runtime import cut
+
 #: What stands for no answer, in small letters without brackets.
 PLACEHOLDERS = frozenset(
     (
@@ -125,7 +128,8 @@ _NAMES = {lang: regex.compile(r"\b(?:" + "|".join(names) + ")") for lang, names
 _IS = {w: tuple(lang for lang, known in _LANGUAGE_OF.items() if w in known) for known in _LANGUAGE_OF.values() for w in known}
 _MARKS = {c: lang for lang, marks in _LETTERS.items() for c in marks}
 _MARKED = regex.compile("[" + "".join(_MARKS) + "]")
-_ABBREVIATION = r"(?:\p{L}{1,4}\.){1,4}"
+#: A token of few letters and points, and the letter behind it.
+_SHORT = re.compile(r"(?<![^\s(])((?:[^\W\d_]{1,4}\.){1,4})\s+([^\W\d_])")
 
 
 def _plain(text: str | None) -> str:
@@ -334,27 +338,50 @@ def defect(instruction: str | None, prompt: str | None, output: str | None, ends
     return "language" if got and want != got else None
 
 
+def _count_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a batch: kind, token, n and k. Kinds: 'rows'; 'short' (tokens with a point, k of them before a small letter);
+    'item' and 'prose' (finished lines, k of them with a mark); 'closing' (words that end a finished line without one)."""
+    for batch in batches:
+        n, k = Counter(), Counter()
+        texts = batch.column(0).to_pylist()
+        n["rows", ""] = len(texts)
+        for text in texts:
+            if not text:
+                continue
+            for token, letter in _SHORT.findall(text):
+                n["short", token] += 1
+                k["short", token] += letter.islower()
+            for line in text.rstrip().split("\n")[:-1]:
+                line = line.strip()
+                if not line or (line[0] in "#*_`~" and (_HEADING.fullmatch(line) or _FENCE.match(line))):
+                    continue
+                kind = "item" if _ITEM.match(line) else "prose"
+                ended = line[-1] in ".!?" or bool(_ENDED.search(line))
+                n[kind, ""] += 1
+                k[kind, ""] += ended
+                if not ended and line[-1].isalpha():
+                    n["closing", _WORD.findall(line)[-1].lower()] += 1
+        keys = list(n)
+        columns = [[x[0] for x in keys], [x[1] for x in keys], [n[x] for x in keys], [k[x] for x in keys]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["kind", "token", "n", "k"])
+
+
 def learnt_ends(df: DataFrame, text_col: str = "output", min_count: int = 3, min_share: float = 1e-5) -> Ends:
-    """The model of ends, counted over the whole column, where the rows are.
+    """The model of ends, counted over the whole column in one pass, where the rows are.
 
     An abbreviation is a token of few letters and points that small letters follow more often than capital ones. Lines
     are finished if another one follows. Tokens need min_share of the rows, so that there are few, whatever the size.
     """
-    text = df.select(F.col(f"`{text_col}`").alias("t")).filter(F.col("t").isNotNull())
-    rows = df.count()
+    counted = df.select(F.col(f"`{text_col}`")).mapInArrow(_count_ends, "kind string, token string, n bigint, k bigint").groupBy("kind", "token").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    counted = cut(counted, "ends")
+    rows = counted.filter("kind = 'rows'").agg(F.sum("n")).first()[0] or 0
     least = max(min_count, rows * min_share)
-    found = F.expr(r"regexp_extract_all(t, '(?<=[\\s(])(" + _ABBREVIATION.replace("\\", "\\\\") + r"\\s+[\\p{Ll}\\p{Lu}])', 1)")
-    tokens = text.select(F.explode(found).alias("x"))
-    counted = tokens.groupBy(F.regexp_extract("x", r"^\S+", 0).alias("token")).agg(F.count("*").alias("n"), F.count_if(F.col("x").rlike(r"\p{Ll}$")).alias("low"))
-    short = counted.filter((F.col("n") >= least) & (F.col("low") * 2 > F.col("n"))).select("token").collect()
-
-    x = F.col("x")
-    lines = text.filter(F.contains("t", F.lit("\n"))).select(F.explode(F.regexp_extract_all("t", F.lit(r"([^\n]*\S)[ \t\r]*\n(?=\s*\S)"), F.lit(1))).alias("x"))
-    lines = lines.filter(~x.rlike(r"^[ \t]*(?:#{1,6}[ \t]|\*\*[^*]+\*\*:?$|__[^_]+__:?$|```|~~~)"))
-    ended = x.rlike(r"[.!?…。！？][\"'”’»)\]*_]*$")
-    kinds = lines.groupBy(F.when(x.rlike(r"^[ \t]*(?:[-*+•]|\d+[.)])[ \t]+\S"), "item").otherwise("prose").alias("kind")).agg(F.avg(ended.cast("int")).alias("marked")).collect()
-    closing = lines.filter(~ended).groupBy(F.lower(F.regexp_extract("x", r"\p{L}+$", 0)).alias("w")).agg(F.count("*").alias("n")).filter((F.col("w") != "") & (F.col("n") >= least)).select("w").collect()
-    return Ends(frozenset(r.token for r in short), tuple(sorted((r.kind, r.marked) for r in kinds)), frozenset(r.w for r in closing))
+    kept = counted.filter(F.col("kind").isin("item", "prose") | ((F.col("n") >= least) & ((F.col("kind") == "closing") | ((F.col("kind") == "short") & (F.col("k") * 2 > F.col("n"))))))
+    found: dict[str, list] = {"short": [], "item": [], "prose": [], "closing": []}
+    for r in kept.collect():
+        found[r.kind].append(r)
+    marked = tuple((kind, r.k / r.n) for kind in ("item", "prose") for r in found[kind])
+    return Ends(frozenset(r.token for r in found["short"]), marked, frozenset(r.token for r in found["closing"]))
 
 
 def defects(df: DataFrame, key_col: str = "example_id", cols: tuple[str, str, str] = ("instruction", "input", "output")) -> DataFrame:
