@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +30,51 @@ def edges_of(cve_edges: DataFrame) -> DataFrame:
     return cve_edges.select(F.col("cve_id").alias("src"), F.inline(cells)).filter(F.col("dst").isNotNull()).distinct()
 
 
+def technique_edges(cves: DataFrame) -> DataFrame:
+    """Distinct edges (src, 'USES_TECHNIQUE', dst) of records to the techniques they list."""
+    rows = cves.filter("cve_id IS NOT NULL").select(F.col("cve_id").alias("src"), F.explode("mitre_techniques").alias("dst"))
+    return rows.filter(F.trim("dst") != "").select("src", F.lit("USES_TECHNIQUE").alias("rel"), "dst").distinct()
+
+
+def tactic_edges(technique_edges: DataFrame, tactics: DataFrame) -> DataFrame:
+    """Distinct edges (src, 'BELONGS_TO_TACTIC', dst) of records to the tactics (technique_id, tactic) of their techniques."""
+    pairs = tactics.select(F.col("technique_id").alias("dst"), "tactic").distinct()
+    side = F.broadcast(pairs) if small_enough(pairs) else pairs
+    return technique_edges.join(side, "dst").select("src", F.lit("BELONGS_TO_TACTIC").alias("rel"), F.col("tactic").alias("dst")).distinct()
+
+
+def version_edges(product_nodes: DataFrame) -> DataFrame:
+    """Distinct edges (src, 'HAS_VERSION', dst) of products to their versions, without '*'. A version's key is the version
+    with the product's name, so that products of one name share it."""
+    name = name_key(F.col("product_name"))
+    rows = product_nodes.filter(F.col("product_name").isNotNull()).select(name.alias("src"), F.explode("versions").alias("v"))
+    return rows.filter((F.trim("v") != "") & (F.col("v") != "*")).select("src", F.lit("HAS_VERSION").alias("rel"), F.concat_ws("|", "v", "src").alias("dst")).distinct()
+
+
+#: How nodes of each kind are named.
+NODE_NAMES = {
+    "HAS_WEAKNESS": ("CWE", "Common Weakness Enumeration "),
+    "HAS_ATTACK_PATTERN": ("CAPEC", "Common Attack Pattern "),
+    "USES_TECHNIQUE": ("MITRE_TECHNIQUE", "MITRE ATT&CK Technique "),
+    "BELONGS_TO_TACTIC": ("MITRE_TACTIC", "MITRE ATT&CK Tactic "),
+}
+
+
+def threat_nodes(edges: DataFrame) -> DataFrame:
+    """The nodes that records' edges lead to: node_type, id, name, vulnerability_count."""
+    kinds = F.create_map(*[F.lit(x) for rel, (kind, _) in NODE_NAMES.items() for x in (rel, kind)])
+    names = F.create_map(*[F.lit(x) for rel, (_, name) in NODE_NAMES.items() for x in (rel, name)])
+    counted = edges.filter(F.col("rel").isin(*NODE_NAMES)).groupBy("rel", F.col("dst").alias("id")).agg(F.count("*").alias("vulnerability_count"))
+    return counted.select(F.try_element_at(kinds, F.col("rel")).alias("node_type"), "id", F.concat(F.try_element_at(names, F.col("rel")), "id").alias("name"), "vulnerability_count")
+
+
+def threat_documents(nodes: DataFrame) -> DataFrame:
+    """Nodes as documents for retrieval: document_type, id, name, vulnerability_count, text_for_embedding."""
+    label = F.when(F.col("node_type") == "MITRE_TECHNIQUE", "MITRE Technique").when(F.col("node_type") == "MITRE_TACTIC", "MITRE Tactic").otherwise(F.col("node_type"))
+    text = F.concat(label, F.lit(" "), "id", F.lit(": "), "name", F.lit(" - "), F.col("vulnerability_count").cast("string"), F.lit(" vulnerabilities"))
+    return nodes.select(F.col("node_type").alias("document_type"), "id", "name", "vulnerability_count", text.alias("text_for_embedding"))
+
+
 def made_by(product_nodes: DataFrame) -> DataFrame:
     """Each product's vendor (product, vendor): the first by name where rows disagree."""
     return product_nodes.groupBy(name_key(F.col("product_name")).alias("product")).agg(F.min("vendor_name").alias("vendor"))
@@ -133,6 +179,31 @@ def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def features(nodes: DataFrame, edges: DataFrame, least: int = 5) -> DataFrame:
+    """A graph's figures: figure and value, for nodes and edges by kind, degrees, and clusters by weakness."""
+    value = lambda c: c.cast("double").alias("value")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
+    parts = [
+        nodes.agg(value(F.count("*"))).select(F.lit("nodes").alias("figure"), "value"),
+        edges.agg(value(F.count("*"))).select(F.lit("edges").alias("figure"), "value"),
+        edges.groupBy("rel").agg(value(F.count("*"))).select(F.concat(F.lit("edges "), "rel").alias("figure"), "value"),
+        nodes.groupBy("kind").agg(value(F.count("*"))).select(F.concat(F.lit("nodes "), "kind").alias("figure"), "value"),
+        ends.agg(F.max("d").cast("double").alias("a"), F.round(F.avg("d"), 6).alias("b")).select(F.inline(F.array(F.struct(F.lit("degree max").alias("figure"), F.col("a").alias("value")), F.struct(F.lit("degree avg").alias("figure"), F.col("b").alias("value"))))),
+        clusters(edges, "HAS_WEAKNESS", least).agg(value(F.count("*"))).select(F.lit("clusters").alias("figure"), "value"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def statistics(cves: DataFrame, edges: DataFrame) -> DataFrame:
+    """Figures of records and edges: figure and n. Records are counted once, severities by row."""
+    once = cves.agg(
+        F.countDistinct("cve_id").alias("records"), F.countDistinct(F.when(F.col("is_in_kev"), F.col("cve_id"))).alias("exploited"), F.countDistinct(F.when(F.col("cvss_v3.base_score") > 0, F.col("cve_id"))).alias("with score")
+    )
+    rows = once.select(F.inline(F.array(*[F.struct(F.lit(c).alias("figure"), F.col(f"`{c}`").alias("n")) for c in once.columns])))
+    severity = cves.groupBy(F.concat(F.lit("severity "), F.coalesce("cvss_v3.base_severity", F.lit("UNKNOWN"))).alias("figure")).agg(F.count("*").alias("n"))
+    return reduce(DataFrame.unionByName, [rows, severity, edges.groupBy(F.concat(F.lit("edges "), "rel").alias("figure")).agg(F.count("*").alias("n"))])
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """src, dst, weight either way; the weights of parallel edges are added."""
     both = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src")))

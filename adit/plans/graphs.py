@@ -41,12 +41,24 @@ def affected(spark: SparkSession, d: str) -> DataFrame:
     return edges(spark, d).filter("rel = 'AFFECTS'").join(vendors(spark, d), F.col("dst") == F.col("product")).select("src", "product", "vendor")
 
 
+@query(f"""WITH {E}, {MB} SELECT vendor, count(DISTINCT src) AS records, count(DISTINCT dst) AS products, round(CAST(count(DISTINCT src) AS DOUBLE) / count(DISTINCT dst), 6) AS ratio
+ FROM e JOIN mb ON dst = product WHERE rel = 'AFFECTS' AND vendor IS NOT NULL GROUP BY vendor ORDER BY ratio DESC, vendor LIMIT 15""")
+def vendor_record_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """Records per affected product of each vendor; the 15 highest."""
+    reached = affected(spark, d).filter("vendor IS NOT NULL")
+    # Distinct edges: a product's records are its rows; a record that affects several products of a vendor counts once.
+    products = reached.groupBy("vendor", "product").agg(F.lit(1).alias("one")).groupBy("vendor").agg(F.count("*").alias("products"))
+    records = reached.select("vendor", "src").distinct().groupBy("vendor").agg(F.count("*").alias("records"))
+    ratio = records.join(products, "vendor").select("vendor", "records", "products", F.round(F.col("records") / F.col("products"), 6).alias("ratio"))
+    return g.top(ratio, "ratio", "vendor", 15)
+
+
 @query("""WITH aff AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), mb AS (SELECT l_partkey, min(l_suppkey) AS s FROM lineitem GROUP BY 1)
 SELECT CAST(s AS BIGINT) AS vendor, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS records, CAST(count(DISTINCT aff.l_partkey) AS BIGINT) AS products,
  round(CAST(count(DISTINCT l_orderkey) AS DOUBLE) / count(DISTINCT aff.l_partkey), 6) AS ratio
 FROM aff JOIN mb ON aff.l_partkey = mb.l_partkey GROUP BY 1 ORDER BY ratio DESC, vendor LIMIT 15""")
-def vendor_record_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """Records per product of each vendor; the 15 highest. Vendor of a part is its first supplier."""
+def supplier_order_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """The same over orders, parts and their first suppliers."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     per_part = lines.groupBy("l_partkey").agg(F.min("l_suppkey").alias("vendor"))
     # Every part has an edge, so that a vendor's parts are the rows of per_part; records are counted on distinct pairs.
@@ -56,6 +68,119 @@ def vendor_record_ratio(spark: SparkSession, d: str) -> DataFrame:
     return g.top(ratio, "ratio", "vendor", 15)
 
 
+_T = "t AS (SELECT DISTINCT cve_id AS src, 'USES_TECHNIQUE' AS rel, dst FROM (SELECT cve_id, unnest(mitre_techniques) AS dst FROM cves WHERE cve_id IS NOT NULL) WHERE trim(dst) <> '')"
+_V = "ver AS (SELECT DISTINCT src, 'HAS_VERSION' AS rel, v || '|' || src AS dst FROM (SELECT replace(lower(trim(product_name)), ' ', '_') AS src, unnest(versions) AS v FROM product_nodes WHERE product_name IS NOT NULL) WHERE trim(v) <> '' AND v <> '*')"
+
+
+def technique_tactics(spark: SparkSession, d: str) -> DataFrame:
+    """technique_id and tactic, from the packed column."""
+    from adit.operators.packed import listed, unpack
+
+    cells = table(spark, d, "mitre_techniques").filter("technique_id IS NOT NULL").select("technique_id", F.lit("tactics").alias("field_name"), F.col("tactics").alias("cell"))
+    return unpack(cells, "cell", "field_name", listed(table(spark, d, "listed_names")), ["technique_id"], value_col="tactic").select("technique_id", "tactic").distinct()
+
+
+def threats(spark: SparkSession, d: str) -> DataFrame:
+    """All edges of records but those to products."""
+    t = g.technique_edges(table(spark, d, "cves"))
+    return edges(spark, d).filter("rel <> 'AFFECTS'").unionByName(t).unionByName(g.tactic_edges(t, technique_tactics(spark, d)))
+
+
+_THREATS = f"""{E}, {_T}, threat AS (SELECT * FROM e WHERE rel <> 'AFFECTS' UNION ALL SELECT * FROM t),
+ node AS (SELECT CASE rel WHEN 'HAS_WEAKNESS' THEN 'CWE' WHEN 'HAS_ATTACK_PATTERN' THEN 'CAPEC' ELSE 'MITRE_TECHNIQUE' END AS node_type, dst AS id,
+   CASE rel WHEN 'HAS_WEAKNESS' THEN 'Common Weakness Enumeration ' WHEN 'HAS_ATTACK_PATTERN' THEN 'Common Attack Pattern ' ELSE 'MITRE ATT&CK Technique ' END || dst AS name, count(*) AS vulnerability_count FROM threat GROUP BY rel, dst)"""
+
+
+@query(f"WITH {_T}, {_V} SELECT rel, count(*) AS n FROM t GROUP BY rel UNION ALL SELECT rel, count(*) FROM ver GROUP BY rel")
+def further_edge_counts(spark, d):
+    """Edges to techniques and versions."""
+    return g.counts_by(g.technique_edges(table(spark, d, "cves")).unionByName(g.version_edges(table(spark, d, "product_nodes"))), "rel")
+
+
+@query(f"WITH {_T} SELECT src, dst FROM t")
+def technique_edges(spark, d):
+    return g.technique_edges(table(spark, d, "cves")).select("src", "dst")
+
+
+@query(f"WITH {_V} SELECT src, dst FROM ver")
+def version_edges(spark, d):
+    return g.version_edges(table(spark, d, "product_nodes")).select("src", "dst")
+
+
+@query()
+def tactic_edges(spark, d):
+    """Records with the tactics of their techniques."""
+    return g.tactic_edges(g.technique_edges(table(spark, d, "cves")), technique_tactics(spark, d)).select("src", "dst")
+
+
+@query(f"WITH {_THREATS} SELECT * FROM node")
+def threat_nodes(spark, d):
+    """Weaknesses, patterns and techniques with their names and numbers of records."""
+    return g.threat_nodes(threats(spark, d)).filter("node_type <> 'MITRE_TACTIC'")
+
+
+@query(f"""WITH {_THREATS} SELECT node_type AS document_type, id, name, vulnerability_count, CASE node_type WHEN 'MITRE_TECHNIQUE' THEN 'MITRE Technique' ELSE node_type END || ' ' || id || ': ' || name || ' - ' || vulnerability_count || ' vulnerabilities' AS text_for_embedding FROM node""")
+def threat_documents(spark, d):
+    """The same as documents for retrieval."""
+    return g.threat_documents(g.threat_nodes(threats(spark, d)).filter("node_type <> 'MITRE_TACTIC'"))
+
+
+@query()
+def tactic_documents(spark, d):
+    """Tactics as documents for retrieval."""
+    return g.threat_documents(g.threat_nodes(threats(spark, d)).filter("node_type = 'MITRE_TACTIC'"))
+
+
+@query(f"WITH {_T} SELECT dst, count(*) AS n FROM t GROUP BY dst ORDER BY n DESC, dst LIMIT 10")
+def top_techniques(spark, d):
+    return g.top(g.counts_by(g.technique_edges(table(spark, d, "cves")), "dst"), "n", "dst", 10)
+
+
+@query(f"""WITH {E}, {MB}, r AS (SELECT vendor, product, src FROM e JOIN mb ON dst = product WHERE rel = 'AFFECTS' AND vendor IS NOT NULL)
+ SELECT vendor, count(DISTINCT product) AS products, count(DISTINCT r.src) AS records, count(DISTINCT w.dst) AS weaknesses FROM r LEFT JOIN e w ON r.src = w.src AND w.rel = 'HAS_WEAKNESS' GROUP BY vendor""")
+def impact_network(spark, d):
+    """Each vendor with its affected products, their records, and the weaknesses that these have."""
+    r = affected(spark, d).filter("vendor IS NOT NULL")
+    w = edges(spark, d).filter("rel = 'HAS_WEAKNESS'").select("src", F.col("dst").alias("weakness"))
+    pairs = r.select("vendor", "src").distinct()
+    weak = pairs.join(w, "src").select("vendor", "weakness").distinct().groupBy("vendor").agg(F.count("*").alias("weaknesses"))
+    counts = r.groupBy("vendor").agg(F.countDistinct("product").alias("products"), F.countDistinct("src").alias("records"))
+    return counts.join(weak, "vendor", "left").select("vendor", "products", "records", F.coalesce("weaknesses", F.lit(0)).cast("bigint").alias("weaknesses"))
+
+
+@query(f"""WITH {MB}, f AS (SELECT min(vendor) AS v FROM mb) SELECT product, count(*) AS n_rows FROM mb, f JOIN product_nodes p ON replace(lower(trim(p.product_name)), ' ', '_') = mb.product WHERE vendor = v GROUP BY product""")
+def products_of_vendor(spark, d):
+    """The products of the first vendor, with the rows that name each."""
+    m = vendors(spark, d)
+    first = m.agg(F.min("vendor")).first()[0] or ""
+    own = m.filter(F.col("vendor") == first).select("product")
+    return table(spark, d, "product_nodes").select(name_key(F.col("product_name")).alias("product")).join(own, "product", "left_semi").groupBy("product").agg(F.count("*").alias("n_rows"))
+
+
+@query(f"""WITH {E}, c AS (SELECT rel, dst, count(*) AS size FROM e WHERE rel = 'HAS_WEAKNESS' GROUP BY rel, dst HAVING count(*) >= 5 UNION ALL SELECT rel, dst, count(*) FROM e WHERE rel = 'AFFECTS' GROUP BY rel, dst HAVING count(*) >= 10)
+ SELECT rel, dst, src AS member FROM e JOIN c USING (rel, dst)""")
+def cluster_members(spark, d):
+    """The members of every cluster, one row each, so that a hot one is spread as its edges are."""
+    e = edges(spark, d)
+    parts = [g.clusters(e, r, n).withColumn("rel", F.lit(r)).select("rel", "dst") for r, n in (("HAS_WEAKNESS", 5), ("AFFECTS", 10))]
+    return e.join(parts[0].unionByName(parts[1]), ["rel", "dst"], "left_semi").select("rel", "dst", F.col("src").alias("member"))
+
+
+@query(f"""WITH {E}, {NODES}, {MB}, deg AS (SELECT id, count(*) AS d FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id)
+ SELECT 'nodes' AS figure, count(*)::DOUBLE AS value FROM nodes UNION ALL SELECT 'edges', count(*) FROM e UNION ALL SELECT 'edges ' || rel, count(*) FROM e GROUP BY rel UNION ALL SELECT 'nodes ' || kind, count(*) FROM nodes GROUP BY kind
+ UNION ALL SELECT 'degree max', max(d) FROM deg UNION ALL SELECT 'degree avg', round(avg(d), 6) FROM deg UNION ALL SELECT 'clusters', count(*) FROM (SELECT 1 FROM e WHERE rel = 'HAS_WEAKNESS' GROUP BY dst HAVING count(*) >= 5)""")
+def graph_features(spark, d):
+    """The graph's figures as one table: counts by type, degrees, clusters."""
+    return g.features(nodes(spark, d), edges(spark, d))
+
+
+@query(f"""WITH {E} SELECT 'records' AS figure, count(DISTINCT cve_id) AS n FROM cves UNION ALL SELECT 'exploited', count(DISTINCT cve_id) FROM cves WHERE is_in_kev UNION ALL SELECT 'with score', count(DISTINCT cve_id) FROM cves WHERE cvss_v3.base_score > 0
+ UNION ALL SELECT 'severity ' || coalesce(cvss_v3.base_severity, 'UNKNOWN'), count(*) FROM cves GROUP BY 1 UNION ALL SELECT 'edges ' || rel, count(*) FROM e GROUP BY rel""")
+def knowledge_statistics(spark, d):
+    """Figures of records and edges as one table."""
+    return g.statistics(table(spark, d, "cves"), edges(spark, d))
+
+
 @query(f"WITH {NODES} SELECT kind, count(*) AS n FROM nodes GROUP BY kind")
 def node_counts(spark, d):
     return g.counts_by(nodes(spark, d), "kind")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from adit.functions.texts import joined
 from adit.operators import relations as r
 from adit.operators.orphans import name_key
-from adit.plans.graphs import E, edges
+from adit.plans.graphs import E, edges, technique_tactics
 from adit.plans.registry import query
 from adit.runtime import table
 
@@ -209,10 +209,7 @@ def mapping_statistics(spark, d):
 @query()
 def technique_tactic_map(spark, d):
     """Both ways between techniques and tactics, from the packed column: kind, key, members, n."""
-    from adit.operators.packed import listed, unpack
-
-    cells = table(spark, d, "mitre_techniques").filter("technique_id IS NOT NULL").select("technique_id", F.lit("tactics").alias("field_name"), F.col("tactics").alias("cell"))
-    pairs = unpack(cells, "cell", "field_name", listed(table(spark, d, "listed_names")), ["technique_id"], value_col="tactic").select("technique_id", "tactic").distinct()
+    pairs = technique_tactics(spark, d)
     a = pairs.groupBy(F.col("technique_id").alias("key")).agg(F.array_sort(F.collect_list("tactic")).alias("members"))
     b = pairs.groupBy(F.col("tactic").alias("key")).agg(F.array_sort(F.collect_list("technique_id")).alias("members"))
     return a.select(F.lit("technique").alias("kind"), "key", F.array_join("members", ", ").alias("members"), F.size("members").alias("n")).union(b.select(F.lit("tactic"), "key", F.array_join("members", ", "), F.size("members")))
