@@ -1,5 +1,6 @@
 """All queries on the domain's operators; importing the modules registers them."""
 
+from adit.plans import feeds as feeds
 from adit.plans import graphs as graphs
 from adit.plans import mapping as mapping
 from adit.plans import products as products

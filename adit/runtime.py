@@ -58,11 +58,16 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     Parquet keeps the columns apart, so later readers prune them; a checkpoint would keep whole rows.
     """
     spark = df.sparkSession
-    path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for files that are written to be read again."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most `rows` rows; looks at no more than rows + 1 of them."""
     return df.limit(rows + 1).count() <= rows

@@ -6,7 +6,6 @@ import io
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -34,14 +33,29 @@ def zipped(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFrame:
     return files.mapInPandas(unpack, "archive string, member string, text string")
 
 
-def feed_1(spark: SparkSession, path: str) -> DataFrame:
-    """Items of feeds in the 1.1 dialect, one row each."""
-    return spark.read.schema(s.FEED_1).option("multiLine", True).option("mode", "PERMISSIVE").json(path).select(F.explode("CVE_Items").alias("item")).select("item.*")
+def _feed(spark: SparkSession, source: str | DataFrame, schema: str) -> DataFrame:
+    """Feed objects of files, or of the column `text` of a DataFrame such as `zipped` gives; broken ones have no items."""
+    if isinstance(source, DataFrame):
+        return source.select(F.from_json("text", schema).alias("f")).select("f.*")
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(source)
 
 
-def feed_2(spark: SparkSession, path: str) -> DataFrame:
-    """Records of feeds in the 2.0 dialect, one row each."""
-    return spark.read.schema(s.FEED_2).option("multiLine", True).option("mode", "PERMISSIVE").json(path).select(F.explode("vulnerabilities").alias("v")).select("v.cve.*")
+def feed_1(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """Items of feeds in the 1.1 dialect, one row each; source is a path or texts."""
+    return _feed(spark, source, s.FEED_1).select(F.explode("CVE_Items").alias("item")).select("item.*")
+
+
+def feed_2(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """Records of feeds in the 2.0 dialect, one row each; source is a path or texts."""
+    return _feed(spark, source, s.FEED_2).select(F.explode("vulnerabilities").alias("v")).select("v.cve.*")
+
+
+def file_counts(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """The files of feeds in either dialect, in order of their names, with their numbers of records."""
+    both = spark.read.schema(f"{s.FEED_1}, {s.FEED_2}").option("multiLine", True).json(path)
+    n = F.coalesce(F.size("CVE_Items"), F.lit(0)) + F.coalesce(F.size("vulnerabilities"), F.lit(0))
+    counted = both.groupBy(F.input_file_name().alias("file")).agg(F.sum(F.greatest(n, F.lit(0))).alias("n"))
+    return [(r.file, r.n) for r in counted.orderBy("file").collect()]
 
 
 def first_files(files_with_counts: list[tuple[str, int]], most: int) -> list[str]:
@@ -55,25 +69,48 @@ def first_files(files_with_counts: list[tuple[str, int]], most: int) -> list[str
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, on whatever file system it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def mapping(spark: SparkSession, *paths: str) -> DataFrame:
-    """weakness, capecs, mitre_techniques, mitre_description from the first of the local paths that exists."""
-    path = next((p for p in paths if Path(p.removeprefix("file://")).exists()), None)
+    """weakness, capecs, mitre_techniques, mitre_description from the first of the paths that exists."""
+    path = next((p for p in paths if exists(spark, p)), None)
     if path is None:
         raise FileNotFoundError(", ".join(paths))
     text = spark.read.option("wholetext", True).text(path)
     return text.select(F.explode(F.from_json("value", s.MAPPING)).alias("weakness", "m")).select("weakness", "m.*")
 
 
+def technique_names(spark: SparkSession, path: str) -> DataFrame:
+    """technique_id and name from objects with a map of techniques."""
+    text = spark.read.option("wholetext", True).text(path)
+    return text.select(F.explode(F.from_json("value", "techniques MAP<STRING, STRUCT<name: STRING>>")["techniques"]).alias("technique_id", "t")).select("technique_id", "t.name")
+
+
 def advisories(spark: SparkSession, path: str) -> DataFrame:
-    """Advisories, an object or a list to a file, that have a document section."""
-    return spark.read.schema(s.ADVISORY).option("multiLine", True).json(path).filter("document IS NOT NULL")
+    """Advisories, an object or a list to a file, that have a document section: id, cve_ids.
+
+    cve_ids are those that the advisory lists, then those that any of its top-level strings names. The id is its own,
+    else the one of its tracking section.
+    """
+    from adit.operators.nested import as_list
+
+    v = spark.read.option("wholetext", True).text(path).select(F.explode(as_list(F.try_parse_json("value"))).alias("v"))
+    got = lambda p, kind: F.try_variant_get("v", p, kind)
+    listed = F.transform(got("$.vulnerabilities", "array<variant>"), lambda x: F.try_variant_get(x, "$.cve", "string"))
+    fields = got("$", "map<string,variant>")
+    texts = F.transform(F.map_values(fields), lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
+    none = F.array().cast("array<string>")
+    every = F.array_compact(F.array_union(F.coalesce(listed, none), ids_in(F.concat_ws(" ", texts))))
+    return v.filter(got("$.document", "variant").isNotNull()).select(F.coalesce(got("$.id", "string"), got("$.document.tracking.id", "string")).alias("id"), every.alias("cve_ids"))
 
 
 def advisory_ids(advisories: DataFrame) -> DataFrame:
-    """cve_id and advisory id: what an advisory lists, and what its texts name."""
-    text = F.concat_ws(" ", "id", "document.title", "document.tracking.id")
-    listed = F.coalesce(F.transform("vulnerabilities", lambda v: v["cve"]), F.array().cast("array<string>"))
-    return advisories.select(F.explode(F.array_compact(F.array_union(listed, ids_in(text)))).alias("cve_id"), F.coalesce("id", "document.tracking.id").alias("advisory_id")).distinct()
+    """cve_id and advisory id, one row per pair."""
+    return advisories.select(F.explode("cve_ids").alias("cve_id"), F.col("id").alias("advisory_id")).distinct()
 
 
 def exploits(spark: SparkSession, path: str) -> DataFrame:
@@ -197,7 +234,9 @@ def sheet(spark: SparkSession, path: str) -> DataFrame:
             return spark.createDataFrame(pd.read_excel(path, dtype=str).fillna(""))
         except ImportError as e:
             raise RuntimeError("no XLSX reader is installed; export the sheet as CSV or Parquet") from e
-    return spark.read.option("header", True).csv(path)
+    # Temporary files of an office program, which begin with ~$, are no sheets.
+    rows = spark.read.option("header", True).csv(path)
+    return rows.filter(~F.col("_metadata.file_name").startswith("~$"))
 
 
 def documents(spark: SparkSession, path: str, years: list[str] | None = None, kind: str | None = "CVE") -> DataFrame:

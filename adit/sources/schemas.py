@@ -23,7 +23,6 @@ FEED_2 = f"""vulnerabilities ARRAY<STRUCT<cve: STRUCT<id: STRING, published: STR
   configurations: ARRAY<STRUCT<nodes: ARRAY<STRUCT<operator: STRING, negate: BOOLEAN, cpeMatch: {_M2}, children: ARRAY<STRUCT<cpeMatch: {_M2}>>>>>>>>>"""
 MAPPING = "MAP<STRING, STRUCT<capecs: ARRAY<STRING>, mitre_techniques: ARRAY<STRING>, mitre_description: STRING>>"
 KEV_CSV = "cveID STRING, vendorProject STRING, product STRING, vulnerabilityName STRING, dateAdded STRING, shortDescription STRING, requiredAction STRING, dueDate STRING, knownRansomwareCampaignUse STRING, notes STRING, cwes STRING"
-ADVISORY = "id STRING, document STRUCT<title: STRING, tracking: STRUCT<id: STRING>>, vulnerabilities ARRAY<STRUCT<cve: STRING>>"
 EXPLOIT = "id STRING, cve_refs ARRAY<STRING>"
 WEAKNESS_XML = "_ID STRING, _Name STRING, Related_Attack_Patterns STRUCT<Related_Attack_Pattern: ARRAY<STRUCT<_CAPEC_ID: STRING>>>"
 PATTERN_XML = "_ID STRING, _Name STRING, Description STRING, Taxonomy_Mappings STRUCT<Taxonomy_Mapping: ARRAY<STRUCT<_Taxonomy_Name: STRING, Entry_ID: STRING>>>"

@@ -14,24 +14,66 @@ def read_records(spark: SparkSession, path: str, schema: str, files_per_batch: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+#: The state is kept in so many parts, by the hash of the key; a batch rewrites only the parts that its keys touch.
+PARTS = 64
+
+
 def keep_latest(stream: DataFrame, target: str, checkpoint: str, key: str, order: list[str]) -> StreamingQuery:
     """Keep in `target` the last row of each key by `order`, whatever order the rows arrive in.
 
-    A batch is written as a state of its own, named by its number, from the state before and the batch's rows: running
-    a batch again gives the same state, and a reader that opened the last state isn't disturbed. `state` names the path.
+    The state lies in parts by the hash of the key. A batch writes new versions, named by its number, of the parts it
+    touches; a reader takes the newest version of each part. Running a batch again gives the same files, as it starts
+    from the versions of earlier batches. Versions that two later ones have replaced are deleted.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = spark.read.parquet(state(target, number - 1)) if number else None
-        both = batch if before is None else before.unionByName(batch)
-        latest(both, key, order).write.mode("overwrite").parquet(state(target, number))
+        parted = batch.withColumn("part", F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int"))
+        parted.persist()
+        try:
+            touched = [r[0] for r in parted.select("part").distinct().collect()]
+            before = {p: v for p, v in versions(spark, target, number).items() if p in touched}
+            rows = parted
+            if before:
+                old = spark.read.option("basePath", target).parquet(*[_path(target, p, v) for p, v in before.items()])
+                rows = rows.unionByName(old.select(*parted.columns))
+            new = latest(rows, key, order).withColumn("version", F.lit(number))
+            new.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "version").parquet(target)
+            _drop_old(spark, target, touched, number)
+        finally:
+            parted.unpersist()
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(upsert).start()
 
 
-def state(target: str, number: int) -> str:
-    return f"{target}/state-{number:09d}"
+def _path(target: str, part: int, version: int) -> str:
+    return f"{target}/part={part}/version={version}"
+
+
+def _folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(f.split("=")[1]) for f in found if f.startswith(f"{name}="))
+
+
+def versions(spark: SparkSession, target: str, before: int = 1 << 62) -> dict[int, int]:
+    """The newest version of each part, of those before a number."""
+    found = {p: [v for v in _folders(spark, f"{target}/part={p}", "version") if v < before] for p in _folders(spark, target, "part")}
+    return {p: max(v) for p, v in found.items() if v}
+
+
+def _drop_old(spark: SparkSession, target: str, parts: list[int], number: int) -> None:
+    """Of each part, keep this version and the two before it, so that a batch can run again and a reader can finish."""
+    for p in parts:
+        for v in [v for v in _folders(spark, f"{target}/part={p}", "version") if v < number][:-2]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_path(target, p, v))
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def latest_state(spark: SparkSession, target: str) -> DataFrame:
+    """The state that keep_latest has written last."""
+    return spark.read.option("basePath", target).parquet(*[_path(target, p, v) for p, v in versions(spark, target).items()]).drop("part", "version")
 
 
 def windowed_counts(stream: DataFrame, time_col: str = "ts", key: str = "event_type", late: str = "10 minutes", size: str = "1 hour") -> DataFrame:

@@ -90,10 +90,20 @@ def test_small_readers(spark, tmp_path, rows):
         z.writestr("x/one.json", '{"a": 1}')
     (tmp_path / "bad.zip").write_bytes(b"not a zip")
     assert rows(readers.zipped(spark, str(tmp_path)).select("member", "text")) == [("x/one.json", '{"a": 1}')]
+    with zipfile.ZipFile(tmp_path / "feed.zip", "w") as z:
+        z.writestr("f.json", json.dumps({"CVE_Items": [{"cve": {"CVE_data_meta": {"ID": "CVE-2020-7"}}}]}))
+    zipped = readers.zipped(spark, str(tmp_path), "feed.zip")
+    assert rows(r.normalised_1(readers.feed_1(spark, zipped)).select("cve_id")) == [("CVE-2020-7",)]
+    (tmp_path / "names.json").write_text(json.dumps({"techniques": {"T1": {"name": "one"}, "T2": {}}}))
+    assert rows(readers.technique_names(spark, f"{tmp_path}/names.json")) == [("T1", "one"), ("T2", None)]
+    (tmp_path / "sheets").mkdir()
+    (tmp_path / "sheets" / "a.csv").write_text("id,name\n1,x\n")
+    (tmp_path / "sheets" / "~$a.csv").write_text("id,name\n2,y\n")
+    assert rows(readers.sheet(spark, f"{tmp_path}/sheets")) == [("1", "x")]
     assert readers.first_files([("a", 5), ("b", 5), ("c", 5)], 6) == ["a", "b"]
     (tmp_path / "map.json").write_text(json.dumps({"CWE-79": {"capecs": ["CAPEC-63"], "mitre_techniques": ["T1059"]}}))
     assert rows(readers.mapping(spark, f"{tmp_path}/none.json", f"{tmp_path}/map.json").select("weakness", "capecs")) == [("CWE-79", ["CAPEC-63"])]
-    (tmp_path / "adv.json").write_text(json.dumps([{"id": "X", "document": {"title": "on CVE-2020-1111"}, "vulnerabilities": [{"cve": "CVE-2020-2"}]}, {"id": "no document"}]))
+    (tmp_path / "adv.json").write_text(json.dumps([{"id": "X", "notes": "on CVE-2020-1111", "n": 5, "document": {"title": "CVE-2020-3333"}, "vulnerabilities": [{"cve": "CVE-2020-2"}]}, {"id": "no document"}]))
     adv = readers.advisories(spark, f"{tmp_path}/adv.json")
     assert rows(readers.advisory_ids(adv)) == [("CVE-2020-1111", "X"), ("CVE-2020-2", "X")]
     (tmp_path / "exp.json").write_text(json.dumps({"id": "E", "cve_refs": ["CVE-1-1", "OTHER", None]}))
@@ -134,7 +144,7 @@ def test_upsert(spark, rows):
 
 
 def test_stream(spark, tmp_path, rows):
-    from adit.streaming.records import keep_latest, read_records, state, windowed_counts
+    from adit.streaming.records import keep_latest, latest_state, read_records, windowed_counts
 
     src = f"{tmp_path}/src"
     schema = "cve_id string, v int"
@@ -145,7 +155,7 @@ def test_stream(spark, tmp_path, rows):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
     q = keep_latest(read_records(spark, src, schema), f"{tmp_path}/out", f"{tmp_path}/cp", "cve_id", ["v"])
     q.awaitTermination()
-    assert rows(spark.read.parquet(state(f"{tmp_path}/out", 2))) == [("a", 2), ("b", 3), ("c", 1)]
+    assert rows(latest_state(spark, f"{tmp_path}/out").select("cve_id", "v")) == [("a", 2), ("b", 3), ("c", 1)]
     folder = f"{tmp_path}/events"
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").write.parquet(folder)
     events = read_records(spark, folder, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
