@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Phrases of rejected records.
@@ -117,6 +117,11 @@ def labelled(label: str, value: Column) -> Column:
     return F.when(value.isNotNull() & (value != ""), F.concat(F.lit(label), value))
 
 
+def after(label: Column, value: Column) -> Column:
+    """A value behind a label that is computed; null without a value."""
+    return F.when(value.isNotNull() & (value != ""), F.concat(label, value))
+
+
 def words(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda x: x != "")
 
@@ -145,6 +150,7 @@ def shortened(c: Column, size: int, mark: str = "...") -> Column:
 
 
 def without_headers(c: Column) -> Column:
+    # The two kinds of headings.
     return F.regexp_replace(F.regexp_replace(c, r"(?m)^#+\s*.*?\n", ""), r"(?m)^\*\*.*?\*\*:\n", "")
 
 
@@ -172,8 +178,8 @@ def keywords(text: Column, products: Column, first_products: int = 5) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.concat(_with(F.lower(F.coalesce(text, F.lit(""))), hits), heads))))
 
 
-def tags(weaknesses: Column, products: Column, patterns: Column, techniques: Column, exploited: Column) -> Column:
-    """Tags by ordered rules on what elements contain, with the first three patterns and techniques, sorted, each once."""
+def tags(weaknesses: Column, products: Column, patterns: Column, techniques: Column, exploited: Column, tactics: Column | None = None) -> Column:
+    """Tags by ordered rules on what elements contain, with the first three patterns, techniques and tactics, sorted, each once."""
     none = F.array().cast("array<string>")
 
     def by_weakness(x: Column) -> Column:
@@ -199,6 +205,13 @@ def tags(weaknesses: Column, products: Column, patterns: Column, techniques: Col
         prefixed(patterns, "capec_"),
         F.when(F.size(some(techniques)) > 0, F.array(F.lit("mitre_attack"))).otherwise(none),
         prefixed(techniques, "technique_"),
+        none if tactics is None else prefixed(tactics, "tactic_"),
         F.when(exploited, F.array(F.lit("kev"), F.lit("exploited"), F.lit("critical"))).otherwise(none),
     ]
     return F.array_sort(F.array_distinct(F.concat(*parts)))
+
+
+def mention_counts(df: DataFrame, text: str, terms: list[str], least: int = 50, most: int = 5000) -> DataFrame:
+    """For each term, the rows whose text mentions it, whatever the case, and the rows of a usable length: term, n, usable."""
+    counts = [F.struct(F.lit(x).alias("term"), F.count_if(F.contains(F.lower(text), F.lit(x.lower()))).alias("n"), F.count_if(F.length(text).between(least, most)).alias("usable")) for x in terms]
+    return df.agg(F.array(*counts).alias("a")).select(F.inline("a"))

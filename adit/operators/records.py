@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adit.functions.identifiers import parent_technique, product_of, unescaped_product
-from adit.functions.texts import REJECTED, contains_any, tags
+from adit.functions.texts import REJECTED, contains_any, labelled, lines, tags
+from adit.operators.exports import content
 from adit.runtime import small_enough
 
 _STRINGS = "array<string>"
@@ -131,29 +132,20 @@ def combined_techniques(mapped: Column, inferred: Column) -> Column:
 
 def documents_of(records: DataFrame) -> DataFrame:
     """Documents of enriched records: id, title, content, document_type and what retrieval filters by."""
-    some = lambda label, c, n=None: F.when(F.size(c) > 0, F.concat(F.lit(label), F.concat_ws(", ", F.slice(c, 1, n) if n else F.col(c))))
-    content = F.concat_ws(
-        "\n",
-        "description",
-        F.concat(F.lit("CVSS v"), "cvss_v3.version", F.lit(" Score: "), F.col("cvss_v3.base_score").cast("string"), F.lit(" ("), F.coalesce("cvss_v3.base_severity", F.lit("Unknown")), F.lit(")")),
-        some("Affected Products: ", "affected_products", 5),
-        some("Related CWEs: ", "cwe_ids"),
-        some("Related CAPECs: ", "capec_entries", 3),
-        some("MITRE ATT&CK Techniques: ", "mitre_techniques", 3),
-        F.when(F.col("is_in_kev"), "WARNING: listed as exploited"),
-        some("Advisories: ", "advisory_ids", 3),
-        some("Exploits: ", "exploit_ids", 3),
-        some("References: ", "references", 3),
-    )
     c = F.col
     return records.filter("description <> ''").select(
-        c("cve_id").alias("id"), F.concat(F.lit("CVE "), "cve_id").alias("title"), content.alias("content"), F.lit("CVE").alias("document_type"), c("cwe_ids").alias("cwe_refs"), "capec_entries", "mitre_techniques", "affected_products",
-        "cvss_v3", "published_date", "last_modified_date", "is_in_kev", tags(c("cwe_ids"), c("affected_products"), c("capec_entries"), c("mitre_techniques"), c("is_in_kev")).alias("tags"),
+        c("cve_id").alias("id"), F.concat(F.lit("CVE "), "cve_id").alias("title"), content(records).alias("content"), F.lit("CVE").alias("document_type"), c("cwe_ids").alias("cwe_refs"), "capec_entries", "mitre_techniques", "affected_products",
+        "cvss_v3", "published_date", "last_modified_date", "is_in_kev", tags(c("cwe_ids"), c("affected_products"), c("capec_entries"), c("mitre_techniques"), c("is_in_kev"), c("mitre_tactics") if "mitre_tactics" in records.columns else None).alias("tags"),
     )
 
 
 def exploited_documents(exploited: DataFrame) -> DataFrame:
-    """Documents of the exploited list, of their own kind; union them by name with allowMissingColumns."""
-    part = lambda label, c: F.concat(F.lit(label), F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit("Unknown")))
-    content = F.concat_ws("\n", part("Known Exploited Vulnerability: ", "id"), part("Vendor/Project: ", "vendor_project"), part("Product: ", "product"), part("Vulnerability Name: ", "vulnerability_name"), part("Date Added: ", "date_added"))
-    return exploited.select(F.concat(F.lit("KEV-"), "id").alias("id"), F.concat(F.lit("Known Exploited Vulnerability - "), "id").alias("title"), content.alias("content"), F.lit("KEV").alias("document_type"), F.array(*[F.lit(x) for x in ("exploited", "critical", "kev")]).alias("tags"))
+    """Documents of the exploited list, of their own kind; union them by name with allowMissingColumns. Rows without an id have none."""
+    part = lambda label, c, none="Unknown": F.concat(F.lit(label), F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(none)) if c in exploited.columns else F.lit(none))
+    more = lambda label, c: labelled(label, F.col(c)) if c in exploited.columns else F.lit(None).cast("string")
+    content = lines(
+        part("Known Exploited Vulnerability: ", "id"), part("Vendor/Project: ", "vendor_project"), part("Product: ", "product"), part("Vulnerability Name: ", "vulnerability_name"), part("Date Added to KEV: ", "date_added"),
+        part("Required Action: ", "required_action", "None specified"), part("Due Date: ", "due_date", "None specified"), more("Known Ransomware Campaign Use: ", "known_ransomware"), more("Notes: ", "notes"),
+    )
+    tags = F.array(*[F.lit(x) for x in ("exploited", "critical", "kev", "cisa")])
+    return exploited.filter(F.col("id") != "").select(F.concat(F.lit("KEV-"), "id").alias("id"), F.concat(F.lit("Known Exploited Vulnerability - "), "id").alias("title"), content.alias("content"), F.lit("KEV").alias("document_type"), F.array("id").alias("cve_refs"), F.lit("Critical").alias("severity"), tags.alias("tags"))

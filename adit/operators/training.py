@@ -47,24 +47,6 @@ def _some(c: str) -> Column:
     return F.array_compact(F.coalesce(c, F.array().cast(_NONE)))
 
 
-def contents(cves: DataFrame) -> DataFrame:
-    """ingest_id and content of every record with a description: what is known of it, line by line."""
-    score, severity = F.col("cvss_v3.base_score"), F.coalesce("cvss_v3.base_severity", F.lit("Unknown"))
-    # Tenths in whole numbers, so that no engine's way of writing fractions matters.
-    line = F.concat(F.lit("CVSS v3 Score: "), F.round(score * 10).cast("bigint").cast("string"), F.lit(" ("), severity, F.lit(")"))
-    parts = [
-        F.col("description"),
-        line,
-        F.concat(F.lit("CVSS v3 Vector: "), "cvss_v3.vector_string"),
-        t.labelled("Affected Products: ", t.joined(_some("affected_products"), 5)),
-        t.labelled("Related CWEs: ", t.joined(_some("cwe_refs"))),
-        t.labelled("Related CAPECs: ", t.joined(_some("capec_entries"), 3)),
-        t.labelled("MITRE ATT&CK Techniques: ", t.joined(_some("mitre_techniques"), 3)),
-        F.when(F.col("is_in_kev"), "WARNING: listed as exploited"),
-    ]
-    return cves.filter(F.col("description") != "").select("ingest_id", t.lines(*parts).alias("content"))
-
-
 def examples(cves: DataFrame, techniques: DataFrame) -> DataFrame:
     """ingest_id, kind, instruction, input, output: analysis, remediation and technical for every record with a title and
     a description, detection and mitigation for those with known techniques.

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from adit.functions import identifiers as ids
 from adit.functions import texts as t
+from adit.operators import exports as x
 from adit.operators import relations as r
 from adit.operators import training as tr
+from adit.plans.graphs import E
 from adit.plans.registry import query
 from adit.runtime import table
 
@@ -108,31 +110,111 @@ def _joined_sql(col: str, limit: int | None = None) -> str:
     return f"nullif(array_to_string({part}, ', '), '')"
 
 
-@query(f"""SELECT ingest_id, md5(concat_ws(chr(10), nullif(description, ''),
-  'CVSS v3 Score: ' || CAST(CAST(round(cvss_v3.base_score * 10) AS BIGINT) AS VARCHAR) || ' (' || coalesce(cvss_v3.base_severity, 'Unknown') || ')',
-  'CVSS v3 Vector: ' || cvss_v3.vector_string, 'Affected Products: ' || {_joined_sql("affected_products", 5)}, 'Related CWEs: ' || {_joined_sql("cwe_refs")},
-  'Related CAPECs: ' || {_joined_sql("capec_entries", 3)}, 'MITRE ATT&CK Techniques: ' || {_joined_sql("mitre_techniques", 3)},
-  CASE WHEN is_in_kev THEN 'WARNING: listed as exploited' END)) AS content_md5 FROM cves WHERE description IS NOT NULL AND description <> ''""")
+#: Records with what lookups add: a second score, tactics, advisories, exploits and references.
+_ADDED = """doc AS (SELECT cve_id, list_sort(list('A' || doc_id) FILTER (doc_type = 'advisory')) AS advisory_ids, list_sort(list('E' || doc_id) FILTER (doc_type = 'incident')) AS exploit_ids FROM documents WHERE cve_id IS NOT NULL GROUP BY 1),
+ c AS (SELECT cves.*, cves.cve_id AS id, advisory_ids, exploit_ids, CASE WHEN ingest_id % 2 = 0 THEN cvss_v3.base_score END AS score2, list_transform(mitre_techniques, lambda x: 'TA' || substr(x, 2, 2)) AS mitre_tactics,
+   ['https://a.example/' || cves.cve_id, 'https://b.example/' || ingest_id] AS refs FROM cves LEFT JOIN doc ON cves.cve_id = doc.cve_id)"""
+
+
+def _added(spark, d):
+    docs = table(spark, d, "documents").filter("cve_id IS NOT NULL").groupBy("cve_id").agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("doc_type") == kind, F.concat(F.lit(mark), "doc_id")))).alias(name) for kind, mark, name in (("advisory", "A", "advisory_ids"), ("incident", "E", "exploit_ids"))]
+    )
+    c = F.col
+    second = F.when(c("ingest_id") % 2 == 0, F.struct(c("cvss_v3.base_score").alias("base_score"), c("cvss_v3.base_severity").alias("severity"), c("cvss_v3.vector_string").alias("vector_string")))
+    tactics = F.transform("mitre_techniques", lambda x: F.concat(F.lit("TA"), F.substring(x, 2, 2)))
+    refs = F.array(F.concat(F.lit("https://a.example/"), "cve_id"), F.concat(F.lit("https://b.example/"), "ingest_id"))
+    return table(spark, d, "cves").join(docs, "cve_id", "left").withColumns({"id": c("cve_id"), "cvss_v2": second, "mitre_tactics": tactics, "references": refs})
+
+
+_V3 = "'CVSS v' || coalesce(cvss_v3.cvss_version, '3.x')"
+
+
+@query(f"""WITH {_ADDED} SELECT ingest_id, md5(concat_ws(chr(10), description,
+  CASE WHEN cvss_v3.base_score <> 0 THEN {_V3} || ' Score: ' || cvss_v3.base_score || ' (' || coalesce(cvss_v3.base_severity, 'Unknown') || ')' END,
+  CASE WHEN cvss_v3.base_score <> 0 THEN {_V3} || ' Vector: ' || nullif(cvss_v3.vector_string, '') END,
+  CASE WHEN score2 <> 0 THEN 'CVSS v2.0 Score: ' || score2 || ' (' || coalesce(cvss_v3.base_severity, 'Unknown') || ')' END, CASE WHEN score2 <> 0 THEN 'CVSS v2.0 Vector: ' || nullif(cvss_v3.vector_string, '') END,
+  'Affected Products: ' || {_joined_sql("affected_products", 5)}, 'Related CWEs: ' || {_joined_sql("cwe_refs")}, 'Related CAPECs: ' || {_joined_sql("capec_entries", 3)},
+  'MITRE ATT&CK Techniques: ' || {_joined_sql("mitre_techniques", 3)}, 'MITRE ATT&CK Tactics: ' || {_joined_sql("mitre_tactics", 3)},
+  CASE WHEN is_in_kev THEN 'WARNING: This vulnerability is in CISA''s Known Exploited Vulnerabilities (KEV) catalog' END,
+  'CSAF Advisories: ' || {_joined_sql("advisory_ids", 3)}, 'ExploitDB IDs: ' || {_joined_sql("exploit_ids", 3)}, 'References: ' || {_joined_sql("refs", 3)})) AS content_md5 FROM c WHERE description <> ''""")
 def content_builder(spark, d):
     """Lines of a record's content in a fixed order, without empty ones; compared by their MD5."""
-    return tr.contents(table(spark, d, "cves")).select("ingest_id", F.md5("content").alias("content_md5"))
+    rows = _added(spark, d).filter("description <> ''")
+    return rows.select("ingest_id", F.md5(x.content(rows)).alias("content_md5"))
+
+
+_EMBED = f"""'CVE ID: ' || coalesce(id, ''), 'Title: ' || nullif(title, ''), 'Description: ' || nullif(description, ''), 'Severity: ' || nullif(cvss_v3.base_severity, ''), 'CVSS v3 Score: ' || nullif(cvss_v3.base_score, 0),
+  'CVSS v3 Vector: ' || nullif(cvss_v3.vector_string, ''), 'CVSS v2 Score: ' || nullif(score2, 0), CASE WHEN score2 IS NOT NULL OR ingest_id % 2 = 0 THEN 'CVSS v2 Vector: ' || nullif(cvss_v3.vector_string, '') END, 'Affected Products: ' || {_joined_sql("affected_products")}"""
 
 
-@query(f"""SELECT ingest_id, concat_ws(' | ', nullif(cve_id, ''), nullif(title, ''), 'Severity: ' || cvss_v3.base_severity, 'Vendors: ' || {_joined_sql("affected_vendors", 3)}, 'CWE: ' || {_joined_sql("cwe_refs")}) AS text FROM cves""")
+@query(f"""WITH {_ADDED} SELECT ingest_id, md5(concat_ws(' | ', {_EMBED}, 'Common Weaknesses: ' || {_joined_sql("cwe_refs")}, 'Attack Patterns: ' || {_joined_sql("capec_entries")},
+  'MITRE ATT&CK Techniques: ' || {_joined_sql("mitre_techniques")}, 'MITRE ATT&CK Tactics: ' || {_joined_sql("mitre_tactics")})) AS text_md5 FROM c""")
 def embedding_text(spark, d):
-    some = lambda c, n=None: t.joined(F.array_compact(F.coalesce(c, F.array().cast("array<string>"))), n)
-    c = table(spark, d, "cves")
-    return c.select("ingest_id", t.lines(F.col("cve_id"), F.col("title"), t.labelled("Severity: ", F.col("cvss_v3.base_severity")), t.labelled("Vendors: ", some(F.col("affected_vendors"), 3)), t.labelled("CWE: ", some(F.col("cwe_refs"))), separator=" | ").alias("text"))
+    """The text for embedding of every record; compared by its MD5."""
+    rows = _added(spark, d)
+    return rows.select("ingest_id", F.md5(x.embedding_text(rows)).alias("text_md5"))
+
+
+_NEIGHBOURS = f"""{E}, t AS (SELECT DISTINCT cve_id AS src, y AS dst FROM (SELECT cve_id, unnest(mitre_techniques) AS y FROM cves WHERE cve_id IS NOT NULL) WHERE trim(y) <> ''),
+ every AS (SELECT src, rel, dst FROM e UNION ALL SELECT src, 'USES_TECHNIQUE', dst FROM t UNION ALL SELECT DISTINCT src, 'BELONGS_TO_TACTIC', 'TA' || substr(dst, 2, 2) FROM t),
+ n AS (SELECT src, list_sort(list(dst) FILTER (rel = 'AFFECTS')) AS rp, list_sort(list(dst) FILTER (rel = 'HAS_WEAKNESS')) AS rw, list_sort(list(dst) FILTER (rel = 'HAS_ATTACK_PATTERN')) AS ra, list_sort(list(dst) FILTER (rel = 'USES_TECHNIQUE')) AS rt, list_sort(list(dst) FILTER (rel = 'BELONGS_TO_TACTIC')) AS rc FROM every GROUP BY src),
+ one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cve_id ORDER BY ingest_id) AS k FROM c WHERE cve_id IS NOT NULL) WHERE k = 1)"""
+
 
+@query(f"""WITH {_ADDED}, {_NEIGHBOURS} SELECT id, coalesce(cvss_v3.base_severity, 'UNKNOWN') AS severity, len(coalesce(rp, [])) AS n_products, len(coalesce(rt, [])) AS n_techniques, md5(concat_ws(' | ', {_EMBED}, 'Related Products: ' || {_joined_sql("rp")},
+  'Common Weaknesses: ' || {_joined_sql("rw")}, 'Attack Patterns: ' || {_joined_sql("ra")}, 'MITRE ATT&CK Techniques: ' || {_joined_sql("rt")}, 'MITRE ATT&CK Tactics: ' || {_joined_sql("rc")})) AS text_md5,
+  coalesce(array_to_string(list_filter(affected_products, lambda y: y IS NOT NULL), ', '), '-') AS products FROM one LEFT JOIN n ON src = id""")
+def graph_documents(spark, d):
+    """Documents of records with the lists of five families of edges, their text for embedding and metadata as texts."""
+    from adit.operators import graph as g
 
-@query(f"""SELECT product_row, concat_ws(' | ', 'Product: ' || nullif(p.display_name, ''), 'Vendor: ' || v.display_name, 'Category: ' || nullif(category, ''), 'Family: ' || nullif(family, ''), 'Aliases: ' || {_joined_sql("p.aliases", 5)}) AS text
+    t = g.technique_edges(table(spark, d, "cves"))
+    tactics = t.select("src", F.lit("BELONGS_TO_TACTIC").alias("rel"), F.concat(F.lit("TA"), F.substring("dst", 2, 2)).alias("dst")).distinct()
+    every = g.edges_of(table(spark, d, "cve_edges")).unionByName(t).unionByName(tactics)
+    rows = _added(spark, d)
+    first = r.latest(rows.filter("cve_id IS NOT NULL").withColumn("o", -F.col("ingest_id")), "cve_id", ["o"]).drop("o")
+    docs = x.record_documents(first, every)
+    m = lambda k, none: F.coalesce(F.try_element_at("metadata", F.lit(k)), F.lit(none))
+    return docs.select("id", m("severity", "").alias("severity"), F.size("related_products").cast("bigint").alias("n_products"), F.size("mitre_techniques").cast("bigint").alias("n_techniques"), F.md5("text_for_embedding").alias("text_md5"), m("products", "-").alias("products"))
+
+
+def _product_sql(vendor: str, figures: bool) -> str:
+    more = "'Criticality Score: ' || coalesce(criticality_score, 0.0)," if figures else ""
+    last = ", 'Vulnerability Count: ' || coalesce(p.vulnerability_count, 0)" if figures else ""
+    return f"""concat_ws(' | ', 'Product: ' || coalesce(p.display_name, ''), 'Vendor: ' || coalesce({vendor}, ''), 'Category: ' || coalesce(category, ''), 'Family: ' || coalesce(family, ''), {more} 'Aliases: ' || {_joined_sql("p.aliases")}, 'Versions: ' || {_joined_sql("versions")}{last})"""
+
+
+@query(f"""SELECT product_row, {_product_sql("v.display_name", True)} AS text, {_product_sql("p.vendor_name", False)} AS short_text
  FROM product_nodes p LEFT JOIN (SELECT vendor_name, min(display_name) AS display_name FROM vendor_nodes GROUP BY 1) v ON p.vendor_name = v.vendor_name""")
 def product_text(spark, d):
-    """Products with their vendors' names as one text."""
+    """Products with their vendors' names as text, in two forms."""
     v = table(spark, d, "vendor_nodes").groupBy("vendor_name").agg(F.min("display_name").alias("vendor"))
     p = table(spark, d, "product_nodes").join(v, "vendor_name", "left")
-    alias = t.joined(F.array_compact(F.coalesce("aliases", F.array().cast("array<string>"))), 5)
-    return p.select("product_row", t.lines(t.labelled("Product: ", F.col("display_name")), t.labelled("Vendor: ", F.col("vendor")), t.labelled("Category: ", F.col("category")), t.labelled("Family: ", F.col("family")), t.labelled("Aliases: ", alias), separator=" | ").alias("text"))
+    return p.select("product_row", x.product_text(F.col("vendor"), True).alias("text"), x.product_text(F.col("vendor_name"), False).alias("short_text"))
+
+
+@query("""SELECT 'records' AS figure, count(*) AS n FROM cves UNION ALL SELECT 'exploited', count(*) FROM cves WHERE is_in_kev UNION ALL SELECT 'with score', count(*) FROM cves WHERE cvss_v3.base_score > 0
+ UNION ALL SELECT 'severity ' || coalesce(cvss_v3.base_severity, 'UNKNOWN'), count(*) FROM cves GROUP BY 1 UNION ALL """ + " UNION ALL ".join(f"SELECT '{n}', count(DISTINCT e) FROM (SELECT unnest({c}) AS e FROM cves)" for n, c in (("products", "affected_products"), ("vendors", "affected_vendors"), ("weaknesses", "cwe_refs"), ("patterns", "capec_entries"), ("techniques", "mitre_techniques"))))
+def record_statistics(spark, d):
+    """The figures that go with an export of records."""
+    return x.record_statistics(table(spark, d, "cves"))
+
+
+@query("""SELECT 'KEV-' || cve_id AS id, md5(concat_ws(chr(10), 'Known Exploited Vulnerability: ' || cve_id, 'Vendor/Project: ' || coalesce(nullif(source, ''), 'Unknown'), 'Product: ' || coalesce(nullif(title, ''), 'Unknown'), 'Vulnerability Name: Unknown',
+  'Date Added to KEV: ' || coalesce(nullif(published_date, ''), 'Unknown'), 'Required Action: None specified', 'Due Date: None specified', 'Notes: ' || nullif(description, ''))) AS content_md5 FROM cves WHERE is_in_kev AND cve_id <> ''""")
+def exploited_documents(spark, d):
+    """Documents of the exploited list; compared by the MD5 of their content."""
+    from adit.operators.records import exploited_documents as of
+
+    kev = table(spark, d, "cves").filter("is_in_kev").select(F.col("cve_id").alias("id"), F.col("source").alias("vendor_project"), F.col("title").alias("product"), F.col("published_date").alias("date_added"), F.col("description").alias("notes"))
+    return of(kev).select("id", F.md5("content").alias("content_md5"))
+
+
+@query("SELECT 'token' AS term, count(*) FILTER (contains(lower(text), 'token')) AS n, count(*) FILTER (length(text) BETWEEN 50 AND 5000) AS usable FROM documents UNION ALL SELECT 'restart', count(*) FILTER (contains(lower(text), 'restart')), count(*) FILTER (length(text) BETWEEN 50 AND 5000) FROM documents")
+def term_mentions(spark, d):
+    """Texts that mention each of some terms, and texts of a usable length."""
+    return t.mention_counts(table(spark, d, "documents"), "text", ["token", "restart"])
 
 
 def _tags_sql() -> str:
@@ -147,18 +229,20 @@ def _tags_sql() -> str:
         f"list_transform({some('capec_entries')}[1:3], lambda x: 'capec_' || lower(x))",
         f"CASE WHEN len({some('mitre_techniques')}) > 0 THEN ['mitre_attack'] ELSE {none} END",
         f"list_transform({some('mitre_techniques')}[1:3], lambda x: 'technique_' || lower(x))",
+        f"list_transform({some('tactics')}[1:3], lambda x: 'tactic_' || lower(x))",
         f"CASE WHEN is_in_kev THEN ['kev', 'exploited', 'critical'] ELSE {none} END",
     ]
     every = parts[0]
     for p in parts[1:]:
         every = f"list_concat({every}, {p})"
-    return f"SELECT ingest_id, array_to_string(list_sort(list_distinct({every})), ', ') AS tags FROM cves"
+    return f"SELECT ingest_id, array_to_string(list_sort(list_distinct({every})), ', ') AS tags FROM (SELECT *, list_transform(mitre_techniques, lambda x: 'TA' || substr(x, 2, 2)) AS tactics FROM cves)"
 
 
 @query(_tags_sql())
 def tags(spark, d):
     c = F.col
-    found = t.tags(c("cwe_refs"), c("affected_products"), c("capec_entries"), c("mitre_techniques"), c("is_in_kev"))
+    tactics = F.transform("mitre_techniques", lambda y: F.concat(F.lit("TA"), F.substring(y, 2, 2)))
+    found = t.tags(c("cwe_refs"), c("affected_products"), c("capec_entries"), c("mitre_techniques"), c("is_in_kev"), tactics)
     return table(spark, d, "cves").select("ingest_id", F.array_join(found, ", ").alias("tags"))
 
 
