@@ -5,18 +5,36 @@ The functions take the place of a service: a caller that serves requests passes
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adit.functions.texts import chunks
-from adit.operators.vectors import hashed_text, search
+from adit.functions.texts import chunks, shortened
+from adit.operators.vectors import hashed_text, rounded, scored, search
 
-#: Longest query, in characters, and most results.
-MOST_QUERY, MOST_RESULTS = 1000, 50
+#: Most results of a search.
+MOST_RESULTS = 50
 
 
-def vector_table(cves: DataFrame, size: int = 64) -> DataFrame:
-    """chunk_id, cve_id, chunk_no, text, severity, vendors, weaknesses, embedding (of length 1, from hashed words).
+@dataclass(frozen=True)
+class Request:
+    """What a caller of a service asks: a text, how many results, and what they must have."""
+
+    query: str
+    top_k: int = 10
+    severity: str | None = None
+    vendor: str | None = None
+
+    def __post_init__(self):
+        if not self.query.strip():
+            raise ValueError("the query is empty")
+        if not 1 <= self.top_k <= MOST_RESULTS:
+            raise ValueError(f"top_k must be from 1 to {MOST_RESULTS}")
+
+
+def record_chunks(cves: DataFrame) -> DataFrame:
+    """chunk_id, cve_id, chunk_no, text, severity, vendors, weaknesses.
 
     The text of a record is its embedding text, else its description, else a line that names it. Of equal chunk ids the
     first row by ingest_id counts. Records without an id are left out.
@@ -27,45 +45,86 @@ def vector_table(cves: DataFrame, size: int = 64) -> DataFrame:
     # Repeats go before texts are cut and hashed.
     first = rows.withColumn("k", F.row_number().over(Window.partitionBy("cve_id").orderBy("ingest_id"))).filter("k = 1")
     cut = first.select("cve_id", "severity", "vendors", "weaknesses", F.posexplode(chunks(F.col("t"))).alias("chunk_no", "text"))
-    return hashed_text(cut.withColumn("chunk_id", F.concat("cve_id", F.lit("_chunk_"), "chunk_no")), "text", size).select("chunk_id", "cve_id", "chunk_no", "text", "severity", "vendors", "weaknesses", "embedding")
+    return cut.withColumn("chunk_id", F.concat("cve_id", F.lit("_chunk_"), "chunk_no")).select("chunk_id", "cve_id", "chunk_no", "text", "severity", "vendors", "weaknesses")
+
+
+def vector_table(cves: DataFrame, size: int = 64) -> DataFrame:
+    """record_chunks with an embedding of length 1, from hashed words."""
+    return hashed_text(record_chunks(cves), "text", size)
+
+
+def keep_vectors(new: DataFrame, path: str, force: bool = False) -> DataFrame:
+    """The stored vectors of a path: written if there are none yet, or if forced; else left as they are."""
+    from adit.sources.readers import exists
 
+    spark = new.sparkSession
+    if force or not exists(spark, f"{path}/_SUCCESS"):
+        new.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
-def _vector(vectors: DataFrame, query: str) -> list[float]:
+
+def upserted(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """The vectors of both; of equal keys the new one. Rows are told apart by key, so that vectors don't meet."""
+    return old.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def vector_of(vectors: DataFrame, text: str) -> list[float]:
+    """The vector of a text, of the size of the table's."""
     spark = vectors.sparkSession
     size = vectors.select(F.size("embedding")).first()
-    one = spark.createDataFrame([(query[:MOST_QUERY],)], "text string")
+    one = spark.createDataFrame([(text,)], "text string")
     return list(hashed_text(one, "text", size[0] if size else 64).first().embedding)
 
 
-def search_records(vectors: DataFrame, query: str, n: int = 10, severity: str | None = None, vendor: str | None = None) -> DataFrame:
-    """The n best chunks for a query, at most 50, of one severity and of vendors that contain a term, if given."""
-    rows = vectors
-    if severity:
-        rows = rows.filter(F.col("severity") == severity)
-    if vendor:
-        rows = rows.filter(F.exists("vendors", lambda v: F.contains(F.lower(v), F.lit(vendor.lower()))))
-    return search(rows, _vector(vectors, query.strip()), n, MOST_RESULTS, "chunk_id")
+def having(vectors: DataFrame, severity: str | None = None, vendor: str | None = None) -> DataFrame:
+    """Rows of a severity, and with a vendor that contains a term, whatever the case."""
+    rows = vectors if severity is None else vectors.filter(F.col("severity") == severity)
+    return rows if vendor is None else rows.filter(F.exists("vendors", lambda v: F.contains(F.lower(v), F.lit(vendor.lower()))))
+
+
+def search_near(vectors: DataFrame, vector: list[float], n: int = 10, severity: str | None = None, vendor: str | None = None) -> DataFrame:
+    """The n chunks nearest to a vector, at most 50, of those that have what is asked for; filters come first."""
+    return search(having(vectors, severity, vendor), vector, n, MOST_RESULTS, "chunk_id")
+
+
+def search_records(vectors: DataFrame, request: Request) -> DataFrame:
+    """The best chunks for a request."""
+    return search_near(vectors, vector_of(vectors, request.query.strip()), request.top_k, request.severity, request.vendor)
 
 
 def similar_to(vectors: DataFrame, cve_id: str, n: int = 5) -> DataFrame:
-    """The n records most like a record by its first chunk, without itself; no rows for an unknown one."""
-    own = vectors.filter((F.col("cve_id") == cve_id) & (F.col("chunk_no") == 0)).select("embedding").first()
+    """The n records most like a record by its first chunk, without itself, each by its best chunk; no rows for an unknown one."""
+    own = vectors.filter(F.col("cve_id") == cve_id).orderBy("chunk_no", "chunk_id").select("embedding").first()
     if own is None:
         return vectors.limit(0)
-    # One row for each record: its best chunk.
-    near = search(vectors.filter(F.col("cve_id") != cve_id), list(own[0]), MOST_RESULTS, MOST_RESULTS, "chunk_id")
-    best = near.withColumn("k", F.row_number().over(Window.partitionBy("cve_id").orderBy(F.desc("cosine"), "chunk_id"))).filter("k = 1").drop("k")
-    return best.orderBy(F.desc("cosine"), "chunk_id").limit(n)
+    near = scored(vectors.filter(F.col("cve_id") != cve_id), list(own[0]))
+    rest = [c for c in near.columns if c not in ("cve_id", "embedding")]
+    # The best chunk of each record by a partial aggregation, before anything is cut off; of equal ones the first by id.
+    best = near.groupBy("cve_id").agg(F.max("cosine").alias("top"), F.min_by(F.struct(*rest), F.struct(-F.col("cosine"), F.col("chunk_id"))).alias("r"))
+    return rounded(best.select("cve_id", "r.*").orderBy(F.desc("cosine"), "chunk_id").limit(n))
 
 
-def summary(vectors: DataFrame, query: str) -> dict[str, DataFrame]:
-    """What the fifty best chunks are about: severities, the five commonest vendors and weaknesses."""
-    hits = search_records(vectors, query, MOST_RESULTS)
-    commonest = lambda c: hits.select(F.explode(c).alias("name")).filter("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(5)
+def summary(hits: DataFrame, most: int = 5) -> dict[str, DataFrame]:
+    """What chunks that were found are about: severities, the commonest vendors and weaknesses."""
+    commonest = lambda c: hits.select(F.explode(c).alias("name")).filter("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(most)
     severities = hits.groupBy(F.coalesce("severity", F.lit("UNKNOWN")).alias("severity")).agg(F.count("*").alias("n"))
     return {"severities": severities, "vendors": commonest("vendors"), "weaknesses": commonest("weaknesses")}
 
 
+def reply(hits: DataFrame, question: str, most: int = 3, size: int = 200) -> DataFrame:
+    """One text that answers with what was found, best first, when nothing can write a better one; says so if there is nothing."""
+    best = hits.orderBy(F.desc("cosine"), "chunk_id").limit(most)
+    line = F.concat(F.lit("- "), "cve_id", F.lit(" ("), F.coalesce("severity", F.lit("UNKNOWN")), F.lit("): "), shortened(F.col("text"), size))
+    rows = best.agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("o"), "chunk_id", line.alias("line")))).alias("a"))
+    head = F.lit(f"Found for: {question}")
+    return rows.select(F.when(F.size("a") > 0, F.concat_ws("\n", head, F.array_join(F.transform("a", lambda x: x["line"]), "\n"))).otherwise(F.lit(f"Nothing found for: {question}")).alias("text"))
+
+
 def figures(vectors: DataFrame) -> DataFrame:
     """n_records and n_chunks, as one row."""
     return vectors.agg(F.countDistinct("cve_id").alias("n_records"), F.count("*").alias("n_chunks"))
+
+
+def health(vectors: DataFrame | None) -> DataFrame | None:
+    """Whether a table of vectors answers: status and n_chunks, as one row; None without a table."""
+    return None if vectors is None else vectors.agg(F.count("*").alias("n_chunks")).select(F.when(F.col("n_chunks") > 0, "healthy").otherwise("empty").alias("status"), "n_chunks")
