@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -239,46 +237,36 @@ def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, toleran
 def betweenness(edges: DataFrame, pivots: int = 100) -> DataFrame:
     """Approximate betweenness of an undirected graph from shortest paths of `pivots` sources: id, betweenness.
 
-    The edges go to every task, so they must be few: they are counted first. Sources are the first nodes by hash and
-    spread over tasks; each adds what its paths contribute, and the sums are scaled to all sources and normalized.
+    Sources are the first nodes by hash. All of them go outward together, a level at a time: a join with the links gives
+    the next level with its numbers of shortest paths, and then the levels give back, from the last to the first, what
+    paths through them contribute. Levels are written, so that a job holds one of them; neither the nodes nor the links
+    go to the driver. Sums are scaled to all sources and normalized. A node that no path passes has 0.
     """
-    pairs = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    if not small_enough(pairs, 2_000_000):
-        raise ValueError("betweenness needs the edges in memory; take a part of the graph of at most a million edges")
-    links = pairs.toPandas()
-    around: dict[str, list[str]] = {a: list(g) for a, g in links.groupby("src")["dst"]}
-    n = len(around)
+    pairs = edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct()
+    links = cut(pairs, "links")
+    nodes = links.select(F.col("src").alias("id")).distinct()
+    n = nodes.count()
     if n < 3:
-        return edges.sparkSession.createDataFrame([(x, 0.0) for x in around], "id string, betweenness double")
-    spark = edges.sparkSession
-    shared = spark.sparkContext.broadcast(around)
-    sources = pairs.select("src").distinct().orderBy(F.xxhash64("src"), "src").limit(pivots)
+        return nodes.withColumn("betweenness", F.lit(0.0))
+    first = nodes.orderBy(F.xxhash64("id"), "id").limit(pivots).select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("ways"))
+    levels = [cut(first, "level")]
+    while True:
+        near = levels[-1].join(links, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("ways").alias("ways"))
+        # A neighbour of a level is in it, in the one before or in the next.
+        for known in levels[-2:]:
+            near = near.join(known.select("s", "v"), ["s", "v"], "left_anti")
+        near = cut(near, "level")
+        if near.isEmpty():
+            break
+        levels.append(near)
+    shares = levels[-1].withColumn("share", F.lit(0.0))
+    parts = []
+    for level in reversed(levels[:-1]):
+        parts.append(shares.select("v", "share"))
+        given = shares.select("s", F.col("v").alias("w"), ((1 + F.col("share")) / F.col("ways")).alias("g"))
+        back = given.join(links, F.col("w") == F.col("src")).select("s", F.col("dst").alias("v"), "g").groupBy("s", "v").agg(F.sum("g").alias("g"))
+        shares = cut(level.join(back, ["s", "v"], "left").select("s", "v", "ways", (F.col("ways") * F.coalesce("g", F.lit(0.0))).alias("share")), "shares")
     scale = n / min(pivots, n) / ((n - 1) * (n - 2))
-
-    def paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        links = shared.value
-        for batch in batches:
-            for s in batch["src"]:
-                order, before, ways, far = [], {s: []}, {s: 1.0}, {s: 0}
-                front = [s]
-                while front:
-                    order += front
-                    after = []
-                    for v in front:
-                        for w in links[v]:
-                            if w not in far:
-                                far[w], ways[w], before[w] = far[v] + 1, 0.0, []
-                                after.append(w)
-                            if far[w] == far[v] + 1:
-                                ways[w] += ways[v]
-                                before[w].append(v)
-                    front = after
-                share = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        share[v] += ways[v] / ways[w] * (1 + share[w])
-                share.pop(s)
-                yield pd.DataFrame({"id": list(share), "part": list(share.values())})
-
-    parts = sources.repartition(spark.sparkContext.defaultParallelism).mapInPandas(paths, "id string, part double")
-    return parts.groupBy("id").agg((F.sum("part") * F.lit(scale)).alias("betweenness"))
+    empty = links.limit(0).select(F.col("src").alias("v"), F.lit(0.0).alias("share"))
+    sums = reduce(DataFrame.unionByName, parts, empty).groupBy(F.col("v").alias("id")).agg((F.sum("share") * F.lit(scale)).alias("b"))
+    return nodes.join(sums, "id", "left").select("id", F.coalesce("b", F.lit(0.0)).alias("betweenness"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adit.runtime import small_enough
+from adit.runtime import cut, small_enough
 
 
 def product_key(vendor: str = "normalized_vendor", product: str = "normalized_product") -> Column:
@@ -60,6 +60,18 @@ def ranked_per_group(df: DataFrame, group: str, order: list[Column], n: int, ran
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col(rank) <= n)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with the number of each row in an order, from 0. The order should leave no ties.
+
+    Rows are sorted by range and numbered within their partition; the partitions' sizes, one row each, give the offsets.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    marked = cut(df.orderBy(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", place), "numbered")
+    sizes = marked.groupBy("__p").agg(F.count("*").alias("__n"))
+    offsets = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__o"))
+    return marked.join(F.broadcast(offsets), "__p").withColumn(name, F.col("__o") + F.col("__i")).drop("__p", "__i", "__o")
+
+
 def inverted(df: DataFrame, key_col: str, id_col: str) -> DataFrame:
     """Distinct (key, id) rows of an index; exporters nest them."""
     return df.select(F.col(key_col).alias("key"), F.col(id_col).alias("id")).filter(F.col("key").isNotNull()).distinct()

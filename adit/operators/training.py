@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adit.functions import texts as t
-from adit.operators.relations import looked_up
+from adit.operators.relations import flagged, looked_up, numbered
+from adit.runtime import small_enough
 
 _NONE = "array<string>"
 #: Instructions and frames that examples rotate through.
@@ -80,20 +81,65 @@ def _pick(values: tuple[str, ...], number: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(number, F.lit(len(values))) + 1).cast("int"))
 
 
-def diversified(df: DataFrame, limit: int | None = None, seed: int = 42) -> DataFrame:
-    """Examples in rotating forms, without repeats. The form follows from a hash of the example, so that it needs no
-    numbering of all rows and no chance; `limit` takes the first by another hash, as a shuffle would."""
-    number = F.xxhash64("instruction", "input", "output")
-    aspect = F.when(F.pmod(F.xxhash64(number, F.lit(seed)), F.lit(10)) < ASPECT_SHARE, F.concat(F.lit(" "), _pick(ASPECTS, F.shiftright(number, 8))))
-    out = df.select(
+def _chance(*parts: Column | str, seed: int) -> Column:
+    """A number below 2 ** 28 that follows from the parts and a seed."""
+    text = F.concat_ws("|", F.lit(seed), *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("bigint")
+
+
+def diversified(df: DataFrame, limit: int | None = None, seed: int = 42, forms: tuple[tuple[str, ...], ...] = (INSTRUCTIONS + ASPECTS, ASPECTS, INPUT_HEADS, OUTPUT_HEADS)) -> DataFrame:
+    """Examples in rotating forms, without repeats: ingest_id, kind, number, instruction, input, output.
+
+    The form follows from the number of the example in the order of ingest_id and kind, as a walk over all of them would
+    give; three of ten get an aspect, by a hash in place of chance. Headings of outputs go. Of equal examples the first
+    counts. `limit` takes the first by another hash, as a shuffle would. forms: instructions, aspects, heads of inputs
+    and of outputs.
+    """
+    instructions, aspects, input_heads, output_heads = forms
+    rows = numbered(df, [F.col("ingest_id"), F.col("kind")], "number")
+    number, chance = F.col("number"), _chance("ingest_id", "kind", seed=seed)
+    aspect = F.when(chance % 10 < ASPECT_SHARE, F.concat(F.lit(" "), _pick(aspects, F.floor(chance / 10))))
+    body = F.regexp_replace(t.without_headers(F.col("output")), r"^\s+|\s+$", "")
+    out = rows.select(
         "ingest_id",
         "kind",
-        F.concat(_pick(INSTRUCTIONS + ASPECTS, number), F.coalesce(aspect, F.lit(""))).alias("instruction"),
-        F.concat(_pick(INPUT_HEADS, number), F.lit("\n"), "input").alias("input"),
-        F.concat(_pick(OUTPUT_HEADS, number), F.lit("\n"), F.trim(t.without_headers(F.col("output")))).alias("output"),
+        "number",
+        F.concat(_pick(instructions, number), F.coalesce(aspect, F.lit(""))).alias("instruction"),
+        F.concat(_pick(input_heads, number), F.lit("\n"), "input").alias("input"),
+        F.concat(_pick(output_heads, number), F.lit("\n"), body).alias("output"),
     )
-    kept = out.join(without_repeats(out, "ingest_id", keep=("kind",)).select("ingest_id", "kind"), ["ingest_id", "kind"], "left_semi")
-    return kept.orderBy(F.xxhash64("ingest_id", "kind", F.lit(seed)), "ingest_id", "kind").limit(limit) if limit else kept
+    kept = out.join(without_repeats(out, "number").select("number"), "number", "left_semi")
+    return kept.orderBy(_chance("kind", "ingest_id", seed=seed), "number").limit(limit) if limit else kept
+
+
+def enriched_records(cves: DataFrame, edges: DataFrame, exploited: DataFrame, techniques: DataFrame) -> DataFrame:
+    """Records as examples are made of them: id, title, description, score, severity, affected_products, is_in_kev, cwes,
+    mitre_techniques, technique_details (in the order of the techniques), mitre_tactics, capecs.
+
+    cves: one row per cve_id, with mitre_techniques. edges: those to weaknesses, patterns and tactics. exploited: cve_id.
+    techniques: technique_id, name, description, detection, data_sources, one row each; unknown ones have no details.
+    """
+    kinds = {"HAS_WEAKNESS": "cwes", "HAS_ATTACK_PATTERN": "capecs", "BELONGS_TO_TACTIC": "mitre_tactics"}
+    nested = edges.groupBy(F.col("src").alias("cve_id")).agg(*[F.array_sort(F.collect_set(F.when(F.col("rel") == r, F.col("dst")))).alias(n) for r, n in kinds.items()])
+    places = cves.select("cve_id", F.posexplode(_some("mitre_techniques")).alias("place", "technique_id"))
+    fields = ["name", "description", "detection", "data_sources"]
+    side = F.broadcast(techniques) if small_enough(techniques) else techniques
+    detail = places.join(side, "technique_id").groupBy("cve_id").agg(F.array_sort(F.collect_list(F.struct("place", F.col("technique_id").alias("id"), *fields))).alias("technique_details"))
+    flagged_rows = flagged(cves, exploited.select("cve_id").distinct(), "cve_id", "in_kev")
+    both = flagged_rows.join(nested, "cve_id", "left").join(detail, "cve_id", "left")
+    none = F.array().cast(_NONE)
+    return both.select(
+        F.col("cve_id").alias("id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce("cvss_v3.base_score", F.lit(0.0)).alias("score"),
+        F.coalesce("cvss_v3.base_severity", F.lit("UNKNOWN")).alias("severity"), _some("affected_products").alias("affected_products"), F.col("in_kev").alias("is_in_kev"), F.coalesce("cwes", none).alias("cwes"), _some("mitre_techniques").alias("mitre_techniques"),
+        F.coalesce("technique_details", F.array()).alias("technique_details"), F.coalesce("mitre_tactics", none).alias("mitre_tactics"), F.coalesce("capecs", none).alias("capecs"),
+    )
+
+
+def prompts(df: DataFrame, instruction_size: int = 100, input_size: int = 400, output_size: int = 250) -> DataFrame:
+    """Examples as one text each, their parts cut to a size and marked where cut: text."""
+    part = lambda c, n: t.shortened(F.coalesce(c, F.lit("")), n)
+    text = F.concat(F.lit("### Instruction:\n"), part("instruction", instruction_size), F.lit("\n\n### Input:\n"), part("input", input_size), F.lit("\n\n### Response:\n"), part("output", output_size))
+    return df.withColumn("text", text)
 
 
 def without_repeats(df: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:

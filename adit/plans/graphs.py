@@ -432,7 +432,5 @@ def pagerank(spark, d):
 
 @query()
 def betweenness(spark, d):
-    """Nations, regions and market segments as a small graph."""
-    n = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"))
-    c = table(spark, d, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.col("c_mktsegment").alias("dst")).distinct()
-    return g.betweenness(n.union(c))
+    """Betweenness of every node of the graph of records."""
+    return g.betweenness(edges(spark, d))

@@ -352,13 +352,67 @@ def dataset_quality(spark, d):
     return tr.quality(table(spark, d, "training_examples"))
 
 
-@query()
+_REACH = "CASE WHEN contains(vec, 'AV:N') THEN 'It can be reached over the network.' WHEN contains(vec, 'AV:A') THEN 'It can be reached from the same network segment.' WHEN contains(vec, 'AV:L') THEN 'It needs local access.' WHEN contains(vec, 'AV:P') THEN 'It needs physical access.' END"
+_RIGHTS = "CASE WHEN contains(vec, 'PR:N') THEN 'No rights are needed.' WHEN contains(vec, 'PR:L') THEN 'Low rights are needed.' WHEN contains(vec, 'PR:H') THEN 'High rights are needed.' END"
+_EXAMPLES = f"""known AS (SELECT technique_id, min(concat_ws(' ', '- **' || technique_id || ':** ', technique_name)) AS line FROM mitre_techniques WHERE technique_id IS NOT NULL GROUP BY 1),
+ tl AS (SELECT ingest_id, list_sort(list(line)) AS ls FROM (SELECT DISTINCT ingest_id, unnest(mitre_techniques) AS y FROM cves) JOIN known ON y = technique_id GROUP BY 1),
+ b AS (SELECT cves.*, nullif(array_to_string(ls[1:3], chr(10)), '') AS ls3, coalesce(cvss_v3.base_severity, 'UNKNOWN') AS sev, coalesce(cvss_v3.base_score, 0.0) AS score, coalesce(cvss_v3.vector_string, '') AS vec, coalesce({_joined_sql("affected_products")}, 'Not specified') AS products
+   FROM cves LEFT JOIN tl USING (ingest_id) WHERE title <> '' AND description <> ''),
+ p AS (SELECT *, concat('CVE ID: ', coalesce(cve_id, ''), chr(10), 'Title: ', title, chr(10), 'Description: ', description, chr(10), 'Affected Products: ', products) AS input, {_REACH} AS reach, {_RIGHTS} AS rights FROM b),
+ ex AS (SELECT ingest_id, 'analysis' AS kind, 'Analyze the following record and provide a security assessment.' AS instruction, input, concat_ws(chr(10), '**Severity:** ' || sev, '**Details:**' || chr(10) || description, reach, '**Weaknesses:** ' || {_joined_sql("cwe_refs")}, CASE WHEN is_in_kev THEN 'It is known to be exploited.' END) AS output FROM p
+   UNION ALL SELECT ingest_id, 'remediation', 'Write remediation guidance for this record.', input, concat_ws(chr(10), 'Affected: ' || products, 'Update ' || CASE WHEN score >= 9 THEN 'immediately' WHEN score >= 7 THEN 'within days' ELSE 'with the next regular update' END || '.', rights) FROM p
+   UNION ALL SELECT ingest_id, 'technical', 'Explain the technical details of this record.', input, concat_ws(chr(10), description, 'Vector: ' || nullif(vec, ''), reach, rights) FROM p
+   UNION ALL SELECT ingest_id, 'detection', 'Describe how an attempt could be detected.', input, 'Watch for these techniques:' || chr(10) || ls3 FROM p WHERE ls3 IS NOT NULL
+   UNION ALL SELECT ingest_id, 'mitigation', 'Suggest mitigations for the techniques involved.', input, 'Mitigate these techniques:' || chr(10) || ls3 FROM p WHERE ls3 IS NOT NULL)"""
+
+
+@query(f"WITH {_EXAMPLES} SELECT ingest_id, kind, instruction, md5(input) AS input_md5, md5(output) AS output_md5 FROM ex")
 def training_examples(spark, d):
-    """Five kinds of examples of every record with a title and a description."""
-    return tr.examples(table(spark, d, "cves"), table(spark, d, "mitre_techniques"))
+    """Five kinds of examples of every record with a title and a description; texts compared by their MD5."""
+    return tr.examples(table(spark, d, "cves"), table(spark, d, "mitre_techniques")).select("ingest_id", "kind", "instruction", F.md5("input").alias("input_md5"), F.md5("output").alias("output_md5"))
 
 
-@query()
+def _hash_sql(a: str, b: str) -> str:
+    return f"CAST('0x' || substr(md5('42|' || {a} || '|' || {b}), 1, 7) AS BIGINT)"
+
+
+_DIVERSE = rf"""{_EXAMPLES}, num AS (SELECT *, row_number() OVER (ORDER BY ingest_id, kind) - 1 AS number, {_hash_sql("ingest_id", "kind")} AS h, {_hash_sql("kind", "ingest_id")} AS h2 FROM ex),
+ dv AS (SELECT ingest_id, kind, number, h2, {_sql_list(tr.INSTRUCTIONS + tr.ASPECTS)}[number % 23 + 1] || CASE WHEN h % 10 < 3 THEN ' ' || {_sql_list(tr.ASPECTS)}[(h // 10) % 8 + 1] ELSE '' END AS instruction, {_sql_list(tr.INPUT_HEADS)}[number % 8 + 1] || chr(10) || input AS input,
+   {_sql_list(tr.OUTPUT_HEADS)}[number % 8 + 1] || chr(10) || regexp_replace(regexp_replace(regexp_replace(output, '(?m)^#+\s*.*?
+', '', 'g'), '(?m)^\*\*.*?\*\*:
+', '', 'g'), '^\s+|\s+$', '', 'g') AS output FROM num),
+ once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instruction, input, output ORDER BY number) AS k FROM dv) WHERE k = 1)"""
+
+
+def _diverse(spark, d, limit=None):
+    return tr.diversified(tr.examples(table(spark, d, "cves"), table(spark, d, "mitre_techniques")), limit)
+
+
+@query(f"WITH {_DIVERSE} SELECT number, instruction, md5(input) AS input_md5, md5(output) AS output_md5 FROM once")
 def diversified_examples(spark, d):
-    """Examples with instructions, inputs and outputs in rotating forms, each once, in an order by hash."""
-    return tr.diversified(tr.examples(table(spark, d, "cves"), table(spark, d, "mitre_techniques")))
+    """Examples with instructions, inputs and outputs in rotating forms, each once; texts compared by their MD5."""
+    return _diverse(spark, d).select("number", "instruction", F.md5("input").alias("input_md5"), F.md5("output").alias("output_md5"))
+
+
+@query(f"WITH {_DIVERSE} SELECT number, md5('### Instruction:' || chr(10) || CASE WHEN length(instruction) > 100 THEN instruction[1:100] || '...' ELSE instruction END || chr(10) || chr(10) || '### Input:' || chr(10) || CASE WHEN length(input) > 400 THEN input[1:400] || '...' ELSE input END || chr(10) || chr(10) || '### Response:' || chr(10) || CASE WHEN length(output) > 250 THEN output[1:250] || '...' ELSE output END) AS text_md5 FROM (SELECT * FROM once ORDER BY h2, number LIMIT 1500)")
+def shuffled_prompts(spark, d):
+    """The first 1500 examples of a shuffle by hash, formatted as prompts."""
+    return tr.prompts(_diverse(spark, d, 1500)).select("number", F.md5("text").alias("text_md5"))
+
+
+@query(f"""WITH {E}, nb AS (SELECT src, list_sort(list(dst) FILTER (rel = 'HAS_WEAKNESS')) AS w, list_sort(list(dst) FILTER (rel = 'HAS_ATTACK_PATTERN')) AS a FROM e GROUP BY src),
+ one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cve_id ORDER BY ingest_id) AS k FROM cves WHERE cve_id IS NOT NULL) WHERE k = 1),
+ tech AS (SELECT technique_id, arg_min(technique_name, sheet_row) AS name FROM mitre_techniques WHERE technique_id IS NOT NULL AND technique_name IS NOT NULL GROUP BY 1),
+ pl AS (SELECT cve_id, generate_subscripts(l, 1) AS i, unnest(l) AS y FROM (SELECT cve_id, list_filter(mitre_techniques, lambda x: x IS NOT NULL) AS l FROM one)),
+ det AS (SELECT cve_id, string_agg(y || '=' || name, ';' ORDER BY i) AS details FROM pl JOIN tech ON y = technique_id GROUP BY 1)
+ SELECT one.cve_id AS id, coalesce(cvss_v3.base_score, 0.0) AS score, coalesce(cvss_v3.base_severity, 'UNKNOWN') AS severity, EXISTS (SELECT 1 FROM cves x WHERE x.is_in_kev AND x.cve_id = one.cve_id) AS is_in_kev,
+  coalesce(array_to_string(w, ', '), '') AS cwes, coalesce(array_to_string(a, ', '), '') AS capecs, coalesce(details, '') AS details FROM one LEFT JOIN nb ON src = one.cve_id LEFT JOIN det ON det.cve_id = one.cve_id""")
+def assembled_records(spark, d):
+    """Records with what examples are made of: edges, the exploited flag, and details of techniques in their order."""
+    from adit.operators.graph import edges_of
+
+    first = r.latest(table(spark, d, "cves").filter("cve_id IS NOT NULL").withColumn("o", -F.col("ingest_id")), "cve_id", ["o"]).drop("o")
+    named = table(spark, d, "mitre_techniques").filter("technique_id IS NOT NULL AND technique_name IS NOT NULL").groupBy("technique_id").agg(F.min_by(F.struct(F.col("technique_name").alias("name"), "description", "detection", "data_sources"), "sheet_row").alias("r")).select("technique_id", "r.*")
+    got = tr.enriched_records(first, edges_of(table(spark, d, "cve_edges")), table(spark, d, "cves").filter("is_in_kev"), named)
+    details = F.array_join(F.transform("technique_details", lambda y: F.concat_ws("=", y["id"], y["name"])), ";")
+    return got.select("id", "score", "severity", "is_in_kev", F.array_join("cwes", ", ").alias("cwes"), F.array_join("capecs", ", ").alias("capecs"), details.alias("details"))

@@ -115,7 +115,7 @@ def retrieval_figures(spark, d):
 
 @query("""WITH f AS (SELECT *, row_number() OVER (PARTITION BY cve_id ORDER BY ingest_id) AS k FROM cves WHERE cve_id IS NOT NULL),
  t AS (SELECT cve_id, coalesce(CASE WHEN trim(text_for_embedding) <> '' THEN text_for_embedding END, CASE WHEN trim(description) <> '' THEN description END, 'Record ' || cve_id) AS t FROM f WHERE k = 1),
- w AS (SELECT cve_id, t, list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '') AS w FROM t),
+ w AS (SELECT cve_id, t, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '') AS w FROM t),
  c AS (SELECT cve_id, CASE WHEN len(w) <= 512 THEN [t] ELSE list_transform(range(0, len(w), 462), lambda i: array_to_string(w[i + 1:i + 512], ' ')) END AS c FROM w)
  SELECT cve_id || '_chunk_' || (k - 1) AS chunk_id, cve_id, md5(c[k]) AS text FROM c, LATERAL (SELECT unnest(range(1, len(c) + 1)) AS k)""")
 def record_chunks(spark, d):
