@@ -114,6 +114,8 @@ _ITEM = re.compile(r"^[ \t]*(?:[-*+•]|\d+[.)])[ \t]+\S")
 _ENDED = regex.compile(r"[.!?…。！？][\"'”’»)\]*_]*$")
 _IDENTIFIERS = regex.compile(r"(?:^|[\s,;(])(?:[A-Z]{2,8}-\d+(?:-\d+)?|T\d{4}(?:\.\d{3})?)(?:[,;\s]+(?:[A-Z]{2,8}-\d+(?:-\d+)?|T\d{4}(?:\.\d{3})?))*$")
 _LINK = re.compile(r"\bhttps?://[\w.-]+\.\w{2,}(?:/\S*)?$")
+_BARE_MARK = re.compile(r"[-*+•>#]+|\d+[.)]")
+_BREAKS = re.compile("[\r\v\f\x1c-\x1e\x85\u2028\u2029]")
 _NOT_WORD = regex.compile(r"[^\w\s]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _IN_SCRIPT = {lang: regex.compile(f"[{letters}]") for lang, letters in SCRIPTS.items()}
@@ -153,6 +155,10 @@ def is_empty(output: str | None) -> bool:
     return all(not p or p.casefold().strip("[](){}<>*_\"'` ") in PLACEHOLDERS or not p.strip("[](){}<>*_\"'` -.") for p in parts)
 
 
+#: The same as one pattern, for whole columns.
+_MAY_DECLINE = "|".join(re.escape(x) for x in _DECLINES)
+
+
 def is_refusal(output: str) -> bool:
     """Whether any sentence, wherever it stands and however long the text is, declines to answer."""
     low = output.lower()
@@ -227,17 +233,21 @@ class Ends:
 
 
 def is_truncated(output: str, ends: Ends, prompt: str | None = None) -> bool:
-    text = _INVISIBLE.sub("", output).rstrip()
+    text = (output if output.isascii() else _INVISIBLE.sub("", output)).rstrip()
     fences = len(_FENCE.findall(text)) if "```" in text or "~~~" in text else 0
     if fences % 2:
         return True
-    lines = text.splitlines()
-    last = lines[-1].strip()
-    if fences and _FENCE.match(lines[-1]):
+    end = text[text.rfind("\n") + 1 :]
+    if _BREAKS.search(end):
+        end = end.splitlines()[-1]
+    last = end.strip()
+    if not last:
+        return True
+    if fences and _FENCE.match(end):
         return False
-    if re.fullmatch(r"[-*+•>#]+|\d+[.)]", last) or _HEADING.fullmatch(lines[-1]) or last.count("**") % 2 or last.count("`") % 2:
+    if last.count("**") % 2 or last.count("`") % 2 or _BARE_MARK.fullmatch(last) or (last[0] in "#*_" and _HEADING.fullmatch(end)):
         return True
-    if _LINK.search(last):
+    if "://" in last and _LINK.search(last):
         return False
     if m := _IDENTIFIERS.search(last):
         numbers = [len(x) for x in re.findall(r"[A-Z]+-(\d+)(?!\S*-)", m[0])]
@@ -248,7 +258,7 @@ def is_truncated(output: str, ends: Ends, prompt: str | None = None) -> bool:
     if last[-1] in ",;:-–—(":
         return True
     # Without a mark: finished if lines of this kind end so, in this text or else in the column, with a whole word.
-    item = bool(_ITEM.match(lines[-1]))
+    lines, item = text.splitlines(), bool(_ITEM.match(end))
     others = [x.strip() for x in lines[:-1] if x.strip() and bool(_ITEM.match(x)) == item and not _HEADING.fullmatch(x)]
     if len(others) > 1 and item:
         bare = not any(_ENDED.search(x) for x in others)
@@ -313,8 +323,8 @@ def answered(output: str, prompt: str | None) -> str | None:
             if p.strip() in given:
                 continue
             # What is quoted has all its words in the prompt; the last one tells most that aren't.
-            words = p.split()
-            end = words[-1].rstrip(".,;:!?").lower() if words else ""
+            end = p.rstrip(" \t.,;:!?").rsplit(None, 1)[-1:]
+            end = end[0].lower() if end else ""
             if not end.isascii() or not end.isalnum() or end in low:
                 known = _plain(prompt) if known is None else known
                 if _plain(p) in known:
@@ -324,10 +334,11 @@ def answered(output: str, prompt: str | None) -> str | None:
     return language(_ID.sub(" ", " ".join(own)))
 
 
-def defect(instruction: str | None, prompt: str | None, output: str | None, ends: Ends) -> str | None:
+def defect(instruction: str | None, prompt: str | None, output: str | None, ends: Ends, may_decline: bool = True) -> str | None:
+    """The one defect of a row, in the order of the tests; may_decline: False where no part of a refusal was found."""
     if is_empty(output):
         return "empty"
-    if is_refusal(output):
+    if may_decline and is_refusal(output):
         return "refusal"
     if is_copy(output, instruction, prompt):
         return "copy"
@@ -395,7 +406,8 @@ def defects(df: DataFrame, key_col: str = "example_id", cols: tuple[str, str, st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = [defect(*row, ends) for row in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
+            maybe = pa.compute.match_substring_regex(batch.column(3), _MAY_DECLINE, ignore_case=True).to_pylist()
+            labels = [defect(i, p, o, ends, m) for i, p, o, m in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), maybe)]
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string())], [key_col, "defect"])
             yield out.filter(pa.compute.is_valid(out.column(1)))
 
