@@ -83,7 +83,31 @@ judged AS (
   GROUP BY r.edge_id, r.ref_field)
 """
 
+def _listed(j: str) -> str:
+    return f"CASE json_type({j}) WHEN 'ARRAY' THEN json_extract({j}, '$[*]') WHEN 'OBJECT' THEN [{j}] ELSE CAST([] AS JSON[]) END"
+
+
+#: A walk of its own over the JSON, level by level: texts are decoded until they are none, then nodes and their children follow.
+_WALK = f"""texts AS (SELECT record_id, configurations AS x FROM nvd_records WHERE configurations IS NOT NULL
+   UNION ALL SELECT record_id, json_extract_string(x, '$') FROM texts WHERE json_valid(x) AND json_type(x) = 'VARCHAR'),
+ tops AS (SELECT record_id, CAST(x AS JSON) AS v FROM texts WHERE json_valid(x) AND json_type(x) IN ('OBJECT', 'ARRAY')),
+ confs AS (SELECT record_id, k - 1 AS i, l[k] AS conf FROM (SELECT record_id, {_listed("v")} AS l FROM tops), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS k)),
+ nodes AS (SELECT record_id, i || '/' || (k - 1) AS path, CAST(i AS VARCHAR) AS parent, l[k] AS node FROM (SELECT record_id, i, {_listed("json_extract(conf, '$.nodes')")} AS l FROM confs WHERE json_type(conf) = 'OBJECT'), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS k)
+   UNION ALL SELECT record_id, path || '/' || (k - 1), path, l[k] FROM (SELECT record_id, path, {_listed("json_extract(node, '$.children')")} AS l FROM nodes WHERE json_type(node) = 'OBJECT'), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS k)),
+ lists AS (SELECT record_id, path, parent, node, CASE WHEN json_type(node) = 'OBJECT' THEN list_concat({_listed("json_extract(node, '$.cpeMatch')")}, {_listed("json_extract(node, '$.cpe_match')")}) ELSE [] END AS l FROM nodes),
+ entries AS (SELECT record_id, path AS node_path, CAST(k - 1 AS INTEGER) AS match_pos, l[k] AS m FROM lists, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS k)),
+ matches AS (SELECT *, coalesce(nullif(json_extract_string(m, '$.criteria'), ''), nullif(json_extract_string(m, '$.cpe23Uri'), '')) AS criteria FROM entries WHERE json_type(m) = 'OBJECT')"""
+_ENDS = {"version_start_including": "versionStartIncluding", "version_start_excluding": "versionStartExcluding", "version_end_including": "versionEndIncluding", "version_end_excluding": "versionEndExcluding", "match_criteria_id": "matchCriteriaId"}
+
 SQL: dict[str, str] = {
+    "p7_found": f"WITH RECURSIVE {_WALK} SELECT record_id, node_path, match_pos, criteria FROM matches WHERE criteria IS NOT NULL",
+    "p7_matches": f"WITH RECURSIVE {_WALK} SELECT record_id, node_path, match_pos, criteria, lower(json_extract_string(m, '$.vulnerable')) AS vulnerable, "
+    + ", ".join(f"json_extract_string(m, '$.{k}') AS {n}" for n, k in _ENDS.items())
+    + " FROM matches WHERE criteria IS NOT NULL",
+    "p7_nodes": f"""WITH RECURSIVE {_WALK} SELECT record_id, path AS node_path, parent AS parent_path, CAST(len(string_split(path, '/')) - 2 AS INTEGER) AS depth, upper(json_extract_string(node, '$.operator')) AS operator,
+        lower(json_extract_string(node, '$.negate')) AS negate, CAST(len(l) AS INTEGER) AS n_matches FROM lists""",
+    "p7_configurations": f"""WITH RECURSIVE {_WALK} SELECT record_id, CAST(i AS INTEGER) AS config_pos, upper(json_extract_string(conf, '$.operator')) AS operator, CAST(len({_listed("json_extract(conf, '$.nodes')")}) AS INTEGER) AS n_nodes
+        FROM confs WHERE json_type(conf) = 'OBJECT'""",
     "p4_found": f"WITH {_REFS} SELECT edge_id, ref_field, reason, load_month FROM judged WHERE reason <> 'live'",
     "p4_counts": f"""WITH {_REFS} SELECT ref_field, load_month, count(*) FILTER (reason = 'missing') AS n_missing, count(*) FILTER (reason = 'late') AS n_late,
         count(*) FILTER (reason = 'deleted') AS n_deleted, count(*) AS n_refs FROM judged GROUP BY ref_field, load_month""",
