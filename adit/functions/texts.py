@@ -155,7 +155,8 @@ def without_headers(c: Column) -> Column:
 
 
 def listed(c: Column, separator: str = "[,;]") -> Column:
-    return F.filter(F.transform(F.split(c, separator), lambda x: F.trim(x)), lambda x: x != "")
+    """The parts of a list written in one text, without blanks of any kind around them and without empty ones."""
+    return F.filter(F.transform(F.split(c, separator), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
 
 
 def phrase_techniques(c: Column) -> Column:

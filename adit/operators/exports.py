@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adit.functions import texts as t
+from adit.functions.identifiers import parent_technique, record_year
+from adit.runtime import small_enough
 
 _STRINGS = "array<string>"
 #: The five families of edges as the lists of a document.
@@ -152,3 +154,67 @@ def record_statistics(cves: DataFrame) -> DataFrame:
     cells = cves.select(F.inline(F.array(*[F.struct(F.lit(n).alias("figure"), F.col(c).alias("a")) for n, c in dims.items()])))
     different = cells.select("figure", F.explode("a").alias("x")).groupBy("figure").agg(F.countDistinct("x").alias("n"))
     return reduce(DataFrame.unionByName, [rows, severity, different])
+
+
+def index_entries(cves: DataFrame, key: str = "cve_id") -> DataFrame:
+    """Seven inverted indexes as rows (idx, key, cve_id), each once: year, severity, weakness, pattern, tactic (the
+    technique of a sub-technique), technique and keyword. Null keys and records without an id are left out."""
+    none = F.array().cast(_STRINGS)
+    lower = lambda a: F.transform(a, lambda v: F.lower(v))
+    techniques = F.coalesce("mitre_techniques", none)
+    cells = {
+        "year": F.array(record_year(F.col(key))),
+        "severity": F.array(F.lower(F.coalesce("cvss_v3.base_severity", F.lit("unknown")))),
+        "weakness": F.coalesce("cwe_refs", none),
+        "pattern": F.coalesce("capec_entries", none),
+        "tactic": lower(F.array_compact(F.transform(techniques, parent_technique))),
+        "technique": lower(techniques),
+        "keyword": t.keywords(F.col("description"), F.col("affected_products")),
+    }
+    rows = cves.filter(F.col(key).isNotNull()).select(F.col(key).alias("cve_id"), F.inline(F.array(*[F.struct(F.lit(n).alias("idx"), a.alias("keys")) for n, a in cells.items()])))
+    return rows.select("idx", F.explode("keys").alias("key"), "cve_id").filter("key IS NOT NULL").distinct()
+
+
+def direct_documents(records: DataFrame) -> DataFrame:
+    """Records as documents for retrieval, without a graph: 16 fields and text_for_embedding.
+
+    records: id, title, content (as description) and what is known of them; fields that they haven't are null or empty.
+    """
+    base = records.withColumn("description", F.col("content")) if "content" in records.columns else records
+    texts, lists = ("title", "description", "source", "published_date", "last_modified_date"), ("affected_products", "cwe_refs", "capec_entries", "mitre_techniques", "mitre_tactics", "tags")
+    columns = ["id"] + [F.coalesce(_get(base, c), F.lit("")).alias(c) for c in texts] + [F.col(c) for c in ("cvss_v3", "cvss_v2", "cpe_configurations") if c in base.columns] + [_list(base, c).alias(c) for c in lists]
+    return base.select(*columns, F.coalesce(_get(base, "is_in_kev", "boolean"), F.lit(False)).alias("is_in_kev"), embedding_text(base).alias("text_for_embedding"))
+
+
+def product_documents(products: DataFrame, vendors: DataFrame) -> DataFrame:
+    """Products as documents for retrieval, with their vendor's facts and metadata; a product of an unknown vendor keeps none.
+
+    products: product_key, product_name, vendor and the fields of product_text. vendors: vendor, display_name, vulnerability_count, n_products.
+    """
+    facts = vendors.select("vendor", F.struct(F.col("vendor").alias("name"), "display_name", "vulnerability_count", F.col("n_products").alias("product_count")).alias("vendor_info"))
+    both = products.join(F.broadcast(facts) if small_enough(facts) else facts, "vendor", "left")
+    about = metadata({"document_type": F.lit("PRODUCT"), "category": F.col("category"), "family": F.col("family"), "criticality": F.col("criticality_score")})
+    return both.withColumns({"text_for_embedding": product_text(F.col("vendor_info.display_name"), True), "metadata": about})
+
+
+def pattern_documents(patterns: DataFrame) -> DataFrame:
+    """Attack patterns (capec_id, name, description) as documents: id, document_type, title, content."""
+    return patterns.filter(F.col("capec_id") != "").select(F.col("capec_id").alias("id"), F.lit("CAPEC").alias("document_type"), F.coalesce("name", "capec_id").alias("title"), F.trim(F.coalesce("description", F.lit(""))).alias("content"))
+
+
+def advisory_documents(advisories: DataFrame) -> DataFrame:
+    """Advisories (id, title, cve_ids) as documents; an id in capital letters. Those without an id are left out."""
+    return advisories.filter(F.col("id") != "").select(F.upper("id").alias("id"), F.lit("CSAF").alias("document_type"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("cve_ids", F.array().cast(_STRINGS)).alias("cve_refs"))
+
+
+def technique_tactics(techniques: DataFrame, tactics: DataFrame, key: str = "technique_id", packed: str = "tactics") -> DataFrame:
+    """Techniques with the ids of the tactics that they name, in order: key, tactic_ids. Names that no tactic has are left out.
+
+    tactics: tactic_name, tactic_id, one row per name. packed is a list of names behind commas. A technique without known
+    tactics has an empty list.
+    """
+    named = techniques.filter(F.trim(key) != "").select(key, F.posexplode_outer(t.listed(F.coalesce(packed, F.lit("")), ",")).alias("place", "tactic_name"))
+    side = F.broadcast(tactics) if small_enough(tactics) else tactics
+    found = named.join(side.select("tactic_name", "tactic_id"), "tactic_name", "left")
+    rows = found.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("tactic_id").isNotNull(), F.struct("place", "tactic_id")))).alias("a"))
+    return rows.select(key, F.transform("a", lambda v: v["tactic_id"]).alias("tactic_ids"))

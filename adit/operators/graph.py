@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from adit.functions.identifiers import parent_technique
 from adit.operators.orphans import name_key, number_key
 from adit.runtime import cut, small_enough
 
@@ -41,6 +42,11 @@ def tactic_edges(technique_edges: DataFrame, tactics: DataFrame) -> DataFrame:
     return technique_edges.join(side, "dst").select("src", F.lit("BELONGS_TO_TACTIC").alias("rel"), F.col("tactic").alias("dst")).distinct()
 
 
+def parent_edges(technique_edges: DataFrame) -> DataFrame:
+    """Distinct edges (src, 'BELONGS_TO_TACTIC', dst) of records to the techniques of their sub-techniques, which records list as tactics."""
+    return technique_edges.filter(F.contains("dst", F.lit("."))).select("src", F.lit("BELONGS_TO_TACTIC").alias("rel"), parent_technique(F.col("dst")).alias("dst")).distinct()
+
+
 def version_edges(product_nodes: DataFrame) -> DataFrame:
     """Distinct edges (src, 'HAS_VERSION', dst) of products to their versions, without '*'. A version's key is the version
     with the product's name, so that products of one name share it."""

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adit.functions.texts import chunks, shortened
+from adit.functions.texts import chunks, density, shortened
 from adit.operators.vectors import hashed_text, rounded, scored, search
 
 #: Most results of a search.
@@ -92,6 +92,17 @@ def search_records(vectors: DataFrame, request: Request) -> DataFrame:
     return search_near(vectors, vector_of(vectors, request.query.strip()), request.top_k, request.severity, request.vendor)
 
 
+#: Share of likeness in a blend with words.
+LIKENESS = 0.7
+
+
+def hybrid(vectors: DataFrame, vector: list[float], words: str, n: int = 10, share: float = LIKENESS) -> DataFrame:
+    """The n chunks of the greatest blend of cosine and density of words; blends that differ less than 1e-9 rank by chunk."""
+    lexical = F.round(density(F.col("text"), words), 9)
+    both = scored(vectors, vector).withColumn("blend", F.round(F.col("cosine") * share + lexical * (1 - share), 9))
+    return rounded(both.orderBy(F.desc("blend"), "chunk_id").limit(min(n, MOST_RESULTS))).withColumn("blend", F.round("blend", 6))
+
+
 def similar_to(vectors: DataFrame, cve_id: str, n: int = 5) -> DataFrame:
     """The n records most like a record by its first chunk, without itself, each by its best chunk; no rows for an unknown one."""
     own = vectors.filter(F.col("cve_id") == cve_id).orderBy("chunk_no", "chunk_id").select("embedding").first()

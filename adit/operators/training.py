@@ -136,9 +136,9 @@ def enriched_records(cves: DataFrame, edges: DataFrame, exploited: DataFrame, te
 
 
 def prompts(df: DataFrame, instruction_size: int = 100, input_size: int = 400, output_size: int = 250) -> DataFrame:
-    """Examples as one text each, their parts cut to a size and marked where cut: text."""
+    """Examples as one text each, `text`, their parts cut to a size and marked where cut."""
     part = lambda c, n: t.shortened(F.coalesce(c, F.lit("")), n)
-    text = F.concat(F.lit("### Instruction:\n"), part("instruction", instruction_size), F.lit("\n\n### Input:\n"), part("input", input_size), F.lit("\n\n### Response:\n"), part("output", output_size))
+    text = F.concat(F.lit("Instruction: "), part("instruction", instruction_size), F.lit("\nInput: "), part("input", input_size), F.lit("\nOutput: "), part("output", output_size))
     return df.withColumn("text", text)
 
 

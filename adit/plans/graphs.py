@@ -107,6 +107,20 @@ def version_edges(spark, d):
     return g.version_edges(table(spark, d, "product_nodes")).select("src", "dst")
 
 
+_PARENTS = f"{_T}, par AS (SELECT DISTINCT src, 'BELONGS_TO_TACTIC' AS rel, split_part(dst, '.', 1) AS dst FROM t WHERE contains(dst, '.'))"
+
+
+@query(f"WITH {_PARENTS} SELECT src, rel, dst FROM par")
+def parent_edges(spark, d):
+    """Records with the techniques of their sub-techniques, as their tactics."""
+    return g.parent_edges(g.technique_edges(table(spark, d, "cves")))
+
+
+@query(f"WITH {_PARENTS} SELECT 'MITRE_TACTIC' AS node_type, dst AS id, 'MITRE ATT&CK Tactic ' || dst AS name, count(*) AS vulnerability_count FROM par GROUP BY dst")
+def parent_nodes(spark, d):
+    return g.threat_nodes(g.parent_edges(g.technique_edges(table(spark, d, "cves"))))
+
+
 @query()
 def tactic_edges(spark, d):
     """Records with the tactics of their techniques."""

@@ -74,3 +74,23 @@ def vendor_ecosystem(spark, d):
 
     rows = _dictionary(spark, d).filter("vendor IS NOT NULL").select("vendor", "product_key", "vulnerability_count")
     return ranked_per_group(rows, "vendor", [F.desc("vulnerability_count"), F.col("product_key")], 5, "place")
+
+
+@query(f"WITH {_KEYED} SELECT DISTINCT product_key, cve_id FROM k WHERE cve_id IS NOT NULL")
+def product_members(spark, d):
+    """The records of each product, one row each."""
+    from adit.operators.relations import product_key
+
+    return table(spark, d, "cpe_components").filter("cve_id IS NOT NULL").select(product_key().alias("product_key"), "cve_id").distinct()
+
+
+@query(f"""WITH {_PRODUCTS}, ven AS (SELECT v, {_TITLE.format("k2.vendor")} AS display_name, n FROM (SELECT normalized_vendor AS v, count(*) AS n, min(component_id) FILTER (vendor IS NOT NULL) AS first_id FROM k WHERE normalized_vendor IS NOT NULL GROUP BY 1) LEFT JOIN k k2 ON component_id = first_id)
+ SELECT product_key, concat_ws(' | ', 'Product: ' || display_name_p, 'Vendor: ' || coalesce(display_name, ''), 'Category: ' || category, 'Family: ' || coalesce(family, ''), 'Criticality Score: ' || criticality_score, 'Aliases: ' || nullif(aliases, ''), 'Vulnerability Count: ' || vulnerability_count) AS text, n AS vendor_count
+ FROM (SELECT * RENAME (display_name AS display_name_p) FROM d) LEFT JOIN ven ON vendor = v""")
+def product_documents(spark, d):
+    """Products of the dictionary as documents, with their vendors' facts."""
+    from adit.operators.exports import product_documents as of
+
+    c = table(spark, d, "cpe_components")
+    rows = _dictionary(spark, d).withColumns({"product_name": F.col("product"), "versions": F.array().cast("array<string>")})
+    return of(rows, p.vendor_dictionary(c.filter("vendor IS NOT NULL OR normalized_vendor IS NOT NULL"))).select("product_key", F.col("text_for_embedding").alias("text"), F.col("vendor_info.vulnerability_count").alias("vendor_count"))

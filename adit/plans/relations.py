@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from adit.functions.texts import joined
@@ -213,3 +214,30 @@ def technique_tactic_map(spark, d):
     a = pairs.groupBy(F.col("technique_id").alias("key")).agg(F.array_sort(F.collect_list("tactic")).alias("members"))
     b = pairs.groupBy(F.col("tactic").alias("key")).agg(F.array_sort(F.collect_list("technique_id")).alias("members"))
     return a.select(F.lit("technique").alias("kind"), "key", F.array_join("members", ", ").alias("members"), F.size("members").alias("n")).union(b.select(F.lit("tactic"), "key", F.array_join("members", ", "), F.size("members")))
+
+
+@query("""WITH l AS (SELECT listed_name AS name, 'TA' || row_number() OVER (ORDER BY listed_name) AS id FROM listed_names WHERE field_name = 'tactics'),
+ r AS (SELECT technique_id, sheet_row, generate_subscripts(a, 1) AS i, unnest(a) AS name FROM (SELECT technique_id, sheet_row, list_transform(string_split(tactics, ','), lambda x: trim(x)) AS a FROM mitre_techniques WHERE trim(technique_id) <> '' AND tactics IS NOT NULL)),
+ j AS (SELECT technique_id, count(*) AS n, count(DISTINCT l.id) AS kinds, min(l.id) AS first_id FROM r JOIN l USING (name) WHERE name <> '' GROUP BY 1)
+ SELECT technique_id, coalesce(n, 0) AS n, coalesce(kinds, 0) AS kinds, first_id FROM (SELECT DISTINCT technique_id FROM mitre_techniques WHERE trim(technique_id) <> '') LEFT JOIN j USING (technique_id)""")
+def tactic_ids(spark, d):
+    """Techniques with the ids of the tactics that they name; names without an id are left out."""
+    from adit.operators.exports import technique_tactics
+
+    names = table(spark, d, "listed_names").filter("field_name = 'tactics'")
+    # The list of names is of fixed size, so that one window numbers it.
+    ids = names.select(F.col("listed_name").alias("tactic_name"), F.concat(F.lit("TA"), F.row_number().over(Window.orderBy("listed_name"))).alias("tactic_id"))
+    got = technique_tactics(table(spark, d, "mitre_techniques"), ids)
+    return got.select("technique_id", F.size("tactic_ids").cast("bigint").alias("n"), F.size(F.array_distinct("tactic_ids")).cast("bigint").alias("kinds"), F.array_min("tactic_ids").alias("first_id"))
+
+
+@query("""WITH m AS (SELECT cwe_id AS w, capec_id AS c, edge_id FROM cve_edges WHERE trim(cwe_id) <> '' AND trim(capec_id) <> ''), hop AS (SELECT DISTINCT w, c FROM m),
+ t AS (SELECT c, 'T' || (edge_id % 50) AS t, edge_id AS o FROM m), p AS (SELECT w, t, o FROM hop JOIN t USING (c))
+ SELECT w AS weakness, (SELECT count(DISTINCT c) FROM hop h WHERE h.w = p.w) AS patterns, count(DISTINCT t) AS techniques, arg_max(t, o) AS last_technique FROM p GROUP BY w""")
+def weakness_technique_composition(spark, d):
+    """Weaknesses to patterns to techniques, with the last technique by the order of what names it."""
+    m = table(spark, d, "cve_edges").filter("trim(cwe_id) <> '' AND trim(capec_id) <> ''").select(F.col("cwe_id").alias("weakness"), F.col("capec_id").alias("c"), "edge_id")
+    hop = m.select("weakness", "c").distinct()
+    # A pattern's techniques are nested with their last order before the second hop, so that its rows don't multiply.
+    t = m.groupBy("c", F.concat(F.lit("T"), F.col("edge_id") % 50).alias("t")).agg(F.max("edge_id").alias("o"))
+    return hop.join(t, "c").groupBy("weakness").agg(F.countDistinct("c").alias("patterns"), F.countDistinct("t").alias("techniques"), F.max_by("t", "o").alias("last_technique"))

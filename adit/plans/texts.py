@@ -307,21 +307,53 @@ def year_index(spark, d):
     return table(spark, d, "cves").filter("cve_id IS NOT NULL").groupBy(ids.record_year(F.col("cve_id")).alias("year")).agg(F.countDistinct("cve_id").alias("n"), F.min("cve_id").alias("first_id"), F.max("cve_id").alias("last_id"))
 
 
-_MULTI = {"severity": "[lower(coalesce(cvss_v3.base_severity, 'unknown'))]", "weakness": "coalesce(cwe_refs, [])", "pattern": "coalesce(capec_entries, [])", "technique": "list_transform(coalesce(mitre_techniques, []), lambda x: lower(x))"}
+_KEYWORDS = ("cve", "vulnerability", "security", "attack", "exploit", "mitigation", "buffer overflow", "sql injection", "xss", "authentication", "authorization")
 
 
-@query("WITH k AS (" + " UNION ALL ".join(f"SELECT '{n}' AS idx, unnest({e}) AS key, cve_id FROM cves WHERE cve_id IS NOT NULL" for n, e in _MULTI.items()) + ") SELECT idx, key, count(DISTINCT cve_id) AS n FROM k WHERE key IS NOT NULL GROUP BY 1, 2")
+@query(" UNION ALL ".join(f"SELECT '{k}' AS term, count(*) FILTER (contains(lower(output), '{k}')) AS n FROM training_examples" for k in _KEYWORDS))
+def answer_keywords(spark, d):
+    """Answers that mention each of eleven keywords."""
+    return t.mention_counts(table(spark, d, "training_examples"), "output", list(_KEYWORDS)).select("term", "n")
+
+
+@query("SELECT doc_id, doc_type FROM documents ORDER BY doc_id LIMIT 25")
+def first_rows(spark, d):
+    """The first rows in a stated order."""
+    return table(spark, d, "documents").select("doc_id", "doc_type").orderBy("doc_id").limit(25)
+
+
+_MULTI = {
+    "year": "[split_part(cve_id, '-', 2)]",
+    "severity": "[lower(coalesce(cvss_v3.base_severity, 'unknown'))]",
+    "weakness": "coalesce(cwe_refs, [])",
+    "pattern": "coalesce(capec_entries, [])",
+    "tactic": "list_transform(list_filter(coalesce(mitre_techniques, []), lambda x: contains(x, '.')), lambda x: lower(split_part(x, '.', 1)))",
+    "technique": "list_transform(coalesce(mitre_techniques, []), lambda x: lower(x))",
+    "keyword": "coalesce(kw, [])",
+}
+_INDEX = f"WITH {_keywords_sql()}, kws AS (SELECT ingest_id, list_distinct(list(keyword)) AS kw FROM k WHERE keyword IS NOT NULL GROUP BY 1), i AS (" + " UNION ".join(f"SELECT '{n}' AS idx, unnest({e}) AS key, cve_id FROM cves LEFT JOIN kws USING (ingest_id) WHERE cve_id IS NOT NULL" for n, e in _MULTI.items()) + ")"
+
+
+def _index(spark, d):
+    return x.index_entries(table(spark, d, "cves"))
+
+
+@query(f"{_INDEX} SELECT idx, key, count(DISTINCT cve_id) AS n FROM i WHERE key IS NOT NULL GROUP BY 1, 2")
 def inverted_indexes(spark, d):
-    """Four indexes in one pass, with the number of records of each key."""
-    none = F.array().cast("array<string>")
-    cells = {
-        "severity": F.array(F.lower(F.coalesce("cvss_v3.base_severity", F.lit("unknown")))),
-        "weakness": F.coalesce("cwe_refs", none),
-        "pattern": F.coalesce("capec_entries", none),
-        "technique": F.transform(F.coalesce("mitre_techniques", none), lambda x: F.lower(x)),
-    }
-    rows = table(spark, d, "cves").filter("cve_id IS NOT NULL").select("cve_id", F.inline(F.array(*[F.struct(F.lit(n).alias("idx"), a.alias("keys")) for n, a in cells.items()])))
-    return rows.select("idx", F.explode("keys").alias("key"), "cve_id").filter("key IS NOT NULL").groupBy("idx", "key").agg(F.countDistinct("cve_id").alias("n"))
+    """Seven indexes in one pass, with the number of records of each key."""
+    return _index(spark, d).groupBy("idx", "key").agg(F.count("*").alias("n"))
+
+
+@query(f"{_INDEX} SELECT DISTINCT idx, key, cve_id FROM i WHERE key IS NOT NULL")
+def index_entries(spark, d):
+    """The records of every key of every index."""
+    return _index(spark, d)
+
+
+@query(f"{_INDEX} SELECT idx, count(DISTINCT key) AS n_keys, count(DISTINCT (key, cve_id)) AS n_entries FROM i WHERE key IS NOT NULL GROUP BY 1")
+def index_sizes(spark, d):
+    """Keys and entries of each index."""
+    return _index(spark, d).groupBy("idx").agg(F.countDistinct("key").alias("n_keys"), F.count("*").alias("n_entries"))
 
 
 def _phrases_sql() -> str:
@@ -394,7 +426,7 @@ def diversified_examples(spark, d):
     return _diverse(spark, d).select("number", "instruction", F.md5("input").alias("input_md5"), F.md5("output").alias("output_md5"))
 
 
-@query(f"WITH {_DIVERSE} SELECT number, md5('### Instruction:' || chr(10) || CASE WHEN length(instruction) > 100 THEN instruction[1:100] || '...' ELSE instruction END || chr(10) || chr(10) || '### Input:' || chr(10) || CASE WHEN length(input) > 400 THEN input[1:400] || '...' ELSE input END || chr(10) || chr(10) || '### Response:' || chr(10) || CASE WHEN length(output) > 250 THEN output[1:250] || '...' ELSE output END) AS text_md5 FROM (SELECT * FROM once ORDER BY h2, number LIMIT 1500)")
+@query(f"WITH {_DIVERSE} SELECT number, md5('Instruction: ' || CASE WHEN length(instruction) > 100 THEN instruction[1:100] || '...' ELSE instruction END || chr(10) || 'Input: ' || CASE WHEN length(input) > 400 THEN input[1:400] || '...' ELSE input END || chr(10) || 'Output: ' || CASE WHEN length(output) > 250 THEN output[1:250] || '...' ELSE output END) AS text_md5 FROM (SELECT * FROM once ORDER BY h2, number LIMIT 1500)")
 def shuffled_prompts(spark, d):
     """The first 1500 examples of a shuffle by hash, formatted as prompts."""
     return tr.prompts(_diverse(spark, d, 1500)).select("number", F.md5("text").alias("text_md5"))

@@ -121,3 +121,11 @@ def retrieval_figures(spark, d):
 def record_chunks(spark, d):
     """Chunks of every record's text, else of its description, else of a line that names it; the first row of an id counts."""
     return r.record_chunks(table(spark, d, "cves")).select("chunk_id", "cve_id", F.md5("text").alias("text"))
+
+
+@query(f"""WITH {_CHUNKS}, s AS (SELECT chunk_id, list_inner_product(embedding, q) AS c, round(((length(lower(text)) - length(replace(lower(text), 'advisory', ''))) / 8) / greatest(1, length(text))::DOUBLE, 9) AS w FROM ch, q)
+ SELECT chunk_id, round(0.7 * c + 0.3 * w, 6) AS blend FROM s ORDER BY round(0.7 * c + 0.3 * w, 9) DESC, chunk_id LIMIT 10""")
+def hybrid_search(spark, d):
+    """The ten best chunks by a blend of likeness and of how densely a word stands in the text."""
+    t = _chunks(spark, d)
+    return r.hybrid(t, list(_own(t)[0]), "advisory", 10).select("chunk_id", "blend")
