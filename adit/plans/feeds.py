@@ -288,3 +288,56 @@ def encoded_files(spark, d):
     read = readers.text_any_encoding(spark, path).select(F.explode(F.split("text", "\x1d")).alias("t")).filter(F.col("t").startswith("\x1e"))
     return read.select(F.substring_index(F.substring("t", 2, 1 << 30), "\x1f", 1).cast("bigint").alias("doc_id"), F.md5(F.regexp_extract("t", "(?s)^[^\x1f]*\x1f(.*)$", 1)).alias("text"))
 
+
+
+@query(f"""WITH {_RECORDS}, cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cve_id ORDER BY coalesce(modified, '') DESC, dialect DESC, ingest_id DESC) AS k FROM rec) WHERE k = 1
+   AND NOT regexp_matches(lower(description), 'rejected reason|rejected:|rejection reason|this cve has been rejected|cve rejected|rejected cve|not a vulnerability|duplicate of|duplicate cve|withdrawn|withdrawal reason')),
+ e AS (SELECT cve_id, 'AFFECTS' AS rel, unnest(string_split(products, ', ')) AS dst FROM cur UNION ALL SELECT cve_id, 'HAS_WEAKNESS', unnest(string_split(weaknesses, ', ')) FROM cur)
+ SELECT 'records' AS name, count(*) AS n FROM cur UNION ALL SELECT 'documents', count(*) FROM cur WHERE description <> '' UNION ALL SELECT 'edges', count(DISTINCT (cve_id, rel, dst)) FROM e WHERE dst <> '' UNION ALL SELECT 'figures', count(DISTINCT rel) FROM e WHERE dst <> ''""")
+def pipeline_tables(spark, d):
+    """Rows of the tables that the whole pipeline writes from feeds of both dialects."""
+    from adit import pipeline
+
+    first, second = _feeds(spark, d)
+    written = pipeline.run(spark, scratch(spark, "pipeline"), first, second)
+    parts = [t.agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n, t in written.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("SELECT 'nodes' AS name, count(*) AS n FROM (SELECT DISTINCT vendor_name FROM vendor_nodes) UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT edge_id FROM cve_edges) UNION ALL SELECT 'products', count(*) FROM (SELECT DISTINCT coalesce(normalized_vendor, '') || ':' || coalesce(normalized_product, '') FROM cpe_components) UNION ALL SELECT 'factors', count(*) FROM embeddings")
+def written_tables(spark, d):
+    """Nodes, edges, the product dictionary and factors written as tables, twice, and read back by name."""
+    from adit.operators.products import product_dictionary
+
+    root = scratch(spark, "tables")
+    parts = {"nodes": table(spark, d, "vendor_nodes").select("vendor_name").distinct(), "edges": table(spark, d, "cve_edges"), "products": product_dictionary(table(spark, d, "cpe_components")), "factors": table(spark, d, "embeddings")}
+    for _ in range(2):
+        sinks.tables(parts, root)
+    out = None
+    for name, t in readers.tables(spark, root).items():
+        part = t.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT count(*) AS n, count(DISTINCT cve_id) AS records, CAST(sum(CASE WHEN is_in_kev THEN 1 ELSE 0 END) AS BIGINT) AS exploited FROM cves")
+def summary_file(spark, d):
+    """A row of figures written as one JSON file and read back."""
+    path = scratch(spark, "summary")
+    sinks.summary(table(spark, d, "cves").agg(F.count("*").alias("n"), F.countDistinct("cve_id").alias("records"), F.count_if("is_in_kev").alias("exploited")), path)
+    return spark.read.schema("n bigint, records bigint, exploited bigint").json(path)
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+def streamed_windows(spark, d):
+    """Rows and their mean by kind and hour, counted by a stream."""
+    source = scratch(spark, "events")
+    e = table(spark, d, "events")
+    e.write.parquet(source)
+    counts = streams.windowed_counts(streams.read_records(spark, source, e.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")))
+    name = "windows_" + source.rsplit("-", 1)[1]
+    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", "mean")

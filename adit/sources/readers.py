@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -200,8 +203,6 @@ class _Page(HTMLParser):
 
 def can_follow(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """cwe_id and cwe_canfollow (array) of weakness pages: the id from the title, followers from the third cells of rows that say CanFollow."""
-    import re
-
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -225,20 +226,72 @@ def text_any_encoding(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", text.alias("text"))
 
 
+def _cells(content: bytes) -> Iterator[list[str | None]]:
+    """The rows of the first sheet of an XLSX file: its texts and numbers as they are written; nothing if it is none."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            names = z.namelist()
+            shared = []
+            if "xl/sharedStrings.xml" in names:
+                for _, e in ElementTree.iterparse(z.open("xl/sharedStrings.xml")):
+                    if e.tag.endswith("}si"):
+                        shared.append("".join(t.text or "" for t in e.iter() if t.tag.endswith("}t")))
+            sheets = sorted(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
+            if not sheets:
+                return
+            for _, row in ElementTree.iterparse(z.open(sheets[0])):
+                if not row.tag.endswith("}row"):
+                    continue
+                out: list[str | None] = []
+                for c in row:
+                    # A cell names its column, as empty ones are left out.
+                    letters = re.match("[A-Z]*", c.get("r", ""))[0]
+                    at = sum((ord(x) - 64) * 26**i for i, x in enumerate(reversed(letters))) - 1 if letters else len(out)
+                    out += [None] * (at + 1 - len(out))
+                    value = "".join(t.text or "" for t in c.iter() if t.tag.endswith(("}v", "}t")))
+                    out[at] = shared[int(value)] if c.get("t") == "s" and value else value
+                yield out
+                row.clear()
+    except (zipfile.BadZipFile, ElementTree.ParseError, ValueError, IndexError):
+        return
+
+
+def sheet_rows(spark: SparkSession, path: str, pattern: str = "*.xlsx") -> DataFrame:
+    """The rows of XLSX files, each read where it is: file, row_no, cells. Temporary and broken files give no rows."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = list(_cells(content))
+                columns = (pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string())))
+                yield pa.RecordBatch.from_arrays(columns, ["file", "row_no", "cells"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    return files.filter(~F.element_at(F.split("path", "/"), -1).startswith("~$")).mapInArrow(read, "file string, row_no int, cells array<string>")
+
+
 def sheet(spark: SparkSession, path: str) -> DataFrame:
-    """A sheet as all-string columns: from its CSV or Parquet export, or from XLSX where a reader is installed."""
+    """A sheet as all-string columns named by its first row: from XLSX, CSV or Parquet. Empty cells are empty texts in XLSX."""
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
     if path.endswith(".xlsx"):
-        try:
-            return spark.createDataFrame(pd.read_excel(path, dtype=str).fillna(""))
-        except ImportError as e:
-            raise RuntimeError("no XLSX reader is installed; export the sheet as CSV or Parquet") from e
+        rows = sheet_rows(spark, path)
+        head = rows.filter("row_no = 0").orderBy("file").first()
+        names = [x for x in (head.cells if head else []) if x]
+        at = {x: head.cells.index(x) for x in names}
+        return rows.filter("row_no > 0").select(*[F.coalesce(F.get("cells", F.lit(at[x])), F.lit("")).alias(x) for x in names])
     # Temporary files of an office program, which begin with ~$, are no sheets.
     rows = spark.read.option("header", True).csv(path)
     return rows.filter(~F.col("_metadata.file_name").startswith("~$"))
 
 
+def tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables that sinks.tables wrote under a folder, by name: nodes, edges, products, factors, features, indexes."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = [f.getPath().getName() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p) if f.isDirectory()]
+    return {name: spark.read.parquet(f"{root}/{name}") for name in sorted(found) if not name.startswith(("_", "."))}
+
+
 def documents(spark: SparkSession, path: str, years: list[str] | None = None, kind: str | None = "CVE") -> DataFrame:
     """Documents that sinks.documents wrote; years and kind reach the scan as partition and pushed filters."""
     df = spark.read.parquet(path)

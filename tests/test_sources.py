@@ -171,3 +171,35 @@ def test_sinks(spark, tmp_path):
     sinks.tables({"n": df, "m": df}, f"{tmp_path}/t")
     sinks.summary(df.agg(F.count("*").alias("n")), f"{tmp_path}/s")
     assert spark.read.parquet(f"{tmp_path}/t/m").count() == spark.read.json(f"{tmp_path}/s").first().n == 1
+
+
+def test_workbook(spark, tmp_path, rows):
+    """Shared, inline and missing cells; temporary and broken files are no sheets."""
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cell = lambda r, t, v: f'<c r="{r}" t="{t}"><v>{v}</v></c>'
+    body = [cell("A1", "s", 0) + cell("B1", "s", 1) + cell("D1", "s", 2), cell("A2", "s", 3) + '<c r="D2"><v>7.5</v></c>', '<c r="B3" t="inlineStr"><is><t>in</t></is></c>' + cell("A3", "s", 4)]
+    for name in ("a.xlsx", "~$a.xlsx"):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("xl/sharedStrings.xml", f"<sst {ns}>" + "".join(f"<si><t>{x}</t></si>" for x in ("ID", "name", "score", "T1")) + "<si><r><t>T</t></r><r><t>2</t></r></si></sst>")
+            z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>" + "".join(f"<row>{r}</row>" for r in body) + "</sheetData></worksheet>")
+    (tmp_path / "b.xlsx").write_bytes(b"no")
+    got = readers.sheet(spark, f"{tmp_path}/*.xlsx")
+    assert got.columns == ["ID", "name", "score"] and rows(got) == [("T1", "", "7.5"), ("T2", "in", "")]
+
+
+def test_documents_of_feeds(spark, rows):
+    from adit.operators.exports import advisory_documents, direct_documents, pattern_documents
+
+    p = spark.createDataFrame([("CAPEC-1", None, " text "), ("", "x", "y"), (None, "x", "y")], "capec_id string, name string, description string")
+    assert rows(pattern_documents(p).select("id", "title", "content")) == [("CAPEC-1", "CAPEC-1", "text")]
+    a = spark.createDataFrame([("x-1", None, ["CVE-1-1"]), (None, "t", None)], "id string, title string, cve_ids array<string>")
+    assert rows(advisory_documents(a)) == [("X-1", "CSAF", "", ["CVE-1-1"])]
+    d = spark.createDataFrame([("CVE-1-1", "t", "body", ["CWE-1", None])], "id string, title string, content string, cwe_refs array<string>")
+    got = direct_documents(d).first()
+    assert got.text_for_embedding == "CVE ID: CVE-1-1 | Title: t | Description: body | Common Weaknesses: CWE-1" and got.tags == [] and got.is_in_kev is False
+
+
+def test_command(capsys):
+    from adit.__main__ import main
+
+    assert main(["nothing"]) == 2 and "record_techniques" in capsys.readouterr().out
