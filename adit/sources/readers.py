@@ -263,7 +263,7 @@ def sheet_rows(spark: SparkSession, path: str, pattern: str = "*.xlsx") -> DataF
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = list(_cells(content))
-                columns = (pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string())))
+                columns = [pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, ["file", "row_no", "cells"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
