@@ -17,9 +17,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adit.runtime import BROADCAST_ROWS, cut, small_enough
+from adit.runtime import cut, small_enough
 
 MONTH = "yyyy-MM"
+#: So many cells (a field, a key, a period and a verdict: about 100 bytes) may be sent to every executor, once counted.
+MOST_CELLS = 200_000
 _KEY = ["ref_field", "key"]
 
 
@@ -155,7 +157,7 @@ def _finer(rows: DataFrame, events: DataFrame, open_cells: DataFrame, coarse: st
 def _meet(refs: DataFrame, cells: DataFrame, on: list[str], wanted: str, heavy_cells: int) -> DataFrame:
     """refs with the verdict of their cell, where it is among `wanted` (a condition on verdict)."""
     side = cells.filter(wanted).select(*on, "verdict")
-    if small_enough(side, BROADCAST_ROWS):
+    if small_enough(side, MOST_CELLS):
         return refs.join(F.broadcast(side), on)
     # A cell is heavy when it holds more than 1 / heavy_cells of the references: there are fewer than heavy_cells such cells.
     total = cells.agg(F.sum("n")).first()[0]
