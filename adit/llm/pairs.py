@@ -111,25 +111,27 @@ _MARKUP = re.compile(r"<[^<>\n]{0,80}>|^[ \t]*(?:`{3,}.*|~{3,}.*|[-*+•][ \t]*|
 _LABEL = re.compile(r"^\s*(?:q|question|you asked|prompt|instruction|input|task|user|frage|pregunta|вопрос|a|answer|output)\s*[:.]\s*", re.I)
 _FENCE = re.compile(r"^[ \t]*(?:```|~~~)", re.M)
 _ITEM = re.compile(r"^[ \t]*(?:[-*+•]|\d+[.)])[ \t]+\S")
-_ENDED = regex.compile(r"[.!?…。！？][\"'”’»)\]*_]*$")
+_ENDED = re.compile(r"[.!?…。！？][\"'”’»)\]*_]*$")
 _IDENTIFIERS = regex.compile(r"(?:^|[\s,;(])(?:[A-Z]{2,8}-\d+(?:-\d+)?|T\d{4}(?:\.\d{3})?)(?:[,;\s]+(?:[A-Z]{2,8}-\d+(?:-\d+)?|T\d{4}(?:\.\d{3})?))*$")
 _LINK = re.compile(r"\bhttps?://[\w.-]+\.\w{2,}(?:/\S*)?$")
 _BARE_MARK = re.compile(r"[-*+•>#]+|\d+[.)]")
 _BREAKS = re.compile("[\r\v\f\x1c-\x1e\x85\u2028\u2029]")
-_NOT_WORD = regex.compile(r"[^\w\s]+")
+_NOT_WORD = re.compile(r"[^\w\s]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _IN_SCRIPT = {lang: regex.compile(f"[{letters}]") for lang, letters in SCRIPTS.items()}
 _OTHER_SCRIPT = regex.compile("[" + "".join(SCRIPTS.values()) + "]")
+#: Where letters of other scripts than Latin lie, for a quick look.
+_BEYOND_LATIN = re.compile("[\u0370-\u1dff\u1f00-\u1fff\u2de0-\u2dff\u2e80-\ua63f\ua640-\ua69f\uac00-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff]")
 _ASCII_WORDS = str.maketrans({chr(c): " " for c in range(128) if not (chr(c).isalnum() or chr(c) == "_")})
 _STOP = re.compile(r"[.!?\n]")
-_SENTENCE = regex.compile(r"(?<=[.!?])\s+|\n+")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _LABELS = regex.compile(r"^(?:[^\n:]{1,30}: [^\n]*\n)*[^\n:]{1,30}: ")
 _CODE = re.compile(r"```.*?(?:```|\Z)|https?://\S+|`[^`\n]*`", re.S)
 _ID = re.compile(r"\b[A-Z]{2,}-[\d-]+\b")
 _NAMES = {lang: regex.compile(r"\b(?:" + "|".join(names) + ")") for lang, names in NAMED.items()}
 _IS = {w: tuple(lang for lang, known in _LANGUAGE_OF.items() if w in known) for known in _LANGUAGE_OF.values() for w in known}
 _MARKS = {c: lang for lang, marks in _LETTERS.items() for c in marks}
-_MARKED = regex.compile("[" + "".join(_MARKS) + "]")
+_MARKED = re.compile("[" + "".join(_MARKS) + "]")
 #: A token of few letters and points, and the letter behind it.
 _SHORT = re.compile(r"(?<![^\s(])((?:[^\W\d_]{1,4}\.){1,4})\s+([^\W\d_])")
 
@@ -284,7 +286,7 @@ def language(text: str | None) -> str | None:
     low = text.lower()
     words = _WORD.findall(low)
     if not low.isascii():
-        foreign = len(_OTHER_SCRIPT.findall(low))
+        foreign = len(_OTHER_SCRIPT.findall(low)) if _BEYOND_LATIN.search(low) else 0
         if foreign and foreign > 0.4 * sum(map(len, words)):
             counts = {lang: len(p.findall(low)) for lang, p in _IN_SCRIPT.items()}
             # Japanese and Ukrainian share most letters with another language; their own letters tell them.
