@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from adit.functions.identifiers import parent_technique
 from adit.operators.orphans import name_key, number_key
+from adit.operators.relations import numbered
 from adit.runtime import cut, small_enough
 
 
@@ -138,30 +139,32 @@ def similar_records(edges: DataFrame, scores: DataFrame, queries: DataFrame, k:
     """For each query (column src), the k records most like it: src, other, similarity, rank.
 
     Candidates share a neighbour. The similarity blends the Jaccard ratios of the three neighbour sets with the
-    closeness of scores. Shared neighbours are counted in the join of the queries' edges with all edges, partly before
-    the shuffle, and sizes of sets give the unions, so that no set is carried about. The queries are a set of stated
-    size; they are counted before they are broadcast, and beyond that joined by shuffle.
+    closeness of scores; ranks are of the exact blend, but for differences below 1e-12, ties by name. Records are
+    numbered in the order of their names, so that numbers stand for names until the k best are known. Shared neighbours
+    are counted in the join of the queries' edges with all edges, partly before the shuffle, and sizes of sets give the
+    unions, so that no set is carried about. The queries are a set of stated size; their edges are counted before they
+    are broadcast, and beyond that joined by shuffle.
     """
-    degrees = edges.groupBy("src").agg(*[F.count_if(F.col("rel") == r).alias(f"d{i}") for i, r in enumerate(WEIGHTS)])
-    mine = edges.join(queries.select("src").distinct(), "src", "left_semi").select(F.col("src").alias("q"), "rel", "dst")
+    names = cut(numbered(edges.select("src").distinct(), [F.col("src")], "id"), "names")
+    kinds = F.create_map(*[F.lit(x) for i, r in enumerate(WEIGHTS) for x in (r, i)])
+    links = cut(edges.join(names, "src").select("id", F.try_element_at(kinds, F.col("rel")).cast("byte").alias("rel"), F.col("dst")).filter("rel IS NOT NULL"), "links")
+    top = scores.groupBy("src").agg(F.max("score").alias("score"))
+    each = lambda x: [F.count_if(F.col("rel") == i).cast("int").alias(f"{x}{i}") for i in range(len(WEIGHTS))]
+    facts = links.groupBy("id").agg(*each("d")).join(names, "id").join(top, "src", "left").drop("src")
+    wanted = names.join(queries.select("src").distinct(), "src", "left_semi").select("id")
+    mine = links.join(wanted, "id", "left_semi").select(F.col("id").alias("q"), "rel", "dst")
     side = F.broadcast(mine) if small_enough(mine, 200_000) else mine
-    shared = (
-        edges.join(side, ["rel", "dst"])
-        .filter(F.col("src") != F.col("q"))
-        .groupBy("q", F.col("src").alias("other"))
-        .agg(*[F.count_if(F.col("rel") == r).alias(f"c{i}") for i, r in enumerate(WEIGHTS)])
-    )
-    with_d = shared.join(degrees.withColumnRenamed("src", "other"), "other")
-    mine_d = degrees.select(F.col("src").alias("q"), *[F.col(f"d{i}").alias(f"e{i}") for i in range(len(WEIGHTS))]).join(queries.select(F.col("src").alias("q")).distinct(), "q", "left_semi")
-    with_d = with_d.join(mine_d, "q")
-    s = scores.groupBy("src").agg(F.max("score").alias("score"))
-    with_s = with_d.join(s.withColumnRenamed("src", "other").withColumnRenamed("score", "other_score"), "other", "left").join(s.withColumnRenamed("src", "q"), "q", "left")
-    total = closeness(F.col("score"), F.col("other_score")) * SCORE_WEIGHT
+    shared = links.join(side, ["rel", "dst"]).filter("id <> q").groupBy("q", "id").agg(*each("c"))
+    own = facts.join(wanted, "id", "left_semi").select(F.col("id").alias("q"), F.col("score").alias("q_score"), *[F.col(f"d{i}").alias(f"e{i}") for i in range(len(WEIGHTS))])
+    both = shared.join(facts, "id").join(own, "q")
+    total = closeness(F.col("q_score"), F.col("score")) * SCORE_WEIGHT
     for i, w in enumerate(WEIGHTS.values()):
         c = F.col(f"c{i}")
         total = total + F.when(c > 0, c / (F.col(f"d{i}") + F.col(f"e{i}") - c)).otherwise(0.0) * w
-    ranked = with_s.select(F.col("q").alias("src"), "other", F.round(total, 6).alias("similarity")).filter("similarity > 0")
-    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("similarity"), "other"))).filter(F.col("rank") <= k)
+    ranked = both.select("q", "id", F.round(total, 12).alias("similarity")).filter("similarity > 0")
+    best = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "id"))).filter(F.col("rank") <= k)
+    named = best.join(names.select(F.col("id").alias("q"), "src"), "q").join(names.select("id", F.col("src").alias("other")), "id")
+    return named.select("src", "other", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 def clusters(edges: DataFrame, rel: str, least: int) -> DataFrame:
