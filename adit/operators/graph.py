@@ -139,11 +139,11 @@ def similar_records(edges: DataFrame, scores: DataFrame, queries: DataFrame, k:
     """For each query (column src), the k records most like it: src, other, similarity, rank.
 
     Candidates share a neighbour. The similarity blends the Jaccard ratios of the three neighbour sets with the
-    closeness of scores; ranks are of the exact blend, but for differences below 1e-12, ties by name. Records are
-    numbered in the order of their names, so that numbers stand for names until the k best are known. Shared neighbours
-    are counted in the join of the queries' edges with all edges, partly before the shuffle, and sizes of sets give the
-    unions, so that no set is carried about. The queries are a set of stated size; their edges are counted before they
-    are broadcast, and beyond that joined by shuffle.
+    closeness of scores; ranks are of the exact blend, ties by name. Records are numbered in the order of their names,
+    so that numbers stand for names until the k best are known. Shared neighbours are counted in the join of the queries'
+    edges with all edges, partly before the shuffle, and sizes of sets give the unions, so that no set is carried about.
+    The queries are a set of stated size; their edges are counted before they are broadcast, and beyond that joined by
+    shuffle.
     """
     names = cut(numbered(edges.select("src").distinct(), [F.col("src")], "id"), "names")
     kinds = F.create_map(*[F.lit(x) for i, r in enumerate(WEIGHTS) for x in (r, i)])
@@ -161,7 +161,7 @@ def similar_records(edges: DataFrame, scores: DataFrame, queries: DataFrame, k:
     for i, w in enumerate(WEIGHTS.values()):
         c = F.col(f"c{i}")
         total = total + F.when(c > 0, c / (F.col(f"d{i}") + F.col(f"e{i}") - c)).otherwise(0.0) * w
-    ranked = both.select("q", "id", F.round(total, 12).alias("similarity")).filter("similarity > 0")
+    ranked = both.select("q", "id", total.alias("similarity")).filter("similarity > 0")
     best = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "id"))).filter(F.col("rank") <= k)
     named = best.join(names.select(F.col("id").alias("q"), "src"), "q").join(names.select("id", F.col("src").alias("other")), "id")
     return named.select("src", "other", F.round("similarity", 6).alias("similarity"), "rank")

@@ -4,7 +4,8 @@ References are aggregated per key and month before anything meets, and so are th
 number of a key's target rows that are alive at the start of a month is a running sum over its months, so that a month
 without births and deaths is settled for all of its references at once. Months with some are looked at by the minute,
 and minutes with some by the instant; a key has at most 44,640 minutes in a month, so that no step gathers an unbounded
-group, whatever key is hot on either side. No list of lifetimes is ever made.
+group, whatever key is hot on either side. Few undecided references (counted) are looked at by the instant at once. No
+list of lifetimes is ever made.
 
 Rows then meet the settled cells. Where the orphan cells are few (counted), they are broadcast. Else the heavy cells,
 of which there are fewer than `heavy_cells`, are broadcast, and an anti-join leaves the other rows to a shuffle.
@@ -52,8 +53,8 @@ def _month(at: Column) -> Column:
     return F.trunc(F.to_date(at), "month")
 
 
-#: The finer steps: the period that is divided, the period it is divided into.
-_FINER = (("month", "minute"), ("minute", "instant"))
+#: References of undecided months up to this number, once counted, are looked at by the instant at once, as no group has more.
+FEW_ROWS = 1_000_000
 _PERIOD = {"month": _month, "minute": lambda at: F.date_trunc("minute", at), "instant": lambda at: at}
 
 
@@ -126,6 +127,11 @@ def _settled(cells: DataFrame, happened: DataFrame, group: list[str], period: st
     return known.select(*group, period, "n", verdict.alias("verdict"), "base", "n_rows", "undated", "first_created")
 
 
+def _steps(rows: DataFrame) -> list[tuple[str, str]]:
+    """The finer steps for references of undecided months: the period that is divided, the period it is divided into."""
+    return [("month", "instant")] if small_enough(rows, FEW_ROWS) else [("month", "minute"), ("minute", "instant")]
+
+
 def _happened(events: DataFrame, group: list[str], period: str) -> DataFrame:
     moved = events.filter("delta <> 0").groupBy(*group, period).agg(F.sum("delta").alias("net"), F.min("at").alias("e_lo"), F.max("at").alias("e_hi"))
     return moved
@@ -182,14 +188,14 @@ def orphans(edges: DataFrame, targets: list[Target], id_col: str = "edge_id", ti
     none = F.lit("0001-01-01").cast("date")
     filled = months.withColumn("month", F.coalesce("month", none))
     met = cut(_meet(refs.withColumn("month", F.coalesce("month", none)), filled, [*_KEY, "month"], "verdict <> 'live'", heavy_cells), "met")
-    out, cells = [met.filter("verdict <> 'mixed'")], months
-    for coarse, fine in _FINER:
-        rows = met.filter("verdict = 'mixed'").drop("verdict")
-        if rows.isEmpty():
-            break
+    out, cells, rows = [met.filter("verdict <> 'mixed'")], months, met.filter("verdict = 'mixed'").drop("verdict")
+    for coarse, fine in [] if rows.isEmpty() else _steps(rows):
         cells = cut(_finer(rows, events, cells, coarse, fine), fine)
-        met = cut(_meet(rows.withColumn(fine, _PERIOD[fine](F.col("at"))), cells, [*_KEY, fine], "verdict <> 'live'", heavy_cells), "met")
+        met = _meet(rows.withColumn(fine, _PERIOD[fine](F.col("at"))), cells, [*_KEY, fine], "verdict <> 'live'", heavy_cells)
+        # At the instant nothing is undecided any more.
+        met = met if fine == "instant" else cut(met, "met")
         out.append(met.filter("verdict <> 'mixed'").select(*out[0].columns))
+        rows = met.filter("verdict = 'mixed'").drop("verdict")
     return _union(out).select(F.col("id").alias(id_col), "ref_field", F.col("verdict").alias("reason"), F.date_format("at", MONTH).alias("load_month"))
 
 
@@ -202,14 +208,16 @@ def orphan_counts(edges: DataFrame, targets: list[Target], id_col: str = "edge_i
     refs, events = references(edges, targets, id_col, time_col), cut(changes(targets), "changes")
     cells = cut(_months(refs, events), "months")
     settled = [cells.select("ref_field", "month", "verdict", "n")]
-    rows = refs
-    for coarse, fine in _FINER:
-        if cells.filter("verdict = 'mixed'").isEmpty():
-            break
-        rows = cut(_meet(rows, cells, [*_KEY, coarse], "verdict = 'mixed'", heavy_cells).drop("verdict"), "open")
-        cells = cut(_finer(rows, events, cells, coarse, fine), fine)
-        settled.append(cells.select("ref_field", _month(F.col(fine)).alias("month"), "verdict", "n"))
-        rows = rows.withColumn(fine, _PERIOD[fine](F.col("at")))
+    if not cells.filter("verdict = 'mixed'").isEmpty():
+        rows = cut(_meet(refs, cells, [*_KEY, "month"], "verdict = 'mixed'", heavy_cells).drop("verdict"), "open")
+        steps = _steps(rows)
+        for coarse, fine in steps:
+            if coarse != "month":
+                rows = _meet(rows, cells, [*_KEY, coarse], "verdict = 'mixed'", heavy_cells).drop("verdict")
+            cells = _finer(rows, events, cells, coarse, fine)
+            cells = cells if fine == "instant" else cut(cells, fine)
+            settled.append(cells.select("ref_field", _month(F.col(fine)).alias("month"), "verdict", "n"))
+            rows = rows.withColumn(fine, _PERIOD[fine](F.col("at")))
     n = lambda kind: F.coalesce(F.sum(F.when(F.col("verdict") == kind, F.col("n"))), F.lit(0))
     # Every reference is in one settled cell: mixed cells are counted by their finer ones.
     sums = _union(settled).filter("verdict <> 'mixed'").groupBy("ref_field", F.date_format("month", MONTH).alias("load_month"))

@@ -405,8 +405,8 @@ _SIMILAR = """deg AS (SELECT src, count(*) FILTER (rel = 'AFFECTS') AS d0, count
  sh AS (SELECT q.src AS q, o.src AS other, count(*) FILTER (o.rel = 'AFFECTS') AS c0, count(*) FILTER (o.rel = 'HAS_WEAKNESS') AS c1, count(*) FILTER (o.rel = 'HAS_ATTACK_PATTERN') AS c2
    FROM e q JOIN e o ON q.rel = o.rel AND q.dst = o.dst AND q.src <> o.src WHERE q.src IN (SELECT src FROM queries) GROUP BY 1, 2),
  sc AS (SELECT cve_id AS src, max(cvss_v3.base_score) AS score FROM cves GROUP BY 1),
- sim AS (SELECT q AS src, other, round(CASE WHEN x.score > 0 AND y.score > 0 THEN 1 - abs(x.score - y.score) / 10 ELSE 0 END * 0.1 + c1::DOUBLE / greatest(1, a.d1 + b.d1 - c1) * 0.4
-   + c0::DOUBLE / greatest(1, a.d0 + b.d0 - c0) * 0.3 + c2::DOUBLE / greatest(1, a.d2 + b.d2 - c2) * 0.2, 12) AS exact
+ sim AS (SELECT q AS src, other, (CASE WHEN x.score > 0 AND y.score > 0 THEN 1 - abs(x.score - y.score) / 10 ELSE 0 END * 0.1 + c1::DOUBLE / greatest(1, a.d1 + b.d1 - c1) * 0.4
+   + c0::DOUBLE / greatest(1, a.d0 + b.d0 - c0) * 0.3 + c2::DOUBLE / greatest(1, a.d2 + b.d2 - c2) * 0.2) AS exact
    FROM sh JOIN deg a ON q = a.src JOIN deg b ON other = b.src LEFT JOIN sc x ON x.src = q LEFT JOIN sc y ON y.src = other),
  ranked AS (SELECT src, other, round(exact, 6) AS similarity, row_number() OVER (PARTITION BY src ORDER BY exact DESC, other) AS rank FROM sim WHERE exact > 0)"""
 

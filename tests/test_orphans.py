@@ -51,10 +51,12 @@ def test_empty(spark, tables, rows):
     assert {r.reason for r in o.orphans(edges, bare).collect()} == {"missing"}
 
 
-def test_births_and_deaths_within_a_month_against_brute_force(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_births_and_deaths_within_a_month_against_brute_force(spark, monkeypatch, few):
     """A key that holds most references and most target rows, with many lives, some equal to references' times to the second."""
     import random
 
+    monkeypatch.setattr(o, "FEW_ROWS", few)
     r = random.Random(5)
     at = lambda: D(1) + dt.timedelta(minutes=r.randrange(3 * 1440) // r.choice([1, 60]) * 7, seconds=r.choice([0, 0, 30]))
     lives = [(r.choice(["hot", "hot", "hot", "b", "c"]), at(), r.choice([None, 1, 2, 2])) for _ in range(60)]
