@@ -16,6 +16,7 @@ Joining is associative, so that any tree gives the same tokens as encoding the t
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,9 @@ _BORDER = regex.compile(
 
 @lru_cache(2)
 def encoding(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> tiktoken.Encoding:
-    with open(f"{folder}/{name}.tiktoken", "rb") as f:
+    """A vocabulary from a folder, or as a file that was sent with the job (SparkContext.addFile)."""
+    path = f"{folder}/{name}.tiktoken"
+    with open(path if os.path.exists(path) else SparkFiles.get(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
