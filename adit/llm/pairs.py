@@ -191,6 +191,8 @@ def added(output: str, prompt: str) -> float:
 
 #: A copy adds at most so much of its length; short texts have a larger share of overhead.
 ADDED_LONG, ADDED_SHORT, SHORT = 0.22, 0.62, 100
+#: A copy is at most so many times as long as what it copies, or as short.
+LONGER = 1.6
 #: Share of words that a copy has in common, in order, with what it copies.
 ALIKE_LONG, ALIKE_SHORT = 0.85, 0.75
 
@@ -202,21 +204,21 @@ def is_copy(output: str, instruction: str | None, prompt: str | None) -> bool:
         return False  # it has the frame of an answer
     out = _plain(_LABEL.sub("", output))
     told, given = _plain(instruction), _plain(prompt)
-    if not out or added(out, f"{told} {given}") > (ADDED_SHORT if len(out) < SHORT else ADDED_LONG):
+    if not out:
+        return False
+    words, both = out.split(), f"{told} {given}"
+    # What is much longer than all it could give back is no copy; most of the rest adds too much.
+    if len(words) > 2 and len(words) >= LONGER * len(both.split()) or added(out, both) > (ADDED_SHORT if len(out) < SHORT else ADDED_LONG):
         return False
-    words = out.split()
     # An input that opens with labelled lines may be given back without them.
     body = _plain((prompt or "").rsplit(": ", 1)[-1]) if "\n" in (prompt or "") else ""
     text_only = _plain(_LABELS.sub("", prompt or ""))
-    for source in {told, given, f"{told} {given}", f"{given} {told}", body, text_only}:
+    for source in {told, given, both, f"{given} {told}", body, text_only}:
         want = source.split()
         if len(want) < 3:
             if words == want and words:
                 return True
-            continue
-        if not 0.6 < len(words) / len(want) < 1.6:
-            continue
-        if SequenceMatcher(None, words, want, autojunk=False).ratio() >= (ALIKE_SHORT if len(want) <= 12 else ALIKE_LONG):
+        elif 1 / LONGER < len(words) / len(want) < LONGER and SequenceMatcher(None, words, want, autojunk=False).ratio() >= (ALIKE_SHORT if len(want) <= 12 else ALIKE_LONG):
             return True
     return False
 
@@ -296,9 +298,9 @@ def language(text: str | None) -> str | None:
             counts["uk"] *= 30
             return max(counts, key=counts.get)
     score = dict.fromkeys(_LANGUAGE_OF, 0.0)
-    for known in filter(None, map(_IS.get, words)):
-        for lang in known:
-            score[lang] += 1
+    for known, n in Counter(map(_IS.get, words)).items():
+        for lang in known or ():
+            score[lang] += n
     if not low.isascii():
         for c in _MARKED.findall(low):
             score[_MARKS[c]] += 0.5
