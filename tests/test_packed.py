@@ -86,3 +86,76 @@ def test_listed(spark):
     assert listed(df) == {"f": [b"a/b"], "g": [b"x and y"]}
     with pytest.raises(ValueError):
         listed(df, max_rows=1)
+
+
+def plain_split(cell, names):
+    """The same contract character by character: a walk with escapes, quotes that open and close values, and names."""
+    from adit.operators.packed import BRACKETS, SEPARATORS, WIDE_BLANKS, WIDE_SEPARATORS
+
+    loose = set((SEPARATORS + BRACKETS).decode()) | set(WIDE_SEPARATORS)
+    blank = set(" \t\n\r\v\f") | set(WIDE_BLANKS)
+    bare = lambda s: s.strip("".join(blank))
+    low, n, pos, current, out = cell.lower(), len(cell), 0, "", []
+    edge = lambda k: k < 0 or k >= n or cell[k] in loose or cell[k] in blank
+
+    def closes(k):
+        while k < n and cell[k] in blank and cell[k] not in loose:
+            k += 1
+        return k >= n or cell[k] in loose
+
+    def flush():
+        nonlocal current
+        if bare(current):
+            out.append(bare(current))
+        current = ""
+
+    while pos < n:
+        c = cell[pos]
+        if c == "\\" and pos + 1 < n:
+            current += cell[pos + 1]
+            pos += 2
+            continue
+        if c in "\"'" and not bare(current):
+            j, content = pos + 1, ""
+            while j < n and not (cell[j] == c and cell[j + 1 : j + 2] != c and closes(j + 1)):
+                step = 2 if (cell[j] == c and cell[j + 1 : j + 2] == c) or cell[j] == "\\" else 1
+                content += cell[j + 1 : j + 2] if step == 2 else cell[j]
+                j += step
+            if j < n:
+                if bare(content):
+                    out.append(bare(content))
+                current, pos = "", j + 1
+                continue
+        if edge(pos - 1):
+            name = max((x for x in names if low.startswith(x, pos) and edge(pos + len(x))), key=len, default=None)
+            if name:
+                current += cell[pos : pos + len(name)]
+                pos += len(name)
+                continue
+            word = next((w for w in ("and", "&") if low.startswith(w, pos) and pos and cell[pos - 1] in blank and cell[pos + len(w) : pos + len(w) + 1] in blank and pos + len(w) < n), None)
+            if word:
+                flush()
+                pos += len(word)
+                continue
+        if c in loose:
+            flush()
+        else:
+            current += c
+        pos += 1
+    flush()
+    return out
+
+
+@pytest.mark.parametrize("table,field", [("mitre_techniques", "tactics"), ("mitre_techniques", "platforms"), ("cpe_components", "target_sw")])
+def test_whole_tables_against_a_plain_walk(table, field):
+    import duckdb
+
+    at = "/root/testdata/sf0.01"
+    cells = [r[0] for r in duckdb.sql(f"SELECT DISTINCT {field} FROM '{at}/{table}.parquet' WHERE {field} IS NOT NULL").fetchall() if r[0].strip() not in ("*", "-")]
+    names = [r[0].strip().lower() for r in duckdb.sql(f"SELECT listed_name FROM '{at}/listed_names.parquet' WHERE field_name = '{field}'").fetchall()]
+    values, rows, _ = split_strings(pa.array(cells), [x.encode() for x in names])
+    got = {}
+    for v, r in zip(values.to_pylist(), rows.to_pylist()):
+        got.setdefault(r, []).append(v)
+    wrong = [(c, got.get(i, []), plain_split(c, names)) for i, c in enumerate(cells) if got.get(i, []) != plain_split(c, names)]
+    assert len(cells) > 100 and not wrong, wrong[:3]
