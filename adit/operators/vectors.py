@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,6 +118,15 @@ def inferred(vectors: DataFrame, observed: Column, threshold: float, k: int = 10
 def hashed_text(df: DataFrame, text_col: str, size: int = 64, out_col: str = "embedding") -> DataFrame:
     """Texts as vectors of length 1 without a model: counts of hashed words. A text without words is the zero vector."""
     hits = F.transform(words(F.lower(F.coalesce(text_col, F.lit("")))), lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(F.col("__h"), lambda h: h == i)).cast("double"))
-    raw = df.withColumn("__h", hits).withColumn("__v", counts)
-    return raw.withColumn(out_col, F.transform("__v", lambda x: F.when(norm(F.col("__v")) > 0, x / norm(F.col("__v"))).otherwise(0.0).cast("float"))).drop("__h", "__v")
+
+    @F.pandas_udf("array<float>")
+    def counted(places: pd.Series) -> pd.Series:
+        out = []
+        for p in places:
+            v = np.bincount(np.asarray(p, np.int64), minlength=size).astype(np.float64)
+            length = np.sqrt(v @ v)
+            out.append((v / length if length else v).astype(np.float32))
+        return pd.Series(out)
+
+    # Words are hashed in the JVM; only their places, counted on Arrow batches, leave it.
+    return df.withColumn(out_col, counted(hits))
